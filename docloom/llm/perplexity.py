@@ -28,9 +28,9 @@ from docloom.llm.shared import record
 V, ORDER = 40, 4
 SIZE = V**ORDER
 #: Bands reach this many interquartile ranges beyond the quartiles of a language's log-perplexity.
-BAND_WIDTH = 4.0
+BAND_WIDTH = 2.0
 #: Half-width of a band at least, in log-perplexity.
-BAND_LEAST = 0.05
+BAND_LEAST = 0.03
 #: A text's log-perplexity is drawn to its language's median with the weight of so many characters: short texts are noisy.
 PRIOR_CHARS = 200
 
@@ -97,7 +97,7 @@ class Model:
             at, hit = _find(hashes, _slots(key[left] % V**order))
             out[left[hit]] += logp[at[hit]]
             left = left[~hit]
-            if order > 1 and len(left):
+            if len(left):
                 hashes, weight = self.backs[order]
                 at, hit = _find(hashes, _slots(key[left] % V**order // V))
                 out[left[hit]] += weight[at[hit]]

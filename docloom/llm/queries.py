@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm.linededup import op9_line_dedup
+from docloom.llm.parityjoin import op2_parity_join
 from docloom.llm.perplexity import op1_perplexity
 
 
@@ -17,8 +19,16 @@ def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_perplexity(table(spark, sf_dir, "documents"))
 
 
+def q2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_parity_join(table(spark, sf_dir, "documents"))
+
+
+def q9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_line_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_perplexity": q1}
+    return {"op1_perplexity": q1, "op2_parity_join": q2, "op9_line_dedup": q9}
 
 
 def oracle_sql() -> dict[str, str]:
