@@ -1,21 +1,50 @@
-"""A corpus pipeline: each stage reads what the one before it wrote."""
+"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), reads what the stage before it wrote,
+and works on all of it.  All but the last return the columns of ``documents``;
+the last returns the bins' contents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm.decontam import decontamination_stage
+from docloom.llm.linededup import dedup_lines
+from docloom.llm.packing import op3_best_fit
+from docloom.llm.parityjoin import near_duplicate_stage
 from docloom.llm.perplexity import quality_stage
 from docloom.llm.shared import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that pass the base rules and lie in their language's perplexity band."""
     return quality_stage(docs)
 
 
-STAGES = [("quality", quality)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line matches; a document that has lost all its lines goes."""
+    return dedup_lines(docs).filter("text is null or text <> ''")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8), that of the smallest doc_id."""
+    return near_duplicate_stage(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination_stage(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of the documents' pieces."""
+    return op3_best_fit(docs)
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: Language models and packing aren't expressible in SQL; tests hold the stages against brute force.
+#: Language models and packing can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
