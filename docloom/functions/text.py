@@ -231,4 +231,5 @@ def email_score(head: Column) -> Column:
     """How many of the six mail headers begin one of the first 40 lines."""
     lines = F.slice(F.split(head, "\n", -1), 1, 40)
     names = ("from:", "mime-version:", "received:", "content-type:", "subject:", "to:")
-    return sum((F.exists(lines, lambda line, n=n: F.lower(line).startswith(n)).cast("int") for n in names), F.lit(0))
+    begins = lambda name: F.exists(lines, lambda line: F.lower(line).startswith(name)).cast("int")
+    return sum(map(begins, names), F.lit(0))
