@@ -1,8 +1,9 @@
 """Token ids as canonical length-limited Huffman codes.
 
 1. Each text becomes ids with the ``tokenizers`` library, and the end id.  A
-   text is cut before blanks where the tokenizer's own pre-tokenizer always
-   cuts, so that equal pieces are encoded once and remembered.
+   text is cut where the tokenizer's own pre-tokenizer always cuts (before
+   blanks, between letters and punctuation, at line breaks), so that equal
+   pieces are encoded once and remembered.
 2. Ids are counted over all documents; package-merge gives code lengths of
    LIMIT bits at most, and canonical codes follow from the lengths alone.
 3. Documents are range-partitioned and sorted by doc_id.  Every partition
@@ -23,6 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,16 @@ from docloom.llm.shared import new_path, record, written
 
 LIMIT, STEP, BLOCK_IDS = 18, 128, 1 << 17
 #: Pieces that a Python worker remembers at most; it forgets them all and starts anew beyond that.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
+
+
+_BLANK, _BREAK, _WIDE, _OTHER, _LETTER, _MARK = 1, 2, 3, 4, 5, 6
+#: Kind of each byte: 0 control, then blank, line break, part of a wider character, and visible ASCII: digits and apostrophe, letters, punctuation.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[*range(48, 58), 39]] = _OTHER
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[32], _KIND[10], _KIND[128:] = _BLANK, _BREAK, _WIDE
 
 
 class Encoder:
@@ -51,18 +62,33 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hash, self.first, self.ids = np.zeros(0, T.U64), np.zeros(1, np.int64), np.zeros(0, self.dtype)
+        self.hash, self.first, self.size = np.zeros(0, T.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.dtype)
 
     def pieces(self, c: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of the pieces: each text is cut before a blank that a visible ASCII character follows, or that stands between one and a non-ASCII character."""
+        """Start and end of the pieces.  A text is cut
+
+        * before a blank that a visible ASCII character follows, or that stands between one and a non-ASCII character;
+        * between an ASCII letter and ASCII punctuation other than an apostrophe;
+        * between a visible ASCII character and a line break, and behind that one if another visible ASCII character follows.
+        """
         buf, n = c.buf, len(c.buf)
         cut = np.zeros(n + 1, bool)
         if n > 2:
-            visible = (buf > 32) & (buf < 127)
-            cut[1 : n - 1] = (buf[1:-1] == 32) & (visible[2:] | ((buf[2:] >= 128) & visible[:-2]))
-        ends = c.offs[1:-1] - 1  # a blank that ends a text has no follower of its own
-        ends = ends[(ends >= 0) & (ends < n)]
-        cut[ends[buf[ends] == 32]] = False
+            kind = _KIND[buf]
+            visible = kind >= _OTHER
+            prev, here, after = kind[:-2], kind[1:-1], kind[2:]
+            mid = (here == _BLANK) & (visible[2:] | ((after == _WIDE) & visible[:-2]))
+            mid |= (here == _MARK) & (prev == _LETTER)
+            mid |= (here == _BREAK) & visible[:-2]
+            cut[1 : n - 1] = mid
+            # behind a single line break; the text number is the same where the break isn't a text's last or first byte
+            lone = (here == _BREAK) & visible[:-2] & visible[2:]
+            cut[2:n] |= lone
+            # what a text's last byte is followed by and its first byte preceded by belongs to another text
+            edge = c.offs[1:-1] - 1
+            edge = edge[(edge >= 0) & (edge < n)]
+            cut[edge[kind[edge] == _BLANK]] = False
         cut[c.offs[:-1]] = True
         start = np.flatnonzero(cut[:n])
         return start, np.append(start[1:], n)[: len(start)]
@@ -85,9 +111,7 @@ class Encoder:
                 known[:] = False
             self._learn(c, unique[~known], start[first[~known]], end[first[~known]])
             at = np.searchsorted(self.hash, unique)
-        lo = self.first[at]
-        size = self.first[at + 1] - lo
-        lo, size = lo[place], size[place]
+        lo, size = self.first[at][place], self.size[at][place]
         ends = np.append(0, np.cumsum(size))
         ids = self.ids[np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])]
         return ids, ends[np.searchsorted(start, c.offs)]
@@ -99,14 +123,11 @@ class Encoder:
             texts = [raw[a:b].decode() for a, b in zip(start[i : i + (1 << 14)].tolist(), end[i : i + (1 << 14)].tolist(), strict=True)]
             new += [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.array([len(x) for x in new])
-        ids = np.fromiter((y for x in new for y in x), self.dtype, int(size.sum()))
-        hashes, sizes = np.append(self.hash, h), np.append(np.diff(self.first), size)
-        firsts = np.append(self.first[:-1], len(self.ids) + np.append(0, np.cumsum(size))[:-1])
-        by = np.argsort(hashes, kind="stable")
-        sizes, firsts = sizes[by], firsts[by]
-        ends = np.append(0, np.cumsum(sizes))
-        self.ids = np.append(self.ids, ids)[np.repeat(firsts - ends[:-1], sizes) + np.arange(ends[-1])]
-        self.hash, self.first = hashes[by], ends
+        first = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(new), self.dtype, int(size.sum())))
+        at = np.searchsorted(self.hash, h)  # h is sorted
+        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, size)
+        self.hash = np.insert(self.hash, at, h)
 
 
 _encoders: dict[str, Encoder] = {}
