@@ -15,7 +15,10 @@ from docloom.functions.text import logical_name, unsafe_path
 
 
 def read_files(spark: SparkSession, path: str, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, failures) of a folder or glob: too large files are failures, and the scan never reads them."""
+    """(files, failures) of a folder or glob: too large files are failures, and the scan never reads them.
+
+    Spark's binaryFile source doesn't list empty files.
+    """
     most = (limits or Limits()).input_bytes
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = found.filter(F.col("length") <= most).select(F.col("path").alias("doc_id"), logical_name(F.col("path")).alias("file_name"), "length", "content")

@@ -32,7 +32,7 @@ def test_query(spark, db, name):
         assert df.count() == 200
 
 
-FILES = {"a.txt": b"hello \xf0\x9f\x98\x80", "m.eml": Z.eml(("n.txt", b"inside", "text/plain"), ("p.png", Z.png(), "image/png")), "z.zip": Z.zipped({"x.docx": Z.docx(), "bad.bin": b"\x01\x02"}), "t.pdf": b"%PDF-1.4 trunc", "e.txt": b"", "u": b"\x01\x02\x03"}
+FILES = {"a.txt": b"hello \xf0\x9f\x98\x80", "m.eml": Z.eml(("n.txt", b"inside", "text/plain"), ("p.png", Z.png(), "image/png")), "z.zip": Z.zipped({"x.docx": Z.docx(), "bad.bin": b"\x01\x02"}), "t.pdf": b"%PDF-1.4 trunc", "u": b"\x01\x02\x03"}
 
 
 def test_folder_to_tables_and_back(spark, tmp_path):
@@ -47,14 +47,16 @@ def test_folder_to_tables_and_back(spark, tmp_path):
     assert [r.error_code for r in large.collect()] == ["E_LIMIT_INPUT_SIZE"] and "LessThanOrEqual(length,1000000)" in files._jdf.queryExecution().toString()
     out = extract(files)
     leaf = lambda r: r.doc_id.rsplit("/", 1)[-1]
-    assert {leaf(r): r.error_code for r in out.failures.collect()} == {"t.pdf": "E_CORRUPT", "e.txt": "E_CORRUPT", "u": "E_UNSUPPORTED"}
-    parts = sorted(out.parts.collect(), key=lambda r: (leaf(r), r.index))
-    assert [(leaf(r), r.index, r.parent_index, r.kind) for r in parts] == [("a.txt", 0, None, "text"), ("m.eml", 0, None, "eml"), ("m.eml", 1, 0, "text"), ("z.zip", 0, None, "zip"), ("z.zip", 1, 0, "docx"), ("z.zip", 2, 0, "unsupported")]
+    assert {leaf(r): r.error_code for r in out.failures.collect()} == {"t.pdf": "E_CORRUPT", "u": "E_UNSUPPORTED"}
+    empty = spark.createDataFrame([("e", "e.txt", b""), ("n", None, None)], "doc_id string, file_name string, content binary")
+    assert {r.error_code for r in extract(empty).failures.collect()} == {"E_CORRUPT"}
+    parts = sorted(out.parts.collect(), key=lambda r: (leaf(r), r["index"]))
+    assert [(leaf(r), r["index"], r.parent_index, r.kind) for r in parts] == [("a.txt", 0, None, "text"), ("m.eml", 0, None, "eml"), ("m.eml", 1, 0, "text"), ("z.zip", 0, None, "zip"), ("z.zip", 1, 0, "docx"), ("z.zip", 2, 0, "unsupported")]
     for a, b in zip(parts, parts[1:], strict=False):
         assert a.char_end - a.char_start == raw.units(a.markdown) and b.char_start == (a.char_end if a.doc_id == b.doc_id else 0)
     results = {leaf(r): r for r in out.results.collect()}
     assert {k: r.status for k, r in results.items()} == {"a.txt": "ok", "m.eml": "partial", "z.zip": "partial"}
-    assert results["m.eml"].images[0].part_index == 0 and [p.index for p in results["z.zip"].parts] == [0, 1, 2]
+    assert results["m.eml"].images[0].part_index == 0 and [p["index"] for p in results["z.zip"].parts] == [0, 1, 2]
     text = manifest(out.results)
     back = {leaf(r): r for r in parse_manifest(text).collect()}
     assert back["z.zip"].error is None and back["z.zip"].parts[1].path == "z.zip/x.docx" and '"pages" : null' in text.filter("doc_id like '%a.txt'").first().json
