@@ -12,7 +12,8 @@ number), has Jaccard similarity of at least ``threshold`` with it.
    copies costs one comparison each.
 4. The rest is the exact join: the prefixes (rarest words) of unsettled lines
    against those of all lines, under length, positional and bitmap filters.
-5. Both steps verify candidates on the full word sets.
+5. Both steps verify candidates on the full word sets; in the join, each
+   line's likeliest candidate is tried before all the others.
 
 Cases: null and empty texts have no lines with a word; rows with the same
 doc_id, null included, get the same decisions; null ids come first; extra
@@ -25,15 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import textops as T
-from docloom.llm.shared import record, written
+from docloom.llm.shared import dropped, record, written
 
 #: Size of the table of word frequencies, and of the filter of wanted lines (both as powers of two).
 FREQ_BITS, WANT_BITS = 20, 24
+#: Bits by which words of lines are told apart.
+HASH_BITS = 44
 STAR_SEEDS = 3
+#: Odd factors of the min-hashes.
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def _slot(h: np.ndarray, bits: int) -> np.ndarray:
@@ -46,7 +51,7 @@ def word_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << FREQ_BITS, np.int64)
         for b in batches:
-            for c in T.chunks(b.column(0)):
+            for c in T.chunks(b.column(0), 1 << 22):
                 total += np.bincount(_slot(T.words(c, True).hash, FREQ_BITS), minlength=len(total))
         key = np.flatnonzero(total)
         for i in range(0, len(key), 1 << 16):
@@ -55,31 +60,40 @@ def word_frequencies(docs: DataFrame) -> np.ndarray:
     found = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << FREQ_BITS, np.int64)
     out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(out, (1 << 24) - 1).astype(np.int32)
+    return np.minimum(out, (1 << 20) - 1).astype(np.int32)
 
 
 def _sets(c: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each line with a word: (text number, line number, bounds into hashes, hashes by line)."""
+    """Distinct words of each line with a word: (text number, line number, bounds into words, words by line).
+
+    A word is the upper HASH_BITS bits of its hash.  A chunk has fewer than 2**20 lines.
+    """
     w = T.words(c, True)
     doc, start, _ = T.lines(c)
     line = np.searchsorted(start, w.start, "right") - 1
-    by = np.lexsort((w.hash, line)) if len(line) else np.zeros(0, np.int64)
-    h, line = w.hash[by], line[by]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[new], line[new]
+    key = np.sort(line.astype(T.U64) << T.U64(HASH_BITS) | w.hash >> T.U64(64 - HASH_BITS))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    line = (key >> T.U64(HASH_BITS)).astype(np.int64)
     begin = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
     lines = line[begin]
     number = lines - np.searchsorted(doc, doc[lines])
-    return doc[lines], number, np.append(begin, len(h)), h
+    return doc[lines], number, np.append(begin, len(key)), key & T.U64((1 << HASH_BITS) - 1)
 
 
 def _list(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
+def _line_hash(doc_hash: np.ndarray, line: np.ndarray, set_hash: np.ndarray) -> np.ndarray:
+    """Hash of a line's place and words, from the hash of its doc_id, its number and the sum of its words' hashes."""
+    return T.mix(doc_hash.view(T.U64) + (line.astype(T.U64) + T.U64(1)) * T.U64(T._ODD) + set_hash).view(np.int64)
+
+
 def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
-    """For each line with a word: place, size, 128-bit hash of the set, bitmap, min-hashes, and prefix in order of rarity."""
+    """For each line with a word: place and its hash h, size n, 128-bit hash of the set, bitmap, min-hashes, and prefix in order of rarity.
+
+    Min-hashes and prefix words have 32 bits: they find candidates, which are then verified on the words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(freq)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,110 +105,139 @@ def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
                     continue
                 n, at = np.diff(bounds), bounds[:-1]
                 line = np.repeat(np.arange(len(n)), n)
-                rank = freq[_slot(h, FREQ_BITS)]
-                by = np.lexsort((h, rank, line))
-                place = np.arange(len(h)) - at[line]
-                take = place < (n - least_common(n, n, threshold, own=True) + 1)[line]
-                lows = [np.minimum.reduceat(T.mix(h ^ T.U64(0x51ED2701 * (k + 1))), at) for k in range(STAR_SEEDS)]
-                stars = np.stack(lows, 1).view(np.int64).ravel()
-                flip = np.bitwise_xor.reduceat(T.U64(1) << (h & T.U64(63)), at)
-                flip2 = np.bitwise_xor.reduceat(T.U64(1) << ((h >> T.U64(6)) & T.U64(63)), at)
-                prefix = h[by][take].view(np.int64)
+                rank = freq[(h >> T.U64(HASH_BITS - FREQ_BITS)).astype(np.int64)].astype(T.U64)
+                rare = np.sort(line.astype(T.U64) << T.U64(44) | rank << T.U64(24) | h & T.U64(0xFFFFFF))
+                take = np.arange(len(h)) - at[line] < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[line]
+                prefix = (T.mix(rare[take] & T.U64((1 << 44) - 1)) >> T.U64(32)).astype(np.uint32).view(np.int32)
                 ends = np.append(0, np.cumsum(np.bincount(line[take], minlength=len(n))))
+                mixed = T.mix(h)
+                lows = [np.minimum.reduceat(h * T.U64(ODD[k]), at) for k in range(STAR_SEEDS)]
+                stars = (T.mix(np.stack(lows, 1) + np.arange(STAR_SEEDS, dtype=T.U64)) >> T.U64(32)).astype(np.uint32).view(np.int32).ravel()
+                h1 = np.add.reduceat(mixed, at)
+                bitmap = np.bitwise_xor.reduceat(T.U64(1) << (mixed >> T.U64(58)), at).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).take(pa.array(doc + c.lo)), pa.array(_line_hash(b.column(2).to_numpy()[doc + c.lo], number)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)),
-                        pa.array(np.add.reduceat(T.mix(h), at).view(np.int64)), pa.array(np.bitwise_xor.reduceat(T.mix(h * T.U64(T._ODD)), at).view(np.int64)),
-                        pa.array(flip.view(np.int64)), pa.array(flip2.view(np.int64)), _list(stars, np.arange(len(n) + 1) * STAR_SEEDS), _list(prefix, ends),
+                        b.column(0).take(pa.array(doc + c.lo)), pa.array(_line_hash(b.column(2).to_numpy()[doc + c.lo], number, h1)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)),
+                        pa.array(h1.view(np.int64)), pa.array(np.bitwise_xor.reduceat(T.mix(mixed + T.U64(T._ODD)), at).view(np.int64)),
+                        pa.array(bitmap), _list(stars, np.arange(len(n) + 1) * STAR_SEEDS), _list(prefix, ends),
                     ],
-                    ["doc_id", "h", "line", "n", "h1", "h2", "b1", "b2", "stars", "prefix"],
+                    ["doc_id", "h", "line", "n", "h1", "h2", "bitmap", "stars", "prefix"],
                 )
 
     slim = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k"))
-    return slim.mapInArrow(build, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, line int, n int, h1 long, h2 long, b1 long, b2 long, stars array<long>, prefix array<long>")
-
-
-def least_common(a: np.ndarray, b: np.ndarray, threshold: float, own: bool = False) -> np.ndarray:
-    """Words that sets of sizes a and b share at least if they match; ``own``: that a set of size a shares with any match."""
-    return np.ceil(threshold * a - 1e-9).astype(np.int64) if own else np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
+    return slim.mapInArrow(build, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, line int, n int, h1 long, h2 long, bitmap long, stars array<int>, prefix array<int>")
 
 
 def words_of_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The word sets of the lines ``places`` (h, a hash of doc_id and line number): a scan that passes lines by a filter of fixed size, then a join."""
+    """(h, words) of the lines ``places`` (h, k: hashes of the place and of its doc_id).
+
+    A scan passes documents and lines by filters of fixed size; a join then takes the wanted lines exactly.
+    """
     spark = docs.sparkSession
-    slots = places.select(F.shiftrightunsigned("h", 64 - WANT_BITS).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    want = np.zeros(1 << WANT_BITS, bool)
-    want[slots] = True
-    shared = spark.sparkContext.broadcast(np.packbits(want))
+
+    def wanted(column: str):  # noqa: ANN202
+        slots = places.select(F.shiftrightunsigned(column, 64 - WANT_BITS).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+        want = np.zeros(1 << WANT_BITS, bool)
+        want[slots] = True
+        return spark.sparkContext.broadcast(np.packbits(want))
+
+    shared = wanted("h"), wanted("k")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = np.unpackbits(shared.value).view(bool)
+        lines, documents = (np.unpackbits(x.value).view(bool) for x in shared)
         for b in batches:
-            for c in T.chunks(b.column(1)):
+            b = b.filter(pa.array(documents[_slot(b.column(1).to_numpy().view(T.U64), WANT_BITS)]))
+            for c in T.chunks(b.column(0)):
                 doc, number, bounds, h = _sets(c)
                 if not len(doc):
                     continue
-                key = _line_hash(b.column(2).to_numpy()[doc + c.lo], number)
-                hit = np.flatnonzero(want[_slot(key.view(T.U64), WANT_BITS)])
+                key = _line_hash(b.column(1).to_numpy()[doc + c.lo], number, np.add.reduceat(T.mix(h), bounds[:-1]))
+                hit = np.flatnonzero(lines[_slot(key.view(T.U64), WANT_BITS)])
                 if len(hit):
                     n = np.diff(bounds)[hit]
                     ends = np.append(0, np.cumsum(n))
                     take = np.repeat(bounds[hit] - ends[:-1], n) + np.arange(ends[-1])
                     yield pa.RecordBatch.from_arrays([pa.array(key[hit]), _list(h[take].view(np.int64), ends)], ["h", "words"])
 
-    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(scan, "h long, words array<long>")
-    return found.join(places.select("h"), "h", "left_semi").dropDuplicates(["h"])
+    found = docs.select("text", F.xxhash64("doc_id").alias("k")).mapInArrow(scan, "h long, words array<long>")
+    return found.join(places.select("h"), "h")
 
 
-def _line_hash(doc_hash: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return T.mix(doc_hash.view(T.U64) + (line.astype(T.U64) + T.U64(1)) * T.U64(T._ODD)).view(np.int64)
+def matched(words: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The lines b of the candidate ``pairs`` (a, b) whose Jaccard similarity reaches the threshold, by the full word sets."""
+    both = F.size(F.array_intersect("x", "y"))
+    joined = pairs.select("a", "b").join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
+    return joined.filter(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - 1e-9).select(F.col("b").alias("h")).distinct()
 
 
-def matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of candidate ``pairs`` (a earlier than b), the distinct b whose Jaccard with a reaches the threshold."""
-    places = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    sets = written(words_of_lines(docs, places), "line-words")
-    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(x, "a").join(y, "b")
-    return joined.filter(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - 1e-9).select("b").distinct()
+def _words_for(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    places = written(ends.join(sets.select("h", "doc_id"), "h").select("h", F.xxhash64("doc_id").alias("k")), "places")
+    words = written(words_of_lines(docs, places), "line-words")
+    dropped(places)
+    return words
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id and number of every line that an earlier line matches."""
     freq = word_frequencies(docs)
-    mapped = written(line_sets(docs, freq, threshold), "line-sets")
+    full = written(line_sets(docs, freq, threshold), "line-sets")
     order = F.struct("doc_id", "line")
-    first = mapped.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min_by(F.struct("h", "n", "b1", "b2", "stars", "prefix"), order).alias("s"))
-    sets = written(first.select("h1", "h2", "first", "s.*"), "first-lines")
-
-    star = sets.select("h", "first", "n", "b1", "b2", F.explode("stars").alias("key"))
-    top = star.groupBy("key").agg(F.min_by(F.struct("h", "first", "n", "b1", "b2"), "first").alias("c"), F.count("h").alias("many")).filter("many > 1")
-    near = star.join(top, "key").filter(F.col("c.first") < F.col("first"))
-    cand = near.filter(_may_match("c.n", "n", "c.b1", "b1", "c.b2", "b2", threshold)).select(F.col("c.h").alias("a"), F.col("h").alias("b")).distinct()
-    settled = written(matched(docs, written(cand, "star-pairs"), threshold), "settled")
-
-    post = sets.select("h", "first", "n", "b1", "b2", F.posexplode("prefix").alias("pos", "key"))
-    rest = post.join(settled.withColumnRenamed("b", "h"), "h", "left_anti")
-    x, y = post.alias("x"), rest.alias("y")
-    common = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    position = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= common
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.first") < F.col("y.first")) & position & _may_match("x.n", "y.n", "x.b1", "y.b1", "x.b2", "y.b2", threshold)
-    cand = x.join(y, on).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-    more = matched(docs, written(cand, "line-pairs"), threshold)
-
-    gone = settled.union(more).withColumnRenamed("b", "h").withColumn("gone", F.lit(True))
-    heads = sets.join(gone, "h", "left").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = mapped.select("doc_id", "line", "h1", "h2").join(heads, ["h1", "h2"])
-    return out.filter(F.col("gone") | (F.struct("doc_id", "line") > F.col("first"))).select("doc_id", "line").distinct()
-
-
-def _may_match(n: str, m: str, b1: str, c1: str, b2: str, c2: str, threshold: float) -> F.Column:
+    first = full.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "line", "h", "n", "bitmap", "stars", "prefix"), order).alias("s"))
+    sets = written(first.select("h1", "h2", "s.*"), "first-lines")
+    mapped = written(full.select("doc_id", "line", "h1", "h2"), "lines")
+    dropped(full)
+    del first, full
+
+    star = sets.select("h", "doc_id", "line", "n", "bitmap", F.explode("stars").alias("key"))
+    earlier = Window.partitionBy("key").orderBy("doc_id", "line")
+    centre = F.first(F.struct("h", "n", "bitmap")).over(earlier)
+    near = star.withColumn("c", centre).filter(F.col("c.h") != F.col("h")).filter(_may_match("c.n", "n", "c.bitmap", "bitmap", threshold))
+    pairs = written(near.select(F.col("c.h").alias("a"), F.col("h").alias("b")).distinct(), "star-pairs")
+    words = _words_for(docs, pairs, sets)
+    settled = written(matched(words, pairs, threshold), "settled")
+    dropped(words, pairs)
+    del near, star, words, pairs
+
+    # size, place in the prefix and whether the line is settled go in one number: both sides of the join are the same shuffle
+    flag = sets.select("h", "doc_id", "line", "n", "bitmap", "prefix").join(settled.withColumn("gone", F.lit(1)), "h", "left")
+    meta = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + F.coalesce("gone", F.lit(0))
+    post = flag.select("h", "doc_id", "line", "n", "bitmap", "gone", F.posexplode("prefix").alias("pos", "key")).select("key", "h", "doc_id", "line", "bitmap", meta.alias("meta"))
+    x, y = post.alias("x"), post.alias("y")
+    size = lambda t: F.shiftright(f"{t}.meta", 32)
+    after = lambda t: size(t) - F.shiftright(F.col(f"{t}.meta").bitwiseAND(0xFFFFFFFF), 1)  # noqa: E731  words from the shared one on
+    common = F.ceil(F.lit(threshold / (1 + threshold)) * (size("x") + size("y")) - 1e-9)
+    unsettled = F.col("y.meta").bitwiseAND(1) == 0
+    on = (F.col("x.key") == F.col("y.key")) & unsettled & (F.struct("x.doc_id", "x.line") < F.struct("y.doc_id", "y.line")) & (F.least(after("x"), after("y")) >= common)
+    on = on & _may_match(size("x"), size("y"), "x.bitmap", "y.bitmap", threshold)
+    distance = F.bit_count(F.col("x.bitmap").bitwiseXOR(F.col("y.bitmap")))
+    pairs = written(x.join(y, on).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), distance.alias("d")), "line-pairs")
+    del x, y, post, flag
+    # the likeliest candidate of each line first; all others only for the lines that it doesn't settle
+    best = written(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")), "best")
+    words = _words_for(docs, best, sets)
+    likely = written(matched(words, best, threshold), "settled")
+    dropped(words)
+    others = pairs.select("a", "b").join(likely.withColumnRenamed("h", "b"), "b", "left_anti").join(best, ["a", "b"], "left_anti").distinct()
+    others = written(others, "other-pairs")
+    words = _words_for(docs, others, sets)
+    more = written(matched(words, others, threshold), "settled")
+    dropped(words, others, best, pairs)
+
+    gone = settled.union(likely).union(more).withColumn("gone", F.lit(True))
+    heads = sets.select("h", "h1", "h2", "doc_id", "line").join(gone, "h", "left")
+    heads = heads.select("h1", "h2", F.struct("doc_id", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    out = mapped.join(heads, ["h1", "h2"]).filter(F.col("gone") | (F.struct("doc_id", "line") > F.col("first")))
+    out = written(out.select("doc_id", "line").distinct(), "removed")
+    dropped(sets, mapped)
+    return out
+
+
+def _may_match(n: str | F.Column, m: str | F.Column, b: str, c: str, threshold: float) -> F.Column:
     """Length filter, and the bitmaps' Hamming distance against the largest symmetric difference of a match."""
-    short, long = F.least(F.col(n), F.col(m)), F.greatest(F.col(n), F.col(m))
-    most = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col(n) + F.col(m)) + 1e-9)
-    distance = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    return (short >= F.lit(threshold) * long - 1e-9) & (distance(b1, c1) <= most) & (distance(b2, c2) <= most)
+    n, m = (F.col(v) if isinstance(v, str) else v for v in (n, m))
+    most = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (n + m) + 1e-9)
+    return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9) & (F.bit_count(F.col(b).bitwiseXOR(F.col(c))) <= most)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

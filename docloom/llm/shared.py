@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import pyarrow as pa
@@ -26,13 +27,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    released(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of tables that nothing refers to any more.
+
+    The cleaner acts on the driver's garbage; without this the files of every
+    earlier step would stay beside those of the next.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dropped(*tables: DataFrame) -> None:
     """Delete the files behind tables made by :func:`written`."""
     for table in tables:
+        spark = table.sparkSession
         for file in table.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

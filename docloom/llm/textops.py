@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Texts in a chunk at most.
+MOST_TEXTS = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _pow: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
@@ -78,7 +80,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        hi = max(lo + 1, min(int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1, lo + MOST_TEXTS))
         yield Chunk(lo, hi, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         lo = hi
 
