@@ -6,11 +6,11 @@ bands so that a pair within the threshold is in one band or in neighbours; in
 each band's scheme a pair differs in at most d shingles, the sketch has d + 1
 words of 64 bits, and by the pigeonhole principle a pair has an equal word.
 Documents that share a word are candidates, and candidates are verified on the
-full shingle sets.
+full shingle sets, those first whose fixed sketches of 256 bits aren't too far apart.
 
-Equal sets are one node.  Within a bucket of equal words the nodes are first
-held against one centre (a few rounds, another centre each); then all pairs of
-the bucket that aren't connected yet.  No link between components is lost,
+Equal sets are one node.  In a few rounds, every node is held against the
+nearest by sketch of its buckets' centres (another centre in each round); then
+all pairs of a bucket that aren't connected yet are compared.  No link between components is lost,
 and a large group of near copies costs a comparison each, not all its pairs.
 
 Cases: null and empty texts have no shingles and link with nothing; a text of
@@ -31,15 +31,18 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textops as T
 from docloom.llm.components import components
-from docloom.llm.shared import written
+from docloom.llm.shared import dropped, written
 
 WANT_BITS = 24
-#: Star rounds at most before the pairs that are left are compared.
-ROUNDS = 8
+#: Bits by which shingles are told apart; a chunk has no more texts than the other bits can number.
+HASH_BITS = 46
+#: Star rounds at most before the pairs that are left are compared; they are compared earlier once a round links fewer than one in so many nodes.
+ROUNDS, FEW = 6, 20
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def _sets(c: T.Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, hashes): the distinct k-word shingles of each text, sorted; the whole sequence if it is shorter."""
+    """(bounds, hashes): the distinct k-word shingles of each text, sorted, by the upper bits of their hashes; the whole sequence if it is shorter."""
     n = len(c.offs) - 1
     w = T.words(c, True)
     doc, h = T.shingles(w, k)
@@ -52,11 +55,9 @@ def _sets(c: T.Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
             on = size[short] > i
             whole[on] = whole[on] * T.U64(T._ODD) + w.hash[first[on] + i] + T.U64(1)
         doc, h = np.append(doc, short), np.append(h, T.mix(whole))
-    by = np.lexsort((h, doc))
-    doc, h = doc[by], h[by]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    doc, h = doc[new], h[new]
+    key = np.sort(doc.astype(T.U64) << T.U64(HASH_BITS) | h >> T.U64(64 - HASH_BITS))
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    doc, h = (key >> T.U64(HASH_BITS)).astype(np.int64), key << T.U64(64 - HASH_BITS)
     return T.bounds_of(doc, n), h
 
 
@@ -82,7 +83,7 @@ class Scheme:
             piece = ((h >> T.U64(32)) * T.U64(self.pieces[band]) >> T.U64(32)).astype(np.int64)
             words = np.zeros(self.pieces[band], T.U64)
             begin = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))  # h is sorted, and so piece is
-            words[piece[begin]] = np.bitwise_xor.reduceat(T.U64(1) << (h & T.U64(63)), begin)
+            words[piece[begin]] = np.bitwise_xor.reduceat(T.U64(1) << ((h >> T.U64(18)) & T.U64(63)), begin)
             out.append(T.mix(T.mix(words) + np.arange(len(words), dtype=T.U64) * T.U64(T._ODD) + T.U64(band << 40)))
         return np.concatenate(out)
 
@@ -104,11 +105,23 @@ def sketched(docs: DataFrame, threshold: Fraction, k: int) -> DataFrame:
                 g, g2 = _set_hashes(bounds, h)
                 sigs = [scheme.signatures(h[i:j]) if j > i else h[:0] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 ends = np.append(0, np.cumsum([len(x) for x in sigs]))
+                sketch = _sketch(bounds, h)
                 place = T.mix(g ^ ids[c.lo : c.hi].view(T.U64))
-                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], pa.array(place.view(np.int64)), pa.array(n), pa.array(g.view(np.int64)), pa.array(g2.view(np.int64)), _list(np.concatenate([*sigs, h[:0]]), ends)], ["doc_id", "p", "n", "g", "g2", "sigs"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], pa.array(place.view(np.int64)), pa.array(n), pa.array(g.view(np.int64)), pa.array(g2.view(np.int64)), *(pa.array(x.view(np.int64)) for x in sketch), _list(np.concatenate([*sigs, h[:0]]), ends)], ["doc_id", "p", "n", "g", "g2", *SKETCH, "sigs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(build, f"doc_id {kind}, p long, n long, g long, g2 long, sigs array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(build, f"doc_id {kind}, p long, n long, g long, g2 long, {', '.join(f'{x} long' for x in SKETCH)}, sigs array<long>")
+
+
+def _sketch(bounds: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """256-bit parity sketch of each set, in four words."""
+    word = (h >> T.U64(24)) & T.U64(3)
+    out = []
+    for i in range(4):
+        flip = np.append(T.U64(0), np.where(word == T.U64(i), T.U64(1) << ((h >> T.U64(18)) & T.U64(63)), T.U64(0)))
+        total = np.bitwise_xor.accumulate(flip)
+        out.append(total[bounds[1:]] ^ total[bounds[:-1]])
+    return out
 
 
 def _set_hashes(bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,14 +168,17 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
 def near_duplicates(docs: DataFrame, threshold: Fraction | str = "0.8", k: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     threshold = Fraction(threshold)
-    rows = written(sketched(docs, threshold, k), "sketches")
-    nodes = rows.filter("n > 0").groupBy("g").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("p", "n", "sigs"), "p").alias("s"))
-    nodes = nodes.select("g", "first", "s.*")
+    full = written(sketched(docs, threshold, k), "sketches")
+    nodes = full.filter("n > 0").groupBy("g").agg(F.min_by(F.struct("p", "sigs"), "p").alias("s")).select("g", "s.*")
     bucket = Window.partitionBy("sig")
-    signed = nodes.select("g", "p", "n", F.explode("sigs").alias("sig"))
+    signed = nodes.select("g", F.explode("sigs").alias("sig"))
     multi = signed.withColumn("low", F.min("g").over(bucket)).withColumn("high", F.max("g").over(bucket)).filter("low <> high")
-    multi = written(multi.select("sig", "g", "p", "n"), "buckets")
-    links = linked(docs, multi, threshold, k)
+    multi = written(multi.select("sig", "g"), "buckets")
+    rows = written(full.drop("sigs"), "nodes")
+    dropped(full)
+    del full, nodes, signed
+    members = rows.join(multi.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.min_by(F.struct("p", "n", *SKETCH), "p").alias("s")).select("g", "s.*")
+    links = linked(docs, multi, written(members, "members"), threshold, k)
     whole = rows.select("doc_id", "n", "g")
     first = whole.filter("n > 0").groupBy("g").agg(F.min("doc_id").alias("first"))
     if links is None:
@@ -172,39 +188,53 @@ def near_duplicates(docs: DataFrame, threshold: Fraction | str = "0.8", k: int =
         joined = first.join(comps, first["g"] == comps["id"], "left").withColumn("comp", F.coalesce("component", "g"))
         heads = joined.groupBy("comp").agg(F.min("first").alias("component_id"))
         named = joined.select("g", "comp").join(heads, "comp").select("g", "component_id")
-    out = whole.join(named.withColumn("real", F.lit(True)), "g", "left")
+    out = whole.join(named, "g", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def linked(docs: DataFrame, multi: DataFrame, threshold: Fraction, k: int) -> DataFrame | None:
-    """Verified links (a, b) between sets that share a signature: enough of them to connect whatever links connect."""
-    places = multi.select("p", "g").distinct()
-    sets = written(full_sets(docs, places, k), "shingles")
-    links = tested = None
-    near = lambda n, m: F.least(n, m) * threshold.denominator >= F.greatest(n, m) * threshold.numerator
+def linked(docs: DataFrame, multi: DataFrame, members: DataFrame, threshold: Fraction, k: int) -> DataFrame | None:
+    """Verified links (a, b) between sets that share a signature: enough of them to connect whatever links connect.
+
+    ``multi`` has the buckets (sig, g) of two nodes at least, ``members`` their nodes (g, p, n and sketch).
+    """
+    sets = written(full_sets(docs, members.select("p", "g"), k), "shingles")
+    links = tested = found = None
+    apart = float((1 - threshold) / (1 + threshold))
+
+    def distance(a: str, b: str) -> F.Column:
+        return sum((F.bit_count(F.col(a + x).bitwiseXOR(F.col(b + x))) for x in SKETCH), F.lit(0))
+
+    def near(a: str, b: str) -> F.Column:
+        """Size filter, and the sketches' Hamming distance against the largest symmetric difference of a pair."""
+        n, m = F.col(f"{a}n"), F.col(f"{b}n")
+        return (F.least(n, m) * threshold.denominator >= F.greatest(n, m) * threshold.numerator) & (distance(a, b) <= F.floor(F.lit(apart) * (n + m) + 1e-9))
+
     for step in range(ROUNDS + 1):
         if links is None:
-            active = multi.withColumn("comp", F.col("g"))
+            placed = members.withColumn("comp", F.col("g"))
         else:
             comps = components(links)
-            active = multi.join(comps, multi["g"] == comps["id"], "left").withColumn("comp", F.coalesce("component", "g")).drop("id", "component")
-        mixed = active.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("g").alias("size")).filter("low <> high")
-        active = written(active.join(mixed.select("sig", "size"), "sig"), "active")
-        size = active.groupBy("sig").agg(F.first("size").alias("m")).agg(F.count("sig"), F.sum("m"), F.sum(F.col("m") * F.col("m"))).first()
-        if not size[0]:
+            placed = members.join(comps, members["g"] == comps["id"], "left").withColumn("comp", F.coalesce("component", "g")).drop("id", "component")
+        bucket = Window.partitionBy("sig")
+        active = multi.join(placed.drop("p"), "g").withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket))
+        active = written(active.filter("low <> high").drop("low", "high"), "active")
+        rows = active.select("g").distinct().count()
+        if not rows:
             break
-        last = step == ROUNDS or size[2] <= 16 * size[1]
+        last = step == ROUNDS or found is not None and found * FEW <= rows
         if last:
-            y = active.select("sig", *(F.col(x).alias(x + "2") for x in ("g", "n", "comp")))
-            pairs = active.join(y, "sig").filter((F.col("g") < F.col("g2")) & (F.col("comp") != F.col("comp2")) & near(F.col("n"), F.col("n2"))).select(F.col("g").alias("a"), F.col("g2").alias("b"))
+            x, y = active.alias("x"), active.alias("y")
+            on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.comp") != F.col("y.comp")) & near("x.", "y.")
+            pairs = x.join(y, on).select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct()
         else:
-            centre = active.groupBy("sig").agg(F.min_by(F.struct("g", "n", "comp"), F.xxhash64("g", F.lit(step))).alias("c"))
-            pairs = active.join(centre, "sig").filter((F.col("c.comp") != F.col("comp")) & near(F.col("n"), F.col("c.n")))
-            pairs = pairs.select(F.least("g", "c.g").alias("a"), F.greatest("g", "c.g").alias("b"))
-        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+            centre = active.groupBy("sig").agg(F.min_by(F.struct("g", "n", "comp", *SKETCH), F.xxhash64("g", F.lit(step))).alias("c"))
+            held = active.alias("x").join(centre, "sig").filter((F.col("c.comp") != F.col("x.comp")) & near("x.", "c."))
+            best = held.groupBy(F.col("x.g").alias("x")).agg(F.min_by("c.g", F.struct(distance("x.", "c."), F.xxhash64("c.g", F.lit(step)))).alias("y"))
+            pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         good = written(verified(pairs, sets, threshold), "links")
+        found = good.count()
         links = good if links is None else links.union(good)
         if last:
             break
@@ -221,3 +251,18 @@ def near_duplicate_stage(docs: DataFrame, threshold: Fraction | str = "0.8", k:
     found = near_duplicates(docs.select("doc_id", "text"), threshold, k)
     gone = found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+reach AS (SELECT x AS doc_id, y AS r FROM l UNION SELECT reach.doc_id, l.y FROM reach JOIN l ON l.x = reach.r)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(reach.r)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import toolcalls
+from docloom.llm import parityjoin, toolcalls
 from docloom.llm.decontam import op7_qgram_decontamination
 from docloom.llm.huffman import op10_huffman_ids
 from docloom.llm.langid import op6_cross_parsing
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_tool_calls": toolcalls.ORACLE}
+    return {"op2_parity_join": parityjoin.ORACLE, "op4_tool_calls": toolcalls.ORACLE}
