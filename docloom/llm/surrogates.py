@@ -39,6 +39,9 @@ _TITLE_M = r"Mr\.?|Herr|Monsieur|Señor|Sr\.|Господин"
 _NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE_F}|{_TITLE_M})(?: \p{{Lu}}\p{{Ll}}{{1,30}}(?![\p{{L}}])){{1,2}}"
 PATTERN = "|".join((_EMAIL, _SECRET, _AWS, _HEX, _IP, _PHONE, _CARD, _SSN, _NAME))
 
+#: What every entity has some of; a text without any is not searched further.
+SIGNS = r"[0-9@=:]|AKIA|M[irs]|Mme|Madame|Monsieur|Frau|Herr|Señor|Sra?\.|Госп"
+
 #: Syllables of invented first names by gender and of surnames, in Latin and Cyrillic script.
 SYLLABLES = {
     "f_latin": ["Al", "Bea", "Cla", "Do", "Eli", "Fio", "Gre", "He"] + ["la", "ri", "mi", "no"] + ["na", "ra", "sa", "lia"],
@@ -117,11 +120,15 @@ def _picker(of: Column, hexes: Column):  # noqa: ANN202
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """Surrogate of a canonical form: digits alone for phone, card and ssn; lower case for names and mail."""
-    text = F.when(kind == "email", F.substring_index(canon, "@", 1)).otherwise(canon)
-    n = F.length(text)
-    hexes = _bytes(kind, canon, attempt, key, n)
+def drawn(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (type, canon, attempt) with ``made``, the surrogate of the canonical form: digits alone for phone, card and ssn; lower case for names and mail."""
+    text = F.when(F.col("type") == "email", F.substring_index("canon", "@", 1)).otherwise(F.col("canon"))
+    hexes = _bytes(F.col("type"), F.col("canon"), F.col("attempt"), key, F.length(text))
+    # the hash is a column of its own, so that it is computed once for each row
+    return rows.drop("made").withColumn("_hex", hexes).withColumn("made", _surrogate(text, F.col("_hex"), F.col("type"), F.col("attempt"))).drop("_hex")
+
+
+def _surrogate(text: Column, hexes: Column, kind: Column, attempt: Column) -> Column:
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     pick = lambda letters, v: F.substr(F.lit(letters), v + 1, F.lit(1))
 
@@ -159,7 +166,7 @@ def _poured(kind: Column, text: Column, made: Column) -> Column:
 def entity_table(parts: DataFrame, key: str) -> DataFrame:
     """Distinct (type, canon) with surrogates of which no two are equal in a type and none is an entity of it."""
     found = parts.select("type", "canon").distinct()
-    now = written(found.withColumn("attempt", F.lit(0)).withColumn("made", surrogate(F.col("type"), F.col("canon"), F.lit(0), key)), "entities")
+    now = written(drawn(found.withColumn("attempt", F.lit(0)), key), "entities")
     real = now.select("type", F.when(F.col("type") == "email", F.substring_index("canon", "@", 1)).otherwise(F.col("canon")).alias("made"), F.lit(True).alias("real")).distinct()
     while True:
         same = Window.partitionBy("type", "made").orderBy("attempt", "canon")
@@ -167,16 +174,15 @@ def entity_table(parts: DataFrame, key: str) -> DataFrame:
         seen = written(seen.select("type", "canon", "attempt", "made", "bad"), "entities")
         if not seen.filter("bad").limit(1).count():
             return seen.drop("bad", "attempt")
-        attempt = F.when(F.col("bad"), F.col("attempt") + 1).otherwise(F.col("attempt"))
-        drawn = seen.withColumn("attempt", attempt)
-        now = drawn.withColumn("made", F.when(F.col("bad"), surrogate(F.col("type"), F.col("canon"), F.col("attempt"), key)).otherwise(F.col("made"))).drop("bad")
+        again = drawn(seen.filter("bad").drop("bad").withColumn("attempt", F.col("attempt") + 1), key)
+        now = again.unionByName(seen.filter("not bad").drop("bad"))
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """All columns of ``docs`` with the entities of ``text`` replaced, and ``_entities``, their number."""
-    surfaces = F.regexp_extract_all("text", F.lit(PATTERN), 0)
-    held = docs.withColumn("_surfaces", surfaces).filter("size(_surfaces) > 0")
-    rest = docs.filter(F.col("text").isNull() | ~F.col("text").rlike(PATTERN))
+    signs = F.col("text").rlike(SIGNS)
+    held = docs.filter(F.when(signs, F.col("text").rlike(PATTERN))).withColumn("_surfaces", F.regexp_extract_all("text", F.lit(PATTERN), 0))
+    rest = docs.filter(F.col("text").isNull() | ~F.when(signs, F.col("text").rlike(PATTERN)).otherwise(False))
     identity = [F.xxhash64("text").alias("_k1"), F.crc32(F.encode("text", "UTF-8")).alias("_k2"), F.length("text").alias("_k3")]
     ks = ["_k1", "_k2", "_k3"]
     each = held.select(*identity, "_surfaces").dropDuplicates(ks).select(*ks, F.posexplode("_surfaces").alias("at", "surface"))
