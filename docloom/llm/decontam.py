@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docloom.llm import textops as T
 
@@ -242,7 +243,7 @@ def decontamination_stage(docs: DataFrame, items: DataFrame) -> DataFrame:
                         keep[doc] = False
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo).filter(pa.array(keep))], ["row"])
 
-    return packed.mapInArrow(clean, f"row {packed.schema['row'].dataType.simpleString()}").select("row.*")
+    return packed.mapInArrow(clean, StructType([packed.schema["row"]])).select("row.*")
 
 
 def op7_qgram_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

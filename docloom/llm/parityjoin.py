@@ -38,6 +38,8 @@ WANT_BITS = 24
 HASH_BITS = 46
 #: Star rounds at most before the pairs that are left are compared; they are compared earlier once a round links fewer than one in so many nodes.
 ROUNDS, FEW = 6, 20
+#: No star rounds where all buckets' pairs are so few.
+SMALL = 1 << 18
 SKETCH = ("s0", "s1", "s2", "s3")
 
 
@@ -92,25 +94,56 @@ def _list(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def sketched(docs: DataFrame, threshold: Fraction, k: int) -> DataFrame:
-    """doc_id, place hash p, set size n, set hashes g and g2, and signatures, of every row."""
+def sketched(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, place hash p, set size n, set hash g and 256-bit sketch of every row."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(threshold)
         for b in batches:
             ids = b.column(2).to_numpy()
             for c in T.chunks(b.column(1)):
                 bounds, h = _sets(c, k)
-                n = np.diff(bounds)
-                g, g2 = _set_hashes(bounds, h)
-                sigs = [scheme.signatures(h[i:j]) if j > i else h[:0] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                ends = np.append(0, np.cumsum([len(x) for x in sigs]))
-                sketch = _sketch(bounds, h)
-                place = T.mix(g ^ ids[c.lo : c.hi].view(T.U64))
-                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], pa.array(place.view(np.int64)), pa.array(n), pa.array(g.view(np.int64)), pa.array(g2.view(np.int64)), *(pa.array(x.view(np.int64)) for x in sketch), _list(np.concatenate([*sigs, h[:0]]), ends)], ["doc_id", "p", "n", "g", "g2", *SKETCH, "sigs"])
+                g = _set_hash(bounds, h)
+                columns = [pa.array(np.diff(bounds)), *(pa.array(x.view(np.int64)) for x in (g, *_sketch(bounds, h)))]
+                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], pa.array(_place(g, ids[c.lo : c.hi])), *columns], ["doc_id", "p", "n", "g", *SKETCH])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(build, f"doc_id {kind}, p long, n long, g long, g2 long, {', '.join(f'{x} long' for x in SKETCH)}, sigs array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(build, f"doc_id {kind}, p long, n long, g long, {', '.join(f'{x} long' for x in SKETCH)}")
+
+
+def _place(g: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Hash of a row's set and doc_id."""
+    return T.mix(g ^ ids.view(T.U64)).view(np.int64)
+
+
+def _wanted(places: DataFrame):  # noqa: ANN202
+    """Filter of fixed size that all place hashes ``p`` pass."""
+    slots = places.select(F.shiftrightunsigned("p", 64 - WANT_BITS).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    want = np.zeros(1 << WANT_BITS, bool)
+    want[slots] = True
+    return places.sparkSession.sparkContext.broadcast(np.packbits(want))
+
+
+def signed(docs: DataFrame, places: DataFrame, threshold: Fraction, k: int) -> DataFrame:
+    """(sig, g): the signatures of the sets whose place hash is among ``places`` (p).
+
+    A copy of a set that passes the filter too gives the same rows again, which change no bucket.
+    """
+    shared = _wanted(places)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme, want = Scheme(threshold), np.unpackbits(shared.value).view(bool)
+        for b in batches:
+            ids = b.column(1).to_numpy()
+            for c in T.chunks(b.column(0)):
+                bounds, h = _sets(c, k)
+                g = _set_hash(bounds, h)
+                hit = want[(_place(g, ids[c.lo : c.hi]).view(T.U64) >> T.U64(64 - WANT_BITS)).astype(np.int64)]
+                rows = np.flatnonzero(hit & (np.diff(bounds) > 0))
+                if len(rows):
+                    sigs = [scheme.signatures(h[bounds[i] : bounds[i + 1]]) for i in rows.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(g[rows], [len(x) for x in sigs]).view(np.int64))], ["sig", "g"])
+
+    return docs.select("text", F.xxhash64("doc_id").alias("k")).mapInArrow(build, "sig long, g long")
 
 
 def _sketch(bounds: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
@@ -124,19 +157,15 @@ def _sketch(bounds: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _set_hashes(bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    one, two = np.zeros(len(h) + 1, T.U64), np.zeros(len(h) + 1, T.U64)
-    np.cumsum(T.mix(h), out=one[1:])
-    np.cumsum(T.mix(h * T.U64(T._ODD)), out=two[1:])
-    return T.mix(one[bounds[1:]] - one[bounds[:-1]]), T.mix(two[bounds[1:]] - two[bounds[:-1]])
+def _set_hash(bounds: np.ndarray, h: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(h) + 1, T.U64)
+    np.cumsum(T.mix(h), out=total[1:])
+    return T.mix(total[bounds[1:]] - total[bounds[:-1]])
 
 
 def full_sets(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
     """(g, shingles) of the rows whose place hash is in ``places`` (p, g): a scan that passes rows by a filter of fixed size, then a join."""
-    slots = places.select(F.shiftrightunsigned("p", 64 - WANT_BITS).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    want = np.zeros(1 << WANT_BITS, bool)
-    want[slots] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(want))
+    shared = _wanted(places)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = np.unpackbits(shared.value).view(bool)
@@ -144,8 +173,7 @@ def full_sets(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
             ids = b.column(1).to_numpy()
             for c in T.chunks(b.column(0)):
                 bounds, h = _sets(c, k)
-                g, _ = _set_hashes(bounds, h)
-                place = T.mix(g ^ ids[c.lo : c.hi].view(T.U64))
+                place = _place(_set_hash(bounds, h), ids[c.lo : c.hi]).view(T.U64)
                 hit = np.flatnonzero(want[(place >> T.U64(64 - WANT_BITS)).astype(np.int64)] & (np.diff(bounds) > 0))
                 if len(hit):
                     n = np.diff(bounds)[hit]
@@ -168,15 +196,12 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
 def near_duplicates(docs: DataFrame, threshold: Fraction | str = "0.8", k: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     threshold = Fraction(threshold)
-    full = written(sketched(docs, threshold, k), "sketches")
-    nodes = full.filter("n > 0").groupBy("g").agg(F.min_by(F.struct("p", "sigs"), "p").alias("s")).select("g", "s.*")
+    rows = written(sketched(docs, k), "nodes")
+    first = rows.filter("n > 0").groupBy("g").agg(F.min("p").alias("p"))
     bucket = Window.partitionBy("sig")
-    signed = nodes.select("g", F.explode("sigs").alias("sig"))
-    multi = signed.withColumn("low", F.min("g").over(bucket)).withColumn("high", F.max("g").over(bucket)).filter("low <> high")
-    multi = written(multi.select("sig", "g"), "buckets")
-    rows = written(full.drop("sigs"), "nodes")
-    dropped(full)
-    del full, nodes, signed
+    pairs = signed(docs, first, threshold, k).withColumn("low", F.min("g").over(bucket)).withColumn("high", F.max("g").over(bucket))
+    multi = written(pairs.filter("low <> high").select("sig", "g").distinct(), "buckets")
+    del pairs
     members = rows.join(multi.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.min_by(F.struct("p", "n", *SKETCH), "p").alias("s")).select("g", "s.*")
     links = linked(docs, multi, written(members, "members"), threshold, k)
     whole = rows.select("doc_id", "n", "g")
@@ -218,10 +243,10 @@ def linked(docs: DataFrame, multi: DataFrame, members: DataFrame, threshold: Fra
         bucket = Window.partitionBy("sig")
         active = multi.join(placed.drop("p"), "g").withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket))
         active = written(active.filter("low <> high").drop("low", "high"), "active")
-        rows = active.select("g").distinct().count()
-        if not rows:
+        work = active.groupBy("sig").agg(F.count("g").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()[0]
+        if not work:
             break
-        last = step == ROUNDS or found is not None and found * FEW <= rows
+        last = step == ROUNDS or work <= SMALL or found is not None and found * FEW <= active.select("g").distinct().count()
         if last:
             x, y = active.alias("x"), active.alias("y")
             on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.comp") != F.col("y.comp")) & near("x.", "y.")

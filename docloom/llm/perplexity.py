@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from docloom.llm import textops as T
 from docloom.llm.shared import record
@@ -246,8 +247,8 @@ def judged(docs: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST
                 stats = base_statistics(c)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *(pa.array(stats[k], pa.int64()) for k in names), pa.array(scorer(c), from_pandas=True)], ["row", "lang", *names, "log_ppl"])
 
-    kind = packed.schema["row"].dataType.simpleString()
-    found = packed.mapInArrow(judge, f"row {kind}, lang string, {', '.join(f'{k} long' for k in names)}, log_ppl double")
+    schema = StructType([packed.schema["row"], StructField("lang", StringType()), *(StructField(k, LongType()) for k in names), StructField("log_ppl", DoubleType())])
+    found = packed.mapInArrow(judge, schema)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     drawn = F.col("middle") + (F.col("log_ppl") - F.col("middle")) * F.col("word_chars") / (F.col("word_chars") + PRIOR_CHARS)
     inside = drawn.between(F.col("lower"), F.col("upper"))

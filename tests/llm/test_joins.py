@@ -1,5 +1,6 @@
 import pytest
 
+from docloom.llm import parityjoin
 from docloom.llm.components import components
 from docloom.llm.linededup import dedup_lines, op9_line_dedup
 from docloom.llm.parityjoin import near_duplicates, near_duplicate_stage
@@ -24,12 +25,14 @@ def test_near_duplicates(spark, num, den, k, seed):
     assert len({r[2] for r in got}) < len(rows)
 
 
-def test_near_copies_without_a_common_centre(spark):
+def test_near_copies_without_a_common_centre(spark, monkeypatch):
     """A chain: neighbours link, ends don't; and a group around several centres."""
     base = [f"w{i}" for i in range(100)]
     chain = [(j, " ".join(base[: 100 - 2 * j] + [f"z{i}" for i in range(2 * j)]), "en", "s", 0) for j in range(12)]
     noisy = [(100 + j, " ".join(f"q{i}" if i != j * 3 else f"y{j}" for i in range(120)), "en", "s", 0) for j in range(30)]
     rows = chain + noisy
+    monkeypatch.setattr(parityjoin, "SMALL", 0)
+    monkeypatch.setattr(parityjoin, "ROUNDS", 2)
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA), "9/10", 3).collect()
     assert sorted(map(tuple, got)) == near_brute(rows, 9, 10, 3)
 
