@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+RELEASE_S = 8.0
+_released = 0.0
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one below the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,8 +41,13 @@ def released(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of tables that nothing refers to any more.
 
     The cleaner acts on the driver's garbage; without this the files of every
-    earlier step would stay beside those of the next.
+    earlier step would stay beside those of the next.  Not more often than
+    every RELEASE_S seconds: short steps leave little behind.
     """
+    global _released
+    if time.monotonic() - _released < RELEASE_S:
+        return
+    _released = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
