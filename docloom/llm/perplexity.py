@@ -1,11 +1,18 @@
 """Quality rules: n-gram perplexity under a modified Kneser-Ney model.
 
-Symbols are 40 classes of UTF-8 bytes and n-grams have four of them, so the
-model has at most 40**4 entries whatever the corpus.  Spark counts the n-grams
-of every whole text (each task adds up its own, then a grouped sum), the
-driver turns the bounded count table into smoothed probabilities, and each
-order is kept as arrays sorted by hash.  A document is scored by its mean
-log-probability; documents outside their language's band are rejected.
+Symbols are the code points of the texts, all of them, and n-grams have four.
+Spark counts the n-grams of every whole text (each task adds up its own, then a
+grouped sum) and smooths the counts order by order with grouped sums and joins,
+so the model is a table that grows with the corpus and that no process holds.
+
+Texts lie in blocks of about BLOCK bytes.  Each block's distinct n-grams are
+joined with the model, and the block is scored by its own part of it, as arrays
+sorted by hash.  A document is scored by its mean log-probability; documents
+outside their language's band are rejected.
+
+A text must not vouch for itself: beside this its held-out score takes each
+n-gram that one text only has (with its exact copies) as one that the model has
+not seen, by the back-off, and must not lie above its language's band.
 
 Cases: a null or empty text has no words, fails the base rule and has a null
 perplexity; a null ``lang`` is a language of its own; repeated rows and ids are
@@ -16,18 +23,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from docloom.llm import textops as T
-from docloom.llm.shared import record
-
-V, ORDER = 40, 4
-SIZE = V**ORDER
+from docloom.llm.shared import dropped, record, written
+
+#: Symbols: 0 stands before a text's start, the others are the code points.
+V, ORDER, BITS = 0x110001, 4, 21
+#: Symbol of each code point.
+CLASS = np.arange(1, V, dtype=np.int32)
+#: An n-gram: its symbols but the last, BITS each, and the last.
+KEY = np.dtype([("context", np.int64), ("symbol", np.int32)])
+#: Bytes of a block of texts, about, and distinct n-grams that a task adds up before it passes them on.
+BLOCK, PENDING = 32 << 20, 1 << 22
 #: Bands reach this many interquartile ranges beyond the quartiles of a language's log-perplexity.
 BAND_WIDTH = 2.0
 #: Half-width of a band at least, in log-perplexity.
@@ -36,56 +50,110 @@ BAND_LEAST = 0.03
 PRIOR_CHARS = 200
 
 
-def _classes() -> np.ndarray:
-    """Class of each byte: 0 is the start of a text and no byte's."""
-    c = np.full(256, 33)
-    c[97:123] = np.arange(1, 27)
-    c[65:91] = 27
-    c[32], c[[9, 10, 11, 12, 13]] = 28, 29
-    c[48:58] = 30
-    c[list(b".,;:!?'\"()-")] = 31
-    c[list(b"#*$%&|<>")] = 32
-    c[0x80:0xA0], c[0xA0:0xB0], c[0xB0:0xC0] = 34, 35, 36
-    c[0xC0:0xE0], c[0xE0:0xF0], c[0xF0:] = 37, 38, 39
-    return c.astype(np.int64)
-
-
-CLASS = _classes()
-
-
-def ngram_keys(c: T.Chunk) -> np.ndarray:
-    """Key of the n-gram that ends at each byte; symbols before a text's start are 0."""
-    cur = CLASS[c.buf]
-    starts = c.offs[:-1][c.offs[:-1] < len(cur)]
-    key, back = cur.copy(), cur
-    for k in range(1, ORDER):
+def code_points(c: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a chunk, and the bounds of each text's."""
+    lead = np.flatnonzero((c.buf & 0xC0) != 0x80)
+    point = c.buf[lead].astype(np.int32)
+    wide = np.flatnonzero(point >= 0xC0)
+    if len(wide):
+        b0, at = point[wide], lead[wide]
+        b1, b2, b3 = (np.append(c.buf, np.zeros(3, np.uint8))[at + k].astype(np.int32) & 0x3F for k in (1, 2, 3))
+        two, three = (b0 & 0x1F) << 6 | b1, (b0 & 0x0F) << 12 | b1 << 6 | b2
+        four = (b0 & 0x07) << 18 | b1 << 12 | b2 << 6 | b3
+        point[wide] = np.minimum(np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, four)), V - 2)
+    return point, np.searchsorted(lead, c.offs)
+
+
+def ngrams(c: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, symbol) of the n-gram that ends at each code point, and texts' bounds; symbols before a text's start are 0."""
+    points, offs = code_points(c)
+    cur = CLASS[points]
+    starts = offs[:-1][offs[:-1] < len(cur)]
+    context, back = np.zeros(len(cur), np.int64), cur
+    for k in range(ORDER - 1):
         prev = np.zeros_like(back)
         prev[1:] = back[:-1]
         prev[starts] = 0
-        key += prev * V**k
+        context |= prev.astype(np.int64) << BITS * k
         back = prev
-    return key
+    return context, cur, offs
+
+
+def ngram_keys(c: T.Chunk) -> np.ndarray:
+    """The same as an array of KEY."""
+    context, symbol, _ = ngrams(c)
+    return _keys(context, symbol)
+
+
+def _keys(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    out = np.empty(len(symbol), KEY)
+    out["context"], out["symbol"] = context, symbol
+    return out
+
+
+def _hash(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """64-bit hash of n-grams."""
+    return T.mix(T.mix(np.asarray(context).astype(T.U64)) + np.asarray(symbol).astype(T.U64) * T.U64(T._ODD)).view(np.int64)
+
+
+def _text_hash(c: T.Chunk) -> np.ndarray:
+    """Hash of each text, not 0."""
+    power, _ = T.powers(len(c.buf) + 1)
+    prefix = np.zeros(len(c.buf) + 1, T.U64)
+    np.cumsum(T._BYTE[c.buf] * power[: len(c.buf)], out=prefix[1:])
+    return (T.span_hash(prefix, c.offs[:-1], c.offs[1:]) | T.U64(1)).view(np.int64)
+
+
+def _added(parts: list[tuple]) -> tuple:
+    """(hash, context, symbol, n, owner) of distinct n-grams, sorted by hash; the owner is the only text's hash, or 0."""
+    h, context, symbol, n, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1]))
+    least, most = np.minimum.reduceat(owner[by], first), np.maximum.reduceat(owner[by], first)
+    return h[by[first]], context[by[first]], symbol[by[first]], np.add.reduceat(n[by], first), np.where(least == most, least, 0)
+
+
+def _distinct(chunks: Iterator[T.Chunk]) -> Iterator[tuple]:
+    """Tables of distinct n-grams; an n-gram is in several if there are more than PENDING."""
+    parts, size = [], 0
+    for c in chunks:
+        context, symbol, offs = ngrams(c)
+        if not len(symbol):
+            continue
+        parts.append(_added([(_hash(context, symbol), context, symbol, np.ones(len(symbol), np.int64), np.repeat(_text_hash(c), np.diff(offs)))]))
+        size += len(parts[-1][0])
+        if size > PENDING:
+            parts = [_added(parts)]
+            size = len(parts[0][0])
+            if size > PENDING // 2:
+                yield parts[0]
+                parts, size = [], 0
+    if parts:
+        yield _added(parts)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SIZE, np.int64)
-    for b in batches:
-        for c in T.chunks(b.column(0), 1 << 22):
-            total += np.bincount(ngram_keys(c), minlength=SIZE)
-    key = np.flatnonzero(total)
-    for i in range(0, len(key), 1 << 16):
-        k = key[i : i + (1 << 16)]
-        yield record("key:int n:long", key=k, n=total[k])
+    for _, context, symbol, n, owner in _distinct(c for b in batches for c in T.chunks(b.column(0), 1 << 22)):
+        for i in range(0, len(n), 1 << 16):
+            at = slice(i, i + (1 << 16))
+            yield record("context:long symbol:int n:long owner:long", context=context[at], symbol=symbol[at], n=n[at], owner=owner[at])
 
 
-def _slots(key: np.ndarray) -> np.ndarray:
-    """Hash of n-gram keys: a bijection of 22-bit numbers, so no two n-grams share one."""
-    return ((np.asarray(key, np.int64) * 0x2C1B3C6D + 0x297A2D) & 0x3FFFFF).astype(np.int32)
+def _shorter(key: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` symbols of n-grams."""
+    return _keys(key["context"] & ((1 << BITS * (order - 1)) - 1), key["symbol"])
+
+
+def _cuts(have: list[int]) -> list[float]:
+    """Discounts of counts 0, 1, 2 and more, from how many n-grams have the counts 1 to 4."""
+    have = [max(int(x), 1) for x in have]
+    y = have[0] / (have[0] + 2 * have[1])
+    return [0.0] + [min(max(i - (i + 1) * y * have[i] / have[i - 1], 0.05), 0.95 * i) for i in (1, 2, 3)]
 
 
 @dataclass
 class Model:
-    """For each order: sorted n-gram hashes, log-probabilities, and sorted context hashes with log back-off weights."""
+    """A model in one process: for each order sorted n-gram hashes with log-probabilities, and sorted context hashes with log back-off weights."""
 
     grams: list[tuple[np.ndarray, np.ndarray]]
     backs: list[tuple[np.ndarray, np.ndarray]]
@@ -95,12 +163,13 @@ class Model:
         out, left = np.zeros(len(key)), np.arange(len(key))
         for order in range(ORDER, 0, -1):
             hashes, logp = self.grams[order]
-            at, hit = _find(hashes, _slots(key[left] % V**order))
+            short = _shorter(key[left], order)
+            at, hit = _find(hashes, _hash(short["context"], short["symbol"]))
             out[left[hit]] += logp[at[hit]]
-            left = left[~hit]
+            left, short = left[~hit], short[~hit]
             if len(left):
                 hashes, weight = self.backs[order]
-                at, hit = _find(hashes, _slots(key[left] % V**order // V))
+                at, hit = _find(hashes, _hash(short["context"], np.zeros(len(short), np.int32)))
                 out[left[hit]] += weight[at[hit]]
         out[left] -= np.log(V)
         return out
@@ -112,66 +181,65 @@ def _find(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def estimate(key: np.ndarray, n: np.ndarray) -> Model:
-    """Modified Kneser-Ney (three discounts for each order, interpolated) from the counts of 4-grams."""
-    counts = [np.zeros(0)] * (ORDER + 1)
-    counts[ORDER] = np.zeros(SIZE, np.int64)
-    counts[ORDER][key] = n
+    """:func:`smoothed` for counts that fit one process: what its table is held against."""
+    counts = [(key, n)] * (ORDER + 1)
     for order in range(ORDER - 1, 0, -1):
-        above = counts[order + 1].reshape(V, -1)
-        continued = (above > 0).sum(0)
-        starts = np.arange(V**order) < V ** (order - 1)  # n-grams from a text's start keep their own counts
-        counts[order] = np.where(starts, above[0], continued)
-    lower = np.full(V, 1.0 / V)
+        above, m = counts[order + 1]
+        low, place = np.unique(_shorter(above, order), return_inverse=True)
+        start = low["context"] >> BITS * (order - 2) == 0 if order > 1 else np.zeros(len(low), bool)
+        counts[order] = low, np.where(start, np.bincount(place, m), np.bincount(place)).astype(np.int64)
+    p, below = np.full(1, 1.0 / V), None
     grams, backs = [(np.zeros(0), np.zeros(0))] * (ORDER + 1), [(np.zeros(0), np.zeros(0))] * (ORDER + 1)
     for order in range(1, ORDER + 1):
-        c = counts[order].reshape(-1, V)
-        have = [max(int((c == i).sum()), 1) for i in range(1, 5)]
-        y = have[0] / (have[0] + 2 * have[1])
-        cut = np.array([0.0] + [min(max(i - (i + 1) * y * have[i] / have[i - 1], 0.05), 0.95 * i) for i in (1, 2, 3)])
-        discount = cut[np.minimum(c, 3)]
-        total = c.sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where(total > 0, discount.sum(1, keepdims=True) / np.maximum(total, 1), 1.0)
-            base = np.tile(lower.reshape(-1, V), (len(c) // max(len(lower) // V, 1), 1))
-            p = (c - discount) / np.maximum(total, 1) + weight * base
-        seen, context = np.flatnonzero(c.ravel()), np.flatnonzero(total.ravel())
-        grams[order] = _sorted(seen, np.log(p.ravel()[seen]))
-        backs[order] = _sorted(context, np.log(np.maximum(weight.ravel()[context], 1e-12)))
-        lower = p.ravel()
+        low, c = counts[order]
+        discount = np.array(_cuts([(c == i).sum() for i in range(1, 5)]))[np.minimum(c, 3)]
+        context, place = np.unique(low["context"], return_inverse=True)
+        total = np.bincount(place, c)
+        weight = np.bincount(place, discount) / total
+        base = p[0] if below is None else p[np.searchsorted(below, _shorter(low, order - 1))]
+        p, below = (c - discount) / total[place] + weight[place] * base, low
+        grams[order] = _sorted(_hash(low["context"], low["symbol"]), np.log(p))
+        backs[order] = _sorted(_hash(context, np.zeros(len(context), np.int32)), np.log(np.maximum(weight, 1e-12)))
     return Model(grams, backs)
 
 
-def _sorted(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    slot = _slots(key)
-    by = np.argsort(slot)
-    return slot[by], value[by].astype(np.float32)
-
-
-def train(docs: DataFrame) -> Model:
-    """Count n-grams of every text of ``docs`` and estimate the model."""
-    counts = docs.select("text").mapInArrow(_count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()  # at most V**ORDER rows
-    return estimate(table["key"].to_numpy(), table["n"].to_numpy())
+def _sorted(h: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.argsort(h)
+    return h[by], value[by].astype(np.float32)
 
 
-class Scorer:
-    """Scores chunks; each n-gram is looked up in the sorted arrays once for a task and remembered."""
+def smoothed(docs: DataFrame) -> DataFrame:
+    """``context``, ``symbol``, ``p`` and ``held`` of every n-gram of ``docs``: modified Kneser-Ney (three discounts for each order, interpolated).
 
-    def __init__(self, model: Model):
-        self.model, self.known = model, np.full(SIZE, np.nan, np.float32)
-
-    def __call__(self, c: T.Chunk) -> np.ndarray:
-        """Mean -log P for each byte of each text; NaN for an empty text."""
-        key = ngram_keys(c)
-        logp = self.known[key]
-        new = np.isnan(logp)
-        if new.any():
-            fresh = np.unique(key[new])
-            self.known[fresh] = self.model.lookup(fresh)
-            logp = self.known[key]
-        size = np.diff(c.offs)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(size > 0, -T.sums(logp.astype(np.float64), c.offs) / size, np.nan)
+    ``held`` is ``p``, but for an n-gram with an owner that of an n-gram not seen: the back-off weight (1 if its context has the same owner) times the shorter one's ``held``.
+    """
+    one = F.when(F.min("owner") == F.max("owner"), F.min("owner")).otherwise(0).alias("owner")
+    found = docs.select("text").mapInArrow(_count, "context long, symbol int, n long, owner long").groupBy("context", "symbol").agg(F.sum("n").alias("n"), one)
+    counts = {ORDER: written(found, "ngrams")}
+    for order in range(ORDER - 1, 0, -1):
+        low = counts[order + 1].withColumn("context", F.col("context").bitwiseAND((1 << BITS * (order - 1)) - 1))
+        starts = F.shiftright("context", BITS * (order - 2)) == 0 if order > 1 else F.lit(False)  # n-grams from a text's start keep their own counts
+        counts[order] = written(low.groupBy("context", "symbol").agg(F.sum("n").alias("all"), F.count("n").alias("kinds"), one).select("context", "symbol", F.when(starts, F.col("all")).otherwise(F.col("kinds")).alias("n"), "owner"), f"ngrams{order}")
+    below = None
+    for order in range(1, ORDER + 1):
+        c = counts[order]
+        have = c.agg(*[F.count_if(F.col("n") == i) for i in range(1, 5)]).first()
+        cut = _cuts(list(have))
+        discount = F.when(F.col("n") == 1, cut[1]).when(F.col("n") == 2, cut[2]).otherwise(cut[3])
+        of = c.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("lost"), one.alias("only"))
+        got = c.join(of, "context").withColumn("own", (F.col("n") - discount) / F.col("total")).withColumn("weight", F.col("lost") / F.col("total"))
+        if below is None:
+            got = got.withColumn("base", F.lit(1.0 / V)).withColumn("base_held", F.lit(1.0 / V))
+        else:
+            short = below.select(F.col("context").alias("low"), "symbol", F.col("p").alias("base"), F.col("held").alias("base_held"))
+            got = got.withColumn("low", F.col("context").bitwiseAND((1 << BITS * max(order - 2, 0)) - 1)).join(short, ["low", "symbol"])
+        unseen = F.when(F.col("only") != 0, 1.0).otherwise(F.col("weight"))
+        held = F.when(F.col("owner") != 0, unseen * F.col("base_held")).otherwise(F.col("own") + F.col("weight") * F.col("base_held"))
+        p = got.select("context", "symbol", (F.col("own") + F.col("weight") * F.col("base")).alias("p"), held.alias("held"))
+        p, used = written(p, f"model{order}"), [counts[order]] if below is None else [counts[order], below]
+        dropped(*used)
+        below = p
+    return below
 
 
 def base_statistics(c: T.Chunk) -> dict[str, np.ndarray]:
@@ -210,58 +278,105 @@ def _dup_lines(c: T.Chunk, w: T.Words, n: int) -> np.ndarray:
     return np.bincount(doc[again], minlength=n)
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """``lang`` and ``log_ppl`` (null for empty texts) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for b in batches:
-            for c in T.chunks(b.column(1)):
-                yield record("lang:str log_ppl:double", lang=b.column(0)[c.lo : c.hi], log_ppl=pa.array(scorer(c), from_pandas=True))
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    return docs.select(F.col("lang").cast("string"), "text").mapInArrow(score, "lang string, log_ppl double")
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """``block``, ``text``, ``lang`` and ``rest`` (struct of the other columns) of every row, kept so that blocks are the same each time."""
+    rest = F.struct(F.lit(0).alias("_"), *[docs[f"`{c}`"].alias(c) for c in docs.columns if c != "text"])
+    slim = docs.select(docs["text"].alias("text"), docs["lang"].cast("string").alias("lang"), rest.alias("rest"), F.spark_partition_id().cast("long").alias("block"))
 
-def bands(docs: DataFrame, model: Model, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
-    """``lang``, ``middle``, ``lower`` and ``upper`` log-perplexity, from the quartiles of each language's documents."""
-    q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000)
-    found = perplexities(docs, model).filter(F.col("log_ppl").isNotNull()).groupBy("lang").agg(q.alias("q"))
-    reach = F.greatest(F.lit(width) * (F.col("q")[2] - F.col("q")[0]), F.lit(least))
-    return found.select(F.col("lang").alias("band_lang"), F.col("q")[1].alias("middle"), (F.col("q")[0] - reach).alias("lower"), (F.col("q")[2] + reach).alias("upper"))
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+        for b in batches:
+            text = b.column(0).cast(pa.large_string())
+            if not len(text):
+                continue
+            long = np.diff(np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8))
+            number = (size + np.cumsum(long) - long) // BLOCK
+            size += int(long.sum())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(b.column(3).to_numpy() << 32 | number)], ["text", "lang", "rest", "block"])
+
+    return written(slim.mapInArrow(numbered, slim.schema), "blocks")
+
+
+def _scored(blocks: DataFrame, model: DataFrame) -> DataFrame:
+    """The rows of ``blocks`` with base statistics, ``log_ppl`` and ``log_held``."""
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct n-grams of each block (a task's neighbouring rows)."""
+
+        def given(block: int, chunks: Iterator[T.Chunk]) -> Iterator[pa.RecordBatch]:
+            for _, context, symbol, _, _ in _distinct(chunks):
+                for i in range(0, len(symbol), 1 << 16):
+                    at = slice(i, i + (1 << 16))
+                    yield record("block:long context:long symbol:int", block=np.full(len(symbol[at]), block), context=context[at], symbol=symbol[at])
+
+        def runs() -> Iterator[tuple[int, T.Chunk]]:
+            for b in batches:
+                block = b.column(0).to_numpy()
+                edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+                for i, j in zip(edges, [*edges[1:], len(block)], strict=True):
+                    yield from ((int(block[i]), c) for c in T.chunks(b.column(1).slice(i, j - i), 1 << 22))
+
+        for block, run in groupby(runs(), lambda x: x[0]):
+            yield from given(block, (c for _, c in run))
+
+    needs = blocks.select("block", "text").mapInArrow(wanted, "block long, context long, symbol int")
+    have = needs.join(model, ["context", "symbol"]).select("block", "context", "symbol", F.log("p").cast("float").alias("p"), F.log("held").cast("float").alias("held"))
+
+    def score(texts: pa.Table, part: pa.Table) -> pa.Table:
+        h, logp = _sorted(_hash(part["context"].to_numpy(), part["symbol"].to_numpy()), np.stack([part["p"].to_numpy(), part["held"].to_numpy()], 1))
+        out = []
+        texts = texts.combine_chunks()
+        column = texts["text"]
+        for c in T.chunks(column):
+            rows = texts.slice(c.lo, c.hi - c.lo)
+            context, symbol, offs = ngrams(c)
+            distinct, place = np.unique(_hash(context, symbol), return_inverse=True)
+            found, size = logp[np.searchsorted(h, distinct)].astype(np.float64) if len(h) else np.zeros((0, 2)), np.diff(offs)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                means = [pa.array(np.where(size > 0, -T.sums(found[:, k][place], offs) / size, np.nan), from_pandas=True) for k in (0, 1)]
+            stats = base_statistics(c)
+            out.append(pa.table([rows["text"], rows["lang"], rows["rest"], *(pa.array(stats[k], pa.int64()) for k in NAMES), *means], names))
+        return pa.concat_tables(out)
+
+    names = ["text", "lang", "rest", *NAMES, "log_ppl", "log_held"]
+    schema = StructType([*(blocks.schema[k] for k in ("text", "lang", "rest")), *(StructField(k, LongType()) for k in NAMES), StructField("log_ppl", DoubleType()), StructField("log_held", DoubleType())])
+    return blocks.groupBy("block").cogroup(have.groupBy("block")).applyInArrow(score, schema)
+
+
+def bands(found: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
+    """``band_lang``, and for log_ppl and log_held ``middle``, ``lower`` and ``upper``, from the quartiles of each language's documents."""
+    q = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{c}") for c in ("log_ppl", "log_held")]
+    found = found.filter(F.col("log_ppl").isNotNull()).groupBy("lang").agg(*q)
+    out = [F.col("lang").alias("band_lang")]
+    for c in ("log_ppl", "log_held"):
+        low, middle, high = (F.col(f"q_{c}")[k] for k in range(3))
+        reach = F.greatest(F.lit(width) * (high - low), F.lit(least))
+        out += [middle.alias(f"middle_{c}"), (low - reach).alias(f"lower_{c}"), (high + reach).alias(f"upper_{c}")]
+    return found.select(*out)
 
 
 def judged(docs: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
-    """Every row of ``docs`` (all its columns, as struct ``row``) with base statistics, log_ppl, base_failed and kept."""
-    model = train(docs)
-    limits = bands(docs, model, width, least)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("_text"), docs["lang"].cast("string").alias("_lang"))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for b in batches:
-            for c in T.chunks(b.column(1)):
-                rows = b.slice(c.lo, c.hi - c.lo)
-                stats = base_statistics(c)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *(pa.array(stats[k], pa.int64()) for k in names), pa.array(scorer(c), from_pandas=True)], ["row", "lang", *names, "log_ppl"])
-
-    schema = StructType([packed.schema["row"], StructField("lang", StringType()), *(StructField(k, LongType()) for k in names), StructField("log_ppl", DoubleType())])
-    found = packed.mapInArrow(judge, schema)
+    """Every row of ``docs`` (``text``, and its other columns as struct ``rest``) with base statistics, log_ppl, base_failed and kept."""
+    blocks = _blocks(docs)
+    model = smoothed(blocks)
+    found = written(_scored(blocks, model), "scored")
+    dropped(blocks, model)
+    limits = bands(found, width, least)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    drawn = F.col("middle") + (F.col("log_ppl") - F.col("middle")) * F.col("word_chars") / (F.col("word_chars") + PRIOR_CHARS)
-    inside = drawn.between(F.col("lower"), F.col("upper"))
-    return found.join(limits, found["lang"].eqNullSafe(limits["band_lang"]), "left").withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(False))).drop("band_lang", "middle")
+    drawn = lambda c: F.col(f"middle_{c}") + (F.col(c) - F.col(f"middle_{c}")) * F.col("word_chars") / (F.col("word_chars") + PRIOR_CHARS)
+    inside = drawn("log_ppl").between(F.col("lower_log_ppl"), F.col("upper_log_ppl")) & (drawn("log_held") <= F.col("upper_log_held"))
+    return found.join(F.broadcast(limits), found["lang"].eqNullSafe(limits["band_lang"]), "left").withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(False)))
 
 
 def op1_perplexity(docs: DataFrame) -> DataFrame:
     """Statistics, base rule and verdict of every document."""
-    slim = docs.select("doc_id", "text", "lang")
-    out = judged(slim.select("doc_id", "text", "lang"))
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
+    out = judged(docs.select("doc_id", "text", "lang"))
+    return out.select(F.col("rest.doc_id").alias("doc_id"), *NAMES, "base_failed", "kept", "log_ppl")
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns unchanged."""
-    return judged(docs).filter("kept").select("row.*")
+    return judged(docs).filter("kept").select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

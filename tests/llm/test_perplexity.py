@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -91,3 +92,31 @@ def test_empty_and_clashing_columns(spark):
     more = spark.createDataFrame(corpus(), SCHEMA).selectExpr("*", "1 as kept", "'x' as row", "2 as log_ppl", "3 as `a b`")
     out = P.quality_stage(more)
     assert out.columns == more.columns and out.count() > 0
+
+
+def test_every_code_point_counts(spark):
+    """The distributed model against the one of one process, on scripts whose characters byte classes don't tell apart."""
+    rng = random.Random(3)
+    words_ = ["наука", "город", "ABBA", "1984", "中文字符", "語言模型", "العربية", "😀😁"]
+    texts = [" ".join(rng.choice(words_) for _ in range(rng.randint(1, 30))) for _ in range(60)] + [None, "", "a"]
+    keys = np.concatenate([P.ngram_keys(c) for c in T.chunks(pa.array(texts))])
+    key, n = np.unique(keys, return_counts=True)
+    assert {chr(int(x) - 1) for x in key["symbol"]} == set("".join(t or "" for t in texts))
+    model = P.estimate(key, n)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    for r in P.op1_perplexity(docs).collect():
+        if t := texts[r.doc_id]:
+            [c] = T.chunks(pa.array([t]))
+            assert abs(r.log_ppl + model.lookup(P.ngram_keys(c)).mean()) < 1e-5
+
+
+def test_scrambled_text_of_any_script_is_worse_than_prose(spark):
+    rng = random.Random(4)
+    for first, size in ((0x4E00, 2000), (0x430, 32), (0x627, 36)):
+        letters = [chr(first + i) for i in range(size)]
+        words_ = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(120)]
+        texts = [" ".join(rng.choice(words_) for _ in range(150)) for _ in range(80)]
+        garbage = "".join(" " if x == " " else rng.choice(letters) for x in texts[0])
+        docs = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in enumerate([*texts, garbage])], SCHEMA)
+        got = {r.doc_id: r for r in P.op1_perplexity(docs).collect()}
+        assert not got[80].kept and sum(r.kept for r in got.values()) > 70
