@@ -6,9 +6,9 @@ anywhere in the reference is the next phrase.  The fewer phrases for its
 length, the nearer the text is; phrases are normalised by log2 of the reference's
 length.  The language of the lowest rate wins, the first by name in a tie.
 
-The automata's transitions form one table over the characters that occur in the
-references, and all texts of a chunk are parsed side by side, in segments of
-SEGMENT characters of which every one is parsed.
+The automata's transitions form one hash table of (state, character), over all
+characters that occur in the references, and all texts of a chunk are parsed side
+by side, in segments of SEGMENT characters of which every one is parsed.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is
 everything if nothing could be learnt; rows with null text or lang teach
@@ -46,49 +46,92 @@ def fold(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``codes``: row 0 is the root, -1 no transition."""
-    size = 2 * max(len(codes), 1)
-    nxt = [[-1] * symbols]
-    link, length = [-1] * size, [0] * size
-    last, used = 0, 1
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of ``codes``, by state; state 0 is the root."""
+    nxt: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
     for c in codes:
-        cur, used = used, used + 1
-        nxt.append([-1] * symbols)
-        length[cur] = length[last] + 1
+        cur = len(nxt)
+        nxt.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p >= 0 and nxt[p][c] < 0:
+        while p >= 0 and c not in nxt[p]:
             nxt[p][c] = cur
             p = link[p]
-        if p < 0:
-            link[cur] = 0
-        else:
+        if p >= 0:
             q = nxt[p][c]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                clone, used = used, used + 1
-                nxt.append(nxt[q][:])
-                length[clone], link[clone] = length[p] + 1, link[q]
-                while p >= 0 and nxt[p][c] == q:
+                clone = len(nxt)
+                nxt.append(nxt[q].copy())
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and nxt[p].get(c) == q:
                     nxt[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return np.array(nxt, np.int32)
+    return nxt
+
+
+#: Bits of a character's number in a transition's key.
+BITS = 21
+
+
+def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key.astype(T.U64) * T.U64(T._ODD) >> T.U64(64 - bits)).astype(np.int64)
+
+
+def transitions(key: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash table with linear probing: keys (-1 is free) and values."""
+    bits = max(int(2 * len(key)).bit_length(), 1)
+    keys, values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+    at = _slot(key, bits)
+    left = np.arange(len(key))
+    while len(left):
+        free = keys[at[left]] < 0
+        slots, which = np.unique(at[left[free]], return_index=True)
+        put = left[free][which]
+        keys[slots], values[slots] = key[put], to[put]
+        left = left[keys[at[left]] != key[left]]
+        at[left] = (at[left] + 1) & ((1 << bits) - 1)
+    return keys, values
 
 
 @dataclass
 class Parser:
-    """All languages' automata in one table; ``code`` maps code points to columns, the last column is padding."""
+    """All languages' automata in one table; ``code`` numbers code points: 0 those in no reference, the last number is padding."""
 
     names: list[str]
     code: np.ndarray
     letter: np.ndarray
-    table: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
     roots: np.ndarray
+    first: np.ndarray
     norm: np.ndarray
 
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where the symbols lead, -1 for nowhere."""
+        key = (state << BITS | symbol).ravel()
+        bits = len(self.keys).bit_length() - 1
+        slot = _slot(key, bits)
+        found = self.keys.take(slot)
+        out = np.where(found == key, self.values.take(slot), -1).astype(np.int64)
+        left = np.flatnonzero((found != key) & (found >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & ((1 << bits) - 1)
+            found, wanted = self.keys.take(slot), key[left]
+            hit = found == wanted
+            out[left[hit]] = self.values[slot[hit]]
+            more = ~hit & (found >= 0)
+            left, slot = left[more], slot[more]
+        return out.reshape(state.shape)
+
     def phrases(self, c: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrases by text and language, characters, has a letter) of each text."""
         points = np.frombuffer(c.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -97,29 +140,36 @@ class Parser:
         size = np.diff(offs)
         letters = T.sums(self.letter[points].astype(np.int8), offs) > 0
         rows = -(-size // SEGMENT)
-        first = np.append(0, np.cumsum(rows))
+        begin = np.append(0, np.cumsum(rows))
         doc = np.repeat(np.arange(len(size)), rows)
-        grid = np.full((int(first[-1]), SEGMENT), self.table.shape[1] - 1, np.uint8)
+        pad = self.first.shape[1] - 1
+        grid = np.full((SEGMENT, int(begin[-1])), pad, np.int32)
         place = np.arange(len(points)) - np.repeat(offs[:-1], size)
-        grid[first[np.repeat(np.arange(len(size)), size)] + place // SEGMENT, place % SEGMENT] = self.code[points]
-        wide, flat = self.table.shape[1], self.table.ravel()
-        root = np.repeat(self.roots[:, None], len(grid), 1)
-        base = flat.take(self.roots[:, None] * wide + np.arange(wide))
+        grid[place % SEGMENT, begin[np.repeat(np.arange(len(size)), size)] + place // SEGMENT] = self.code[points]
+        root = np.repeat(self.roots[:, None], grid.shape[1], 1)
         state, count = root.copy(), np.zeros(root.shape, np.int32)
+        # lanes by falling length, so that those that have ended are left out
+        long = np.full(len(doc), SEGMENT)
+        long[begin[1:][rows > 0] - 1] = (size - (rows - 1) * SEGMENT)[rows > 0]
+        by = np.argsort(-long, kind="stable")
+        grid, alive = grid[:, by], np.searchsorted(-long[by], -np.arange(SEGMENT), "left")
         for k in range(SEGMENT):
-            symbol = grid[:, k].astype(np.int64)
-            to = flat.take(state * wide + symbol)
+            n = int(alive[k])
+            if not n:
+                break
+            symbol = grid[k, :n].astype(np.int64)
+            here, base = state[:, :n], root[:, :n]
+            to = self.step(here, np.broadcast_to(symbol, here.shape))
             stop = to < 0
             if stop.any():
-                again = base[:, symbol]
-                count += stop & (state != root)
-                lost = stop & (again < 0) & (symbol != wide - 1)
-                count += lost  # a character that the reference doesn't have is a phrase of its own
-                to = np.where(stop, np.where(again < 0, root, again), to)
-            state = to.astype(np.int64)
+                again = self.first[:, symbol]
+                count[:, :n] += stop & (here != base)
+                count[:, :n] += stop & (again < 0)  # a character that the reference doesn't have is a phrase of its own
+                to = np.where(stop, np.where(again < 0, base, again), to)
+            state[:, :n] = to
         count += state != root
         out = np.zeros((len(size), len(self.names)), np.int64)
-        np.add.at(out, doc, count.T)
+        np.add.at(out, doc[by], count.T)
         return out, size, letters
 
     def predict(self, c: T.Chunk) -> tuple[list[str], np.ndarray]:
@@ -139,28 +189,26 @@ def build(references: dict[str, str]) -> Parser:
     names = sorted(references)
     most = min(REFERENCE, TOTAL // max(len(names), 1))
     texts = [references[n][:most] for n in names]
-    seen: dict[str, int] = {}
-    for t in texts:
-        for ch in t:
-            seen[ch] = seen.get(ch, 0) + 1
-    chars = [" ", *sorted((x for x in seen if x != " "), key=lambda x: (-seen[x], x))[:120]]
-    at = {x: i for i, x in enumerate(chars)}
-    other = len(chars)  # all rarer characters
-    code = np.full(0x10FFFF + 2, other, np.uint8)
-    for x, i in at.items():
-        for v in {x, x.upper(), x.lower()}:
-            if len(v) == 1 and v.lower() == x:
-                code[ord(v)] = i
-    code[[9, 10, 11, 12, 13, 0x85, 0xA0]] = 0
-    letter = np.array([chr(i).isalpha() for i in range(0x10FFFF + 1)] + [False])
-    tables, roots, total = [], [], 0
-    for t in texts:
-        table = automaton([at.get(ch, other) for ch in t], other + 2)
-        tables.append(np.where(table >= 0, table + total, -1))
+    at = {x: i for i, x in enumerate(sorted(set().union(*texts)), 1)}
+    every = [chr(i) for i in range(0x10FFFF + 1)]
+    folded = [" " if x.isspace() else y if len(y := x.lower()) == 1 else x for x in every]
+    code = np.array([*(at.get(x, 0) for x in folded), 0], np.int32)
+    letter = np.array([x.isalpha() for x in every] + [False])
+    key, to, roots, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], 0
+    first = np.full((len(texts), len(at) + 2), -1, np.int64)
+    for i, t in enumerate(texts):
+        nxt = automaton([at[ch] for ch in t])
+        size = np.fromiter(map(len, nxt), np.int64, len(nxt))
+        edges = int(size.sum())
+        symbol = np.fromiter((x for d in nxt for x in d), np.int64, edges)
+        goal = np.fromiter((x for d in nxt for x in d.values()), np.int64, edges) + total
+        first[i, symbol[: size[0]]] = goal[: size[0]]
+        key.append(np.repeat(np.arange(len(nxt)) + total, size) << BITS | symbol)
+        to.append(goal.astype(np.int32))
         roots.append(total)
-        total += len(table)
-    table = np.concatenate(tables).astype(np.int32) if tables else np.zeros((0, other + 2), np.int32)
-    return Parser(names, code, letter, table, np.array(roots, np.int64), np.log2([max(len(t), 2) for t in texts]) if texts else np.zeros(0))
+        total += len(nxt)
+    keys, values = transitions(np.concatenate(key), np.concatenate(to))
+    return Parser(names, code, letter, keys, values, np.array(roots, np.int64), first, np.log2([max(len(t), 2) for t in texts]) if texts else np.zeros(0))
 
 
 def references(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> dict[str, str]:

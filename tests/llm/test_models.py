@@ -90,3 +90,17 @@ def test_languages_on_held_out_rows(spark):
     assert [tuple(r)[2:] for r in L.op6_cross_parsing(blind).collect()] == [("und", 0.0)]
     assert L.op6_cross_parsing(blind.filter("false")).count() == 0
     assert L.op6_cross_parsing(spark.createDataFrame(corpus(20), SCHEMA)).count() == 30
+
+
+def test_rare_characters_and_later_text_are_learnt(spark):
+    """Languages told apart only by ideographs beyond the 120 most frequent characters of the references."""
+    rng = random.Random(6)
+    common = "".join(chr(0x3041 + i) for i in range(80)) + "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOP"
+    own = {"ja": [chr(0x4E00 + i) for i in range(300)], "zh": [chr(0x6E00 + i) for i in range(300)]}
+    texts = {x: "".join(rng.choice(own[x]) for _ in range(3000)) + common.lower() * 30 for x in own}
+    p = L.build(texts)
+    probes = [("zh", "".join(rng.choice(own["zh"]) for _ in range(90))), ("ja", "".join(rng.choice(own["ja"]) for _ in range(90)))]
+    [c] = T.chunks(pa.array([t for _, t in probes]))
+    count, _, _ = p.phrases(c)
+    assert count.tolist() == [[greedy(t, texts[x]) for x in p.names] for _, t in probes]
+    assert p.predict(c)[0] == [x for x, _ in probes]
