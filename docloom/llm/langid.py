@@ -29,10 +29,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textops as T
 
-#: Labelled rows of a language that teach at most, characters taken of each at most, and characters of all references.
-SAMPLE, EXCERPT, TOTAL = 64, 1000, 400_000
-#: Characters of one reference at most.
-REFERENCE = 40_000
+#: Labelled rows of a language that teach at most, each with its whole text.
+SAMPLE = 64
 SEGMENT = 256
 
 
@@ -187,8 +185,7 @@ class Parser:
 def build(references: dict[str, str]) -> Parser:
     """The parser of folded reference texts by language."""
     names = sorted(references)
-    most = min(REFERENCE, TOTAL // max(len(names), 1))
-    texts = [references[n][:most] for n in names]
+    texts = [references[n] for n in names]
     at = {x: i for i, x in enumerate(sorted(set().union(*texts)), 1)}
     every = [chr(i) for i in range(0x10FFFF + 1)]
     folded = [" " if x.isspace() else y if len(y := x.lower()) == 1 else x for x in every]
@@ -211,8 +208,8 @@ def build(references: dict[str, str]) -> Parser:
     return Parser(names, code, letter, keys, values, np.array(roots, np.int64), first, np.log2([max(len(t), 2) for t in texts]) if texts else np.zeros(0))
 
 
-def references(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> dict[str, str]:
-    """Folded excerpts of at most ``sample`` rows of each language, those of smallest hash, from the rows that aren't held out."""
+def references(docs: DataFrame, sample: int = SAMPLE) -> dict[str, str]:
+    """Folded whole texts of at most ``sample`` rows of each language, those of smallest hash, from the rows that aren't held out."""
     usable = docs.filter("text is not null and lang is not null").filter(~held_out()).select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("k"), "text")
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,18 +221,17 @@ def references(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) ->
                 heap = kept.setdefault(langs[i].as_py(), [])
                 k = int(keys[i])
                 if len(heap) < sample or -heap[0][0] > k:
-                    t = texts[i].as_py()
-                    start = k % max(len(t) - excerpt, 1)
-                    heapq.heappush(heap, (-k, fold(t[start : start + excerpt])))
+                    heapq.heappush(heap, (-k, texts[i].as_py()))
                     if len(heap) > sample:
                         heapq.heappop(heap)
-        rows = [(lang, -k, t) for lang, heap in kept.items() for k, t in heap]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["lang", "k", "text"])
+        for lang, heap in kept.items():
+            for k, t in heap:
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([-k], pa.int64()), pa.array([fold(t)])], ["lang", "k", "text"])
 
     found = usable.mapInArrow(least, "lang string, k long, text string").dropDuplicates(["lang", "k", "text"])
     by = Window.partitionBy("lang").orderBy("k", "text")
     out: dict[str, list[str]] = {}
-    for r in found.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= sample).orderBy("lang", "r").collect():  # ``sample`` excerpts for each language
+    for r in found.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= sample).orderBy("lang", "r").collect():  # ``sample`` texts for each language
         out.setdefault(r.lang, []).append(r.text)
     return {k: " ".join(v) for k, v in out.items() if "".join(v).strip()}
 

@@ -104,3 +104,14 @@ def test_rare_characters_and_later_text_are_learnt(spark):
     count, _, _ = p.phrases(c)
     assert count.tolist() == [[greedy(t, texts[x]) for x in p.names] for _, t in probes]
     assert p.predict(c)[0] == [x for x, _ in probes]
+
+
+def test_whole_sampled_texts_teach_whatever_the_number_of_languages(spark):
+    rows = [(i, f"{'w' * 700} " * 90 + f"end{i}", f"l{i % 9}", "s", 0) for i in range(60)]
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    got = L.references(spark.createDataFrame(rows, SCHEMA))
+    assert all(r[1] in got[r[2]] for r in kept)
+    p = L.build(got)
+    [c] = T.chunks(pa.array([f"end{r[0]}" for r in kept]))
+    count, _, _ = p.phrases(c)
+    assert all(count[i][p.names.index(r[2])] == 1 for i, r in enumerate(kept))
