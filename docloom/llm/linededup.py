@@ -63,21 +63,34 @@ def word_frequencies(docs: DataFrame) -> np.ndarray:
     return np.minimum(out, (1 << 20) - 1).astype(np.int32)
 
 
+def _by_line(line: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and their values of HASH_BITS bits, sorted by both; ``line`` is ascending."""
+    out = np.empty(len(value), T.U64)
+    if not len(line):
+        return line, out
+    # line numbers have the bits that are left: blocks of lines, each numbered from 0
+    edges = np.searchsorted(line, np.arange(0, int(line[-1]) + 1, 1 << (64 - HASH_BITS)))
+    for lo, hi in zip(edges, [*edges[1:], len(line)], strict=True):
+        if lo < hi:
+            out[lo:hi] = np.sort((line[lo:hi] & ((1 << (64 - HASH_BITS)) - 1)).astype(T.U64) << T.U64(HASH_BITS) | value[lo:hi])
+    return line, out & T.U64((1 << HASH_BITS) - 1)
+
+
 def _sets(c: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each line with a word: (text number, line number, bounds into words, words by line).
 
-    A word is the upper HASH_BITS bits of its hash.  A chunk has fewer than 2**20 lines.
+    A word is the upper HASH_BITS bits of its hash.
     """
     w = T.words(c, True)
     doc, start, _ = T.lines(c)
     line = np.searchsorted(start, w.start, "right") - 1
-    key = np.sort(line.astype(T.U64) << T.U64(HASH_BITS) | w.hash >> T.U64(64 - HASH_BITS))
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    line = (key >> T.U64(HASH_BITS)).astype(np.int64)
+    line, key = _by_line(line, w.hash >> T.U64(64 - HASH_BITS))
+    first = np.append(True, (line[1:] != line[:-1]) | (key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    line, key = line[first], key[first]
     begin = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
     lines = line[begin]
     number = lines - np.searchsorted(doc, doc[lines])
-    return doc[lines], number, np.append(begin, len(key)), key & T.U64((1 << HASH_BITS) - 1)
+    return doc[lines], number, np.append(begin, len(key)), key
 
 
 def _list(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
@@ -106,9 +119,9 @@ def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
                 n, at = np.diff(bounds), bounds[:-1]
                 line = np.repeat(np.arange(len(n)), n)
                 rank = freq[(h >> T.U64(HASH_BITS - FREQ_BITS)).astype(np.int64)].astype(T.U64)
-                rare = np.sort(line.astype(T.U64) << T.U64(44) | rank << T.U64(24) | h & T.U64(0xFFFFFF))
+                _, rare = _by_line(line, rank << T.U64(24) | h & T.U64(0xFFFFFF))
                 take = np.arange(len(h)) - at[line] < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[line]
-                prefix = (T.mix(rare[take] & T.U64((1 << 44) - 1)) >> T.U64(32)).astype(np.uint32).view(np.int32)
+                prefix = (T.mix(rare[take]) >> T.U64(32)).astype(np.uint32).view(np.int32)
                 ends = np.append(0, np.cumsum(np.bincount(line[take], minlength=len(n))))
                 mixed = T.mix(h)
                 lows = [np.minimum.reduceat(h * T.U64(ODD[k]), at) for k in range(STAR_SEEDS)]

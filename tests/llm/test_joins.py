@@ -87,3 +87,23 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 130)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 130)} == {100} and {got[i] for i in (200, 201, 202)} == {200}
+
+
+def test_lines_of_one_text_beyond_the_bits_of_a_line_number(spark):
+    """Lines i and i + 2**20 of one text are not one set."""
+    import numpy as np
+    import pyarrow as pa
+
+    from docloom.llm import linededup
+    from docloom.llm import textops as T
+
+    [c] = T.chunks(pa.array([" \n\n", None]))
+    assert not len(linededup._sets(c)[0])
+    n = (1 << 20) + 3
+    [c] = T.chunks(pa.array(["\n".join(f"w{i} z{i // 7}" for i in range(n))]))
+    doc, number, bounds, _ = linededup._sets(c)
+    assert len(doc) == n and (number == np.arange(n)).all() and (np.diff(bounds) == 2).all()
+    got = linededup.line_sets(spark.createDataFrame([(1, "a b\n" + "\n" * (1 << 20) + "c d\n" + "a b")], "doc_id long, text string"), np.zeros(1 << linededup.FREQ_BITS, np.int32), 0.8).collect()
+    assert sorted((r.line, r.n) for r in got) == [(0, 2), ((1 << 20) + 1, 2), ((1 << 20) + 2, 2)]
+    alike = {r.line: (r.h1, r.h2, r.bitmap, r.stars, r.prefix) for r in got}
+    assert alike[0] == alike[(1 << 20) + 2] != alike[(1 << 20) + 1]
