@@ -3,7 +3,9 @@
 1. Each text becomes ids with the ``tokenizers`` library, and the end id.  A
    text is cut where the tokenizer's own pre-tokenizer always cuts (before
    blanks, between letters and punctuation, at line breaks), so that equal
-   pieces are encoded once and remembered.
+   pieces are encoded once and remembered.  Texts that hold an added token's
+   string are encoded whole; ``literal`` takes special tokens' strings for
+   ordinary text, the library's default doesn't.
 2. Ids are counted over all documents; package-merge gives code lengths of
    LIMIT bits at most, and canonical codes follow from the lengths alone.
 3. Documents are range-partitioned and sorted by doc_id.  Every partition
@@ -52,12 +54,14 @@ _KIND[32], _KIND[10], _KIND[128:] = _BLANK, _BREAK, _WIDE
 class Encoder:
     """Ids of whole texts, piece by piece."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added if t.content and not (literal and t.special)]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.forget()
 
@@ -114,7 +118,28 @@ class Encoder:
         lo, size = self.first[at][place], self.size[at][place]
         ends = np.append(0, np.cumsum(size))
         ids = self.ids[np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])]
-        return ids, ends[np.searchsorted(start, c.offs)]
+        bounds = ends[np.searchsorted(start, c.offs)]
+        whole = self.whole(c)
+        if not len(whole):
+            return ids, bounds
+        parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        raw = c.buf.tobytes()
+        for i in whole.tolist():
+            parts[i] = np.array(self.tokenizer.encode(raw[c.offs[i] : c.offs[i + 1]].decode(), add_special_tokens=False).ids, self.dtype)
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
+    def whole(self, c: T.Chunk) -> np.ndarray:
+        """Numbers of the texts that hold an added token's string."""
+        raw, found = c.buf.tobytes() if self.added else b"", []
+        for mark in self.added:
+            at = raw.find(mark)
+            while at >= 0:
+                i = int(np.searchsorted(c.offs, at, "right")) - 1
+                inside = at + len(mark) <= c.offs[i + 1]
+                if inside:
+                    found.append(i)
+                at = raw.find(mark, int(c.offs[i + 1]) if inside else at + 1)
+        return np.unique(np.array(found, np.int64))
 
     def _learn(self, c: T.Chunk, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         raw = c.buf.tobytes()
@@ -130,16 +155,16 @@ class Encoder:
         self.hash = np.insert(self.hash, at, h)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, literal: bool = True) -> DataFrame:
     """doc_id and ids (little-endian, 2 or 4 bytes by the vocabulary's size) of each row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        if (tokenizer, literal) not in _encoders:
+            _encoders[tokenizer, literal] = Encoder(tokenizer, literal)
+        encoder = _encoders[tokenizer, literal]
         for b in batches:
             for c in T.chunks(b.column(1), 1 << 21):
                 ids, bounds = encoder(c)
@@ -260,13 +285,13 @@ class Decoder:
         return out.ravel()[:n]
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, literal: bool = True) -> None:
     """Encode every text and write the file ``path`` in ascending order of doc_id."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     size = Tokenizer.from_file(tokenizer).get_vocab_size()
-    tokens = written(tokenised(docs, tokenizer, end_id), "ids")
+    tokens = written(tokenised(docs, tokenizer, end_id, literal), "ids")
     lengths = code_lengths(id_counts(tokens, size))
     shared, dtype = spark.sparkContext.broadcast(lengths), _dtype(size)
 
@@ -325,8 +350,8 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     return placed.mapInArrow(decode, f"doc_id {kind}, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids array<long>"))
 
 
-def op10_huffman_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
+def op10_huffman_ids(docs: DataFrame, tokenizer: str, literal: bool = True) -> DataFrame:
     """Write every document's ids with end id 2, and return what reading the file back gives for each."""
     path = new_path(docs.sparkSession, "huffman")
-    write_ids(docs.select("doc_id", "text"), path, tokenizer)
+    write_ids(docs.select("doc_id", "text"), path, tokenizer, literal=literal)
     return read_ids(docs.sparkSession, path, digest=True)

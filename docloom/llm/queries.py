@@ -61,7 +61,7 @@ def q9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return op10_huffman_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return op10_huffman_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), literal=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -87,3 +87,23 @@ def test_bits():
         lengths = H.code_lengths(np.bincount(ids, minlength=301))
         payload, checkpoints = H.pack(ids, lengths, H.canonical(lengths))
         assert (H.Decoder(lengths)(payload, checkpoints, n) == ids).all()
+
+
+def test_registered_query_gives_the_plain_call(spark, tmp_path):
+    """Ids of the library's default, also where a text holds the special token's string."""
+    from docloom.llm import queries
+
+    texts = [*odd_texts(200, 8), "<|endoftext|>", "a <|endoftext|> b", "<|endoftext", "|>", "x <|endoftext|><|endoftext|>\n", None, ""]
+    t = Tokenizer.from_file(PATH)
+    plain = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    encoder, got = H.Encoder(PATH, literal=False), []
+    for c in T.chunks(pa.array(texts), 100):
+        ids, bounds = encoder(c)
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == plain and any(50256 in x for x in plain)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = 0
+    for r in sorted(queries.q10(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = [*plain[r.doc_id], 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
