@@ -27,11 +27,18 @@ from docloom.llm.shared import written
 KEY = "docloom"
 #: Alternatives in order of preference; each begins where a word begins, so that long words cost linear time.
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-_SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_key)[=:][^\s\"']++"
+#: What stands before a secret: its name, and a separator with optional blanks and quotes around it.
+_LABEL = r"(?i:password|passwd|secret|token|api_key)[\"']?[ \t]*+[=:][ \t]*+[\"']?"
+#: A quoted secret goes to its quote on the same line, others to the next blank or quote.
+_SECRET = rf"(?<![A-Za-z0-9]){_LABEL}(?:(?<=\")[^\"\r\n]++(?=\"|$)|(?<=')[^'\r\n]++(?='|$)|[^\s\"']++)"
 _AWS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 _HEX = r"(?<![A-Za-z0-9])(?=[a-fA-F]*+[0-9])(?=[0-9]*+[a-fA-F])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])"
 _IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
-_PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+#: 3-3-4 digits; + and 8 to 15 digits; or 9 to 12 digits from 0 in groups, but no dates.
+_PHONE_US = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3}\)?)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
+_PHONE_PLUS = r"\+(?=[1-9](?:[ .()-]{0,3}[0-9]){7,14}(?![0-9]))[0-9]{1,4}(?:[ .-]?\(?[0-9]{1,4}\)?){2,7}(?![0-9A-Za-z])"
+_PHONE_ZERO = r"\(?(?![0-9]{1,2}[./-][0-9]{1,2}[./-])(?=0[0-9]{1,4}\)?[ ./-])(?=0(?:[ ./()-]{0,2}[0-9]){8,11}(?![0-9]))[0-9]{2,5}\)?(?:[ ./-][0-9]{2,8}){1,4}(?![0-9A-Za-z])"
+_PHONE = rf"(?<![0-9A-Za-z+])(?:{_PHONE_US}|{_PHONE_PLUS}|{_PHONE_ZERO})"
 _CARD = r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])"
 _SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 _TITLE_F = r"Mrs\.?|Ms\.?|Miss|Frau|Mme\.?|Madame|Señora|Sra\.|Госпожа"
@@ -86,14 +93,15 @@ def _parts(surface: Column, kind: Column) -> Column:
     two = F.array(stays(F.concat(words[0], F.lit(" "))), named(words[1], gender), stays(F.lit(" ")), named(F.get(words, F.lit(2)), F.lit("s")))
     one = F.array(stays(F.concat(words[0], F.lit(" "))), named(words[1], F.lit("s")))
     local, domain = F.substring_index(surface, "@", 1), F.concat(F.lit("@"), F.substring_index(surface, "@", -1))
-    label = F.regexp_extract(surface, "^[a-z_]+[=:]", 0)
+    label = F.regexp_extract(surface, f"^{_LABEL}", 0)
     secret = F.substr(surface, F.length(label) + 1)
+    hexes = secret.rlike(f"^(?:{_HEX})$")  # the same entity with or without a name
     country = F.regexp_extract(surface, r"^\+[0-9]{1,3}[ .-]?", 0)
     number = F.substr(surface, F.length(country) + 1)
     own = F.array(part(kind, surface, F.when(kind.isin("card", "ssn"), digits).when(kind == "hex", F.lower(surface)).otherwise(surface)))
     return (
         F.when(kind == "email", F.array(part(F.lit("email"), local, F.lower(surface)), stays(domain)))
-        .when(kind == "secret", F.array(stays(label), part(kind, secret, secret)))
+        .when(kind == "secret", F.array(stays(label), part(F.when(hexes, "hex").otherwise(kind), secret, F.when(hexes, F.lower(secret)).otherwise(secret))))
         .when(kind == "phone", F.array(stays(country), part(kind, number, F.regexp_replace(number, "[^0-9]", ""))))
         .when((kind == "name") & (F.size(words) > 2), two)
         .when(kind == "name", one)

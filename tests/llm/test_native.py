@@ -114,3 +114,21 @@ def test_query_against_sql(spark, sf):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, map(tuple, got.collect()))) == sorted(map(key, want.fetchall()))
     assert C.op4_tool_calls(spark.read.parquet(path).filter("false")).count() == 0
+
+
+def test_secrets_and_phones_in_common_forms(spark):
+    secrets = ['token = "Zq!7xKw_pLm"', 'api_key="Zq!7xKw_pLm"', "password: Zq!7xKw_pLm", "password = Zq!7xKw_pLm", "PASSWORD=Zq!7xKw_pLm", "{'secret': 'Zq!7xKw_pLm'}", '"token": "Zq!7 xKw pLm"']
+    phones = ["(555)123-4567", "5551234567", "+44 20 7946 0958", "+33 1 23 45 67 89", "01 23 45 67 89", "020 7946 0958", "+49 (0)30 901820", "030/901820"]
+    others = ["on 01.02.2024 12", "2024-01-02", "12 345 678", "1234567890123456"]
+    rows = list(enumerate(secrets + [f"call {p} now" for p in phones] + others))
+    got = {r.doc_id: r for r in S.op8_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shape = lambda t: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", t)))
+    for i, t in rows:
+        if t in others:
+            assert got[i].text == t and got[i].n_entities == 0
+            continue
+        assert got[i].n_entities == 1 and shape(got[i].text) == shape(t), t
+        if i < len(secrets):
+            assert not any(x in got[i].text for x in ("Zq!7", "xKw", "pLm")) and re.match(r"\W*[A-Za-z_]+", got[i].text)[0] == re.match(r"\W*[A-Za-z_]+", t)[0]
+        else:
+            assert got[i].text.startswith("call ") and got[i].text != t
