@@ -8,6 +8,7 @@ the last returns the bins' contents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm.decontam import decontamination_stage
 from docloom.llm.linededup import dedup_lines
@@ -23,8 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line matches; a document that has lost all its lines goes."""
-    return dedup_lines(docs).filter("text is null or text <> ''")
+    """Documents without the lines that an earlier line matches; a document that has lost all its lines with a word goes."""
+    word = r"[^\x20\x09-\x0D]"
+    marked = docs.withColumn("_worded", F.col("text").rlike(word))
+    left = dedup_lines(marked).filter(F.col("text").isNull() | (F.col("text") != "") & (~F.col("_worded") | F.col("text").rlike(word)))
+    return left.drop("_worded")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

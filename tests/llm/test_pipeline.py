@@ -45,3 +45,10 @@ def test_stages_over_a_small_corpus(spark, tmp_path):
                 got[r.doc_id] = got.get(r.doc_id, 0) + r.length
             assert got == total
         docs = after
+
+
+def test_copies_with_blank_lines_leave_nothing(spark):
+    rows = [(1, "one two three\n\nfour five six\n\n", 0), (2, "one two three\n\nfour five six\n\n", 0), (3, " \n\n", 0), (4, None, 0), (5, "one two three\n\nseven eight", 0)]
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
+    assert out.columns == ["doc_id", "text", "n_chars"]
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 3: " \n\n", 4: None, 5: "\nseven eight"}
