@@ -1,17 +1,24 @@
 """Near duplicates: exact Jaccard join of word shingles by parity sketches.
 
-A set is sketched by XOR: each shingle flips one bit, so the Hamming distance
-of two sketches is at most the sets' symmetric difference.  Sizes fall into
-bands so that a pair within the threshold is in one band or in neighbours; in
-each band's scheme a pair differs in at most d shingles, the sketch has d + 1
-words of 64 bits, and by the pigeonhole principle a pair has an equal word.
-Documents that share a word are candidates, and candidates are verified on the
-full shingle sets, those first whose fixed sketches of 256 bits aren't too far apart.
-
-Equal sets are one node.  In a few rounds, every node is held against the
-nearest by sketch of its buckets' centres (another centre in each round); then
-all pairs of a bucket that aren't connected yet are compared.  No link between components is lost,
-and a large group of near copies costs a comparison each, not all its pairs.
+A set is sketched by XOR: each shingle flips one position of a parity sketch, so
+the Hamming distance of two sketches is at most the sets' symmetric difference.
+Sizes fall into bands that double; a pair is looked for in the band of its
+smaller set.  A band's sketch has P pieces of 2**64 positions each (a piece is
+kept as the XOR of its shingles' hashes).  A pair of which one set has size n
+differs in at most D(n) shingles and so in at most D(n) pieces: by the
+pigeonhole principle at least P - D(n) pieces are equal.  P is so much above
+D(n) that equal pieces that aren't empty are among them; of those a set passes
+on only the D(n) + 1 of the most shingles (prefix filter over one order of all
+pieces), and empty ones only where it has fewer than that.  Documents that share a piece are candidates; those whose
+fixed parity sketches of 256 bits aren't too far apart are verified on the full
+shingle sets of 64-bit hashes.
+
+Equal sets (128-bit hash) are one node.  In a few rounds every node is held
+against one centre of its buckets: first the node that shares most pieces with
+all others, as the original of many copies does, then others.  At last all
+pairs of a bucket that aren't connected yet are compared.  No link between
+components is lost, and a large group of near copies costs a comparison each,
+not all its pairs.
 
 Cases: null and empty texts have no shingles and link with nothing; a text of
 fewer than k words is one shingle; a null doc_id takes part, but never names a
@@ -26,25 +33,22 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textops as T
 from docloom.llm.components import components
 from docloom.llm.shared import dropped, written
 
+#: Bits of the filters that spare rows a shuffle; what passes them is joined exactly, so that their size decides work only.
 WANT_BITS = 24
-#: Bits by which shingles are told apart; a chunk has no more texts than the other bits can number.
-HASH_BITS = 46
-#: Star rounds at most before the pairs that are left are compared; they are compared earlier once a round links fewer than one in so many nodes.
-ROUNDS, FEW = 6, 20
-#: No star rounds where all buckets' pairs are so few.
-SMALL = 1 << 18
+#: Star rounds at most before the pairs that are left are compared.
+ROUNDS = 4
 SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def _sets(c: T.Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, hashes): the distinct k-word shingles of each text, sorted, by the upper bits of their hashes; the whole sequence if it is shorter."""
+    """(bounds, hashes): the distinct k-word shingles of each text, sorted by hash; the whole sequence if it is shorter."""
     n = len(c.offs) - 1
     w = T.words(c, True)
     doc, h = T.shingles(w, k)
@@ -57,132 +61,172 @@ def _sets(c: T.Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
             on = size[short] > i
             whole[on] = whole[on] * T.U64(T._ODD) + w.hash[first[on] + i] + T.U64(1)
         doc, h = np.append(doc, short), np.append(h, T.mix(whole))
-    key = np.sort(doc.astype(T.U64) << T.U64(HASH_BITS) | h >> T.U64(64 - HASH_BITS))
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    doc, h = (key >> T.U64(HASH_BITS)).astype(np.int64), key << T.U64(64 - HASH_BITS)
-    return T.bounds_of(doc, n), h
+    by = np.lexsort((h, doc))
+    doc, h = doc[by], h[by]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    return T.bounds_of(doc[new], n), h[new]
 
 
 class Scheme:
-    """Size bands for a threshold, and the sketch words of each band."""
+    """Size bands for a threshold, and the sketch pieces that a set passes on."""
 
     def __init__(self, threshold: Fraction):
-        self.t, self.edges, self.pieces = threshold, [1], []
+        self.num, self.den = threshold.numerator, threshold.denominator
+        self.edges = np.int64(1) << np.arange(40, dtype=np.int64)
+        self.pieces = self.apart(2 * self.edges - 1, (2 * self.edges - 1) * self.den // self.num) * 5 // 4 + 4
+
+    def apart(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Largest symmetric difference of sets of sizes n and m that reach the threshold."""
+        return (n + m) * (self.den - self.num) // (self.den + self.num)
+
+    def signatures(self, bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the set, hash of band, piece and value) of all pieces that sets pass on, in their own band and the one below."""
+        size = np.diff(bounds)
+        sets = np.flatnonzero(size)
+        n = size[sets]
+        band = np.searchsorted(self.edges, n, "right") - 1
+        below = self.edges[band] - 1  # the largest size of the band below
+        low = (below > 0) & (below * self.den >= n * self.num)
+        own = self._passed(bounds, h, sets, band, self.apart(n, n * self.den // self.num))
+        under = self._passed(bounds, h, sets[low], band[low] - 1, self.apart(n[low], below[low]))
+        return np.append(own[0], under[0]), np.append(own[1], under[1])
+
+    def _passed(self, bounds: np.ndarray, h: np.ndarray, sets: np.ndarray, band: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(sets):
+            return np.zeros(0, np.int64), np.zeros(0, T.U64)
+        n = bounds[sets + 1] - bounds[sets]
+        row = np.repeat(np.arange(len(sets)), n)
+        h = h[np.repeat(bounds[sets] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(len(row))]
+        piece = _piece(h, self.pieces[band][row])
+        begin = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])))  # h is sorted, and so piece is
+        row, piece = row[begin], piece[begin]
+        load = np.diff(np.append(begin, len(h)))
+        value = T.mix(np.bitwise_xor.reduceat(T.mix(h + T.U64(T._ODD)), begin) + load.astype(T.U64))
+        sig = self._name(value, band[row], piece)
+        by = np.lexsort((sig, -load, row))
+        full = np.bincount(row, minlength=len(sets))
+        place = np.arange(len(row)) - np.append(0, np.cumsum(full))[:-1][row]
+        take = by[place <= apart[row]]
+        rows, sigs = [sets[row[take]]], [sig[take]]
+        for i in np.flatnonzero(full <= apart).tolist():  # few pieces hold a shingle: the empty ones count too
+            empty = np.setdiff1d(np.arange(self.pieces[band[i]]), piece[row == i])
+            rows.append(np.full(len(empty), sets[i]))
+            sigs.append(self._name(np.zeros(len(empty), T.U64), np.full(len(empty), band[i]), empty))
+        return np.concatenate(rows), np.concatenate(sigs)
+
+    @staticmethod
+    def _name(value: np.ndarray, band: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return T.mix(value + (band.astype(T.U64) << T.U64(40)) + piece.astype(T.U64) * T.U64(T._ODD))
+
+
+def _piece(h: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    return ((h >> T.U64(32)) * pieces.astype(T.U64) >> T.U64(32)).astype(np.int64)
+
+
+def _hashes(bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of each set, in two words."""
+    out = []
+    for seed in (0, T._ODD):
+        total = np.zeros(len(h) + 1, T.U64)
+        np.cumsum(T.mix(T.mix(h) + T.U64(seed)), out=total[1:])
+        out.append(T.mix(total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+    return out[0], out[1]
 
-    def band(self, size: int) -> int:
-        while self.edges[-1] <= size:
-            low = self.edges[-1]
-            self.edges.append(int(low / self.t) + 1)
-            top = self.edges[-1] - 1
-            self.pieces.append(int((top + int(top / self.t)) * (1 - self.t) / (1 + self.t)) + 1)
-        return int(np.searchsorted(self.edges, size, "right")) - 1
 
-    def signatures(self, h: np.ndarray) -> np.ndarray:
-        """Hashes of (band, number, value) of all sketch words, for the set's own band and the one below."""
-        own = self.band(len(h))
-        out = []
-        for band in {own, max(own - 1, 0)}:
-            piece = ((h >> T.U64(32)) * T.U64(self.pieces[band]) >> T.U64(32)).astype(np.int64)
-            words = np.zeros(self.pieces[band], T.U64)
-            begin = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))  # h is sorted, and so piece is
-            words[piece[begin]] = np.bitwise_xor.reduceat(T.U64(1) << ((h >> T.U64(18)) & T.U64(63)), begin)
-            out.append(T.mix(T.mix(words) + np.arange(len(words), dtype=T.U64) * T.U64(T._ODD) + T.U64(band << 40)))
-        return np.concatenate(out)
+def _sketch(bounds: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """256-bit parity sketch of each set, in four words."""
+    word = (h >> T.U64(24)) & T.U64(3)
+    out = []
+    for i in range(4):
+        flip = np.append(T.U64(0), np.where(word == T.U64(i), T.U64(1) << ((h >> T.U64(18)) & T.U64(63)), T.U64(0)))
+        total = np.bitwise_xor.accumulate(flip)
+        out.append((total[bounds[1:]] ^ total[bounds[:-1]]).view(np.int64))
+    return out
 
 
-def _list(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
+def _row_hash(g1: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Hash of a row's set and doc_id, by which one row of each set is chosen."""
+    return T.mix(g1.view(T.U64) ^ ids.view(T.U64)).view(np.int64)
 
 
-def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, place hash p, set size n, set hash g and 256-bit sketch of every row."""
+def _scan(docs: DataFrame, k: int, schema: str, rows):  # noqa: ANN001, ANN202
+    """``rows(batch's rows, hashes of doc_ids, bounds, hashes)`` of every chunk of texts."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(2).to_numpy()
             for c in T.chunks(b.column(1)):
-                bounds, h = _sets(c, k)
-                g = _set_hash(bounds, h)
-                columns = [pa.array(np.diff(bounds)), *(pa.array(x.view(np.int64)) for x in (g, *_sketch(bounds, h)))]
-                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], pa.array(_place(g, ids[c.lo : c.hi])), *columns], ["doc_id", "p", "n", "g", *SKETCH])
+                out = rows(b.slice(c.lo, c.hi - c.lo), ids[c.lo : c.hi], *_sets(c, k))
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names)
+
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k"), F.xxhash64("text").alias("t")).mapInArrow(build, schema)
 
+
+def sketched(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, row hash p, text hash t, set size n, set hashes g1 and g2 and 256-bit sketch of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(build, f"doc_id {kind}, p long, n long, g long, {', '.join(f'{x} long' for x in SKETCH)}")
 
+    def rows(batch, ids, bounds, h):  # noqa: ANN001, ANN202
+        g1, g2 = _hashes(bounds, h)
+        return batch.column(0), _row_hash(g1, ids), batch.column(3), np.diff(bounds), g1, g2, *_sketch(bounds, h)
 
-def _place(g: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Hash of a row's set and doc_id."""
-    return T.mix(g ^ ids.view(T.U64)).view(np.int64)
+    return _scan(docs, k, f"doc_id {kind}, p long, t long, n long, g1 long, g2 long, {', '.join(f'{x} long' for x in SKETCH)}", rows)
 
 
-def _wanted(places: DataFrame):  # noqa: ANN202
-    """Filter of fixed size that all place hashes ``p`` pass."""
-    slots = places.select(F.shiftrightunsigned("p", 64 - WANT_BITS).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+def _filter(hashes: DataFrame):  # noqa: ANN202
+    """Filter of fixed size that all ``hashes`` (one column) pass, as a broadcast of bits."""
+    column = hashes.columns[0]
+    slots = hashes.select(F.shiftrightunsigned(column, 64 - WANT_BITS).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
     want = np.zeros(1 << WANT_BITS, bool)
     want[slots] = True
-    return places.sparkSession.sparkContext.broadcast(np.packbits(want))
+    return hashes.sparkSession.sparkContext.broadcast(np.packbits(want))
 
 
-def signed(docs: DataFrame, places: DataFrame, threshold: Fraction, k: int) -> DataFrame:
-    """(sig, g): the signatures of the sets whose place hash is among ``places`` (p).
-
-    A copy of a set that passes the filter too gives the same rows again, which change no bucket.
-    """
-    shared = _wanted(places)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, want = Scheme(threshold), np.unpackbits(shared.value).view(bool)
-        for b in batches:
-            ids = b.column(1).to_numpy()
-            for c in T.chunks(b.column(0)):
-                bounds, h = _sets(c, k)
-                g = _set_hash(bounds, h)
-                hit = want[(_place(g, ids[c.lo : c.hi]).view(T.U64) >> T.U64(64 - WANT_BITS)).astype(np.int64)]
-                rows = np.flatnonzero(hit & (np.diff(bounds) > 0))
-                if len(rows):
-                    sigs = [scheme.signatures(h[bounds[i] : bounds[i + 1]]) for i in rows.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(g[rows], [len(x) for x in sigs]).view(np.int64))], ["sig", "g"])
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = (h.view(T.U64) >> T.U64(64 - WANT_BITS)).astype(np.int64)
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
-    return docs.select("text", F.xxhash64("doc_id").alias("k")).mapInArrow(build, "sig long, g long")
 
+def signed(docs: DataFrame, first, threshold: Fraction, k: int, among=None) -> DataFrame:  # noqa: ANN001
+    """(sig, g1, g2): the pieces that sets pass on.
 
-def _sketch(bounds: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
-    """256-bit parity sketch of each set, in four words."""
-    word = (h >> T.U64(24)) & T.U64(3)
-    out = []
-    for i in range(4):
-        flip = np.append(T.U64(0), np.where(word == T.U64(i), T.U64(1) << ((h >> T.U64(18)) & T.U64(63)), T.U64(0)))
-        total = np.bitwise_xor.accumulate(flip)
-        out.append(total[bounds[1:]] ^ total[bounds[:-1]])
-    return out
+    ``first`` is a filter of the rows (by row hash) that speak for their sets: a
+    copy that passes it too gives the same rows again, which change no bucket.
+    ``among`` is a filter of signatures.
+    """
 
+    def rows(batch, ids, bounds, h):  # noqa: ANN001, ANN202
+        g1, g2 = _hashes(bounds, h)
+        on = np.flatnonzero(_passes(first.value, _row_hash(g1, ids)) & (np.diff(bounds) > 0))
+        size = np.diff(bounds)[on]
+        ends = np.append(0, np.cumsum(size))
+        row, sig = Scheme(threshold).signatures(ends, h[np.repeat(bounds[on] - ends[:-1], size) + np.arange(ends[-1])])
+        if among is not None:
+            hit = _passes(among.value, sig)
+            row, sig = row[hit], sig[hit]
+        return (sig.view(np.int64), g1[on[row]], g2[on[row]]) if len(row) else None
 
-def _set_hash(bounds: np.ndarray, h: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(h) + 1, T.U64)
-    np.cumsum(T.mix(h), out=total[1:])
-    return T.mix(total[bounds[1:]] - total[bounds[:-1]])
+    return _scan(docs, k, "sig long, g1 long, g2 long", rows)
 
 
-def full_sets(docs: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """(g, shingles) of the rows whose place hash is in ``places`` (p, g): a scan that passes rows by a filter of fixed size, then a join."""
-    shared = _wanted(places)
+def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the ``nodes`` (id, p, g1, g2): a scan that passes rows by a filter of fixed size, then a join."""
+    wanted = _filter(nodes.select("p"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = np.unpackbits(shared.value).view(bool)
-        for b in batches:
-            ids = b.column(1).to_numpy()
-            for c in T.chunks(b.column(0)):
-                bounds, h = _sets(c, k)
-                place = _place(_set_hash(bounds, h), ids[c.lo : c.hi]).view(T.U64)
-                hit = np.flatnonzero(want[(place >> T.U64(64 - WANT_BITS)).astype(np.int64)] & (np.diff(bounds) > 0))
-                if len(hit):
-                    n = np.diff(bounds)[hit]
-                    ends = np.append(0, np.cumsum(n))
-                    take = np.repeat(bounds[hit] - ends[:-1], n) + np.arange(ends[-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(place[hit].view(np.int64)), _list(h[take], ends)], ["p", "shingles"])
+    def rows(batch, ids, bounds, h):  # noqa: ANN001, ANN202
+        g1, g2 = _hashes(bounds, h)
+        on = np.flatnonzero(_passes(wanted.value, _row_hash(g1, ids)) & (np.diff(bounds) > 0))
+        if not len(on):
+            return None
+        size = np.diff(bounds)[on]
+        ends = np.append(0, np.cumsum(size))
+        take = np.repeat(bounds[on] - ends[:-1], size) + np.arange(ends[-1])
+        return g1[on], g2[on], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[take].view(np.int64)))
 
-    found = docs.select("text", F.xxhash64("doc_id").alias("k")).mapInArrow(scan, "p long, shingles array<long>")
-    return found.join(places, "p").dropDuplicates(["g"]).select("g", "shingles")
+    found = _scan(docs, k, "g1 long, g2 long, shingles array<long>", rows)
+    return found.join(nodes.select("id", "g1", "g2"), ["g1", "g2"]).dropDuplicates(["id"]).select("id", "shingles")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -193,77 +237,79 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     return joined.filter(F.lit(threshold.denominator) * both >= F.lit(threshold.numerator) * union).select("a", "b")
 
 
+def _grouped(docs: DataFrame, threshold: Fraction, k: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): every row with its set's hashes, and every set (g1, g2) with its component's ``head``, the smallest row of all its sets."""
+    rows = written(sketched(docs, k), "rows")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t")).alias("first")
+    best = F.min_by(F.struct("p", "n", *SKETCH), "p").alias("s")
+    nodes = written(rows.filter("n > 0").groupBy("g1", "g2").agg(head, best).select("g1", "g2", "first", "s.*").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    labels = linked(docs, nodes, threshold, k)
+    joined = nodes.select("id", "g1", "g2", "first").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    heads = joined.groupBy("comp").agg(F.min("first").alias("head"))
+    named = joined.join(heads, "comp").select("g1", "g2", "head")
+    return rows.select("doc_id", "t", "n", "g1", "g2"), named
+
+
 def near_duplicates(docs: DataFrame, threshold: Fraction | str = "0.8", k: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
-    threshold = Fraction(threshold)
-    rows = written(sketched(docs, k), "nodes")
-    first = rows.filter("n > 0").groupBy("g").agg(F.min("p").alias("p"))
-    bucket = Window.partitionBy("sig")
-    pairs = signed(docs, first, threshold, k).withColumn("low", F.min("g").over(bucket)).withColumn("high", F.max("g").over(bucket))
-    multi = written(pairs.filter("low <> high").select("sig", "g").distinct(), "buckets")
-    del pairs
-    members = rows.join(multi.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.min_by(F.struct("p", "n", *SKETCH), "p").alias("s")).select("g", "s.*")
-    links = linked(docs, multi, written(members, "members"), threshold, k)
-    whole = rows.select("doc_id", "n", "g")
-    first = whole.filter("n > 0").groupBy("g").agg(F.min("doc_id").alias("first"))
-    if links is None:
-        named = first.withColumnRenamed("first", "component_id")
-    else:
-        comps = components(links)
-        joined = first.join(comps, first["g"] == comps["id"], "left").withColumn("comp", F.coalesce("component", "g"))
-        heads = joined.groupBy("comp").agg(F.min("first").alias("component_id"))
-        named = joined.select("g", "comp").join(heads, "comp").select("g", "component_id")
-    out = whole.join(named, "g", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def linked(docs: DataFrame, multi: DataFrame, members: DataFrame, threshold: Fraction, k: int) -> DataFrame | None:
-    """Verified links (a, b) between sets that share a signature: enough of them to connect whatever links connect.
-
-    ``multi`` has the buckets (sig, g) of two nodes at least, ``members`` their nodes (g, p, n and sketch).
-    """
-    sets = written(full_sets(docs, members.select("p", "g"), k), "shingles")
-    links = tested = found = None
+    rows, named = _grouped(docs, Fraction(threshold), k)
+    out = rows.join(named, ["g1", "g2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def linked(docs: DataFrame, nodes: DataFrame, threshold: Fraction, k: int) -> DataFrame:
+    """(id, comp) of the ``nodes`` that share a piece with another: equal for those that links connect."""
+    first = _filter(nodes.select("p"))
+    pieces = signed(docs, first, threshold, k).groupBy("sig").agg(F.min("g1").alias("low"), F.max("g1").alias("high"))
+    shared = written(pieces.filter("low <> high").select("sig"), "shared-pieces")
+    among = _filter(shared)
+    some = signed(docs, first, threshold, k, among).join(shared, "sig").join(nodes.select("id", "g1", "g2"), ["g1", "g2"])
+    buckets = written(some.select("sig", "id").distinct(), "buckets")
+    first.destroy()
+    among.destroy()
+    sizes = buckets.groupBy("sig").agg(F.count("id").alias("size"))
+    central = buckets.join(sizes, "sig").groupBy("id").agg(F.sum("size").alias("score"))
+    members = written(nodes.drop("first").join(central, "id"), "members")
+    sets = written(full_sets(docs, members, k), "shingles")
     apart = float((1 - threshold) / (1 + threshold))
 
-    def distance(a: str, b: str) -> F.Column:
+    def distance(a: str, b: str) -> Column:
         return sum((F.bit_count(F.col(a + x).bitwiseXOR(F.col(b + x))) for x in SKETCH), F.lit(0))
 
-    def near(a: str, b: str) -> F.Column:
-        """Size filter, and the sketches' Hamming distance against the largest symmetric difference of a pair."""
+    def near(a: str, b: str) -> Column:
+        """Different components, sizes that may match, and sketches within the largest symmetric difference of a pair."""
         n, m = F.col(f"{a}n"), F.col(f"{b}n")
-        return (F.least(n, m) * threshold.denominator >= F.greatest(n, m) * threshold.numerator) & (distance(a, b) <= F.floor(F.lit(apart) * (n + m) + 1e-9))
+        sizes = F.least(n, m) * threshold.denominator >= F.greatest(n, m) * threshold.numerator
+        return (F.col(a + "comp") != F.col(b + "comp")) & sizes & (distance(a, b) <= F.floor(F.lit(apart) * (n + m) + 1e-9))
 
+    carried = ["id", "n", "comp", *SKETCH]
+    labels = written(members.select("id", F.col("id").alias("comp")), "labels")
+    tested = None
     for step in range(ROUNDS + 1):
-        if links is None:
-            placed = members.withColumn("comp", F.col("g"))
-        else:
-            comps = components(links)
-            placed = members.join(comps, members["g"] == comps["id"], "left").withColumn("comp", F.coalesce("component", "g")).drop("id", "component")
-        bucket = Window.partitionBy("sig")
-        active = multi.join(placed.drop("p"), "g").withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket))
-        active = written(active.filter("low <> high").drop("low", "high"), "active")
-        work = active.groupBy("sig").agg(F.count("g").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()[0]
-        if not work:
-            break
-        last = step == ROUNDS or work <= SMALL or found is not None and found * FEW <= active.select("g").distinct().count()
-        if last:
-            x, y = active.alias("x"), active.alias("y")
-            on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.comp") != F.col("y.comp")) & near("x.", "y.")
-            pairs = x.join(y, on).select(F.col("x.g").alias("a"), F.col("y.g").alias("b")).distinct()
+        placed = buckets.join(members.drop("p", "g1", "g2").join(labels, "id"), "id")
+        order = F.col("score") if step == 0 else F.xxhash64("id", F.lit(step))
+        open_ = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by(F.struct(*carried), F.struct(order, "id")).alias("c"), F.max(order).alias("rank")).filter("low <> high")
+        if step < ROUNDS:
+            held = placed.alias("x").join(open_, "sig").filter(near("x.", "c.")).select(F.col("x.id").alias("x"), F.col("c.id").alias("y"), (F.col("rank") if step == 0 else -distance("x.", "c.")).alias("rank"))
+            pairs = held.groupBy("x").agg(F.max_by("y", F.struct("rank", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         else:
-            centre = active.groupBy("sig").agg(F.min_by(F.struct("g", "n", "comp", *SKETCH), F.xxhash64("g", F.lit(step))).alias("c"))
-            held = active.alias("x").join(centre, "sig").filter((F.col("c.comp") != F.col("x.comp")) & near("x.", "c."))
-            best = held.groupBy(F.col("x.g").alias("x")).agg(F.min_by("c.g", F.struct(distance("x.", "c."), F.xxhash64("c.g", F.lit(step)))).alias("y"))
-            pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            left = placed.join(open_.select("sig"), "sig", "left_semi").select("sig", *carried)
+            x, y = left.alias("x"), left.alias("y")
+            held = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & near("x.", "y."))
+            pairs = held.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        pairs = pairs.distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        good = written(verified(pairs, sets, threshold), "links")
-        found = good.count()
-        links = good if links is None else links.union(good)
-        if last:
-            break
-    return links
+        links = written(verified(pairs, sets, threshold), "links")
+        if links.limit(1).count():
+            named = labels.toDF("id", "c")
+            ends = links.join(named.toDF("a", "ca"), "a").join(named.toDF("b", "cb"), "b")
+            joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("old", "new")
+            old, labels = labels, written(labels.join(joined, labels["comp"] == F.col("old"), "left").select("id", F.coalesce("new", "comp").alias("comp")), "labels")
+            dropped(old)
+        dropped(links)
+    dropped(shared, buckets, members, sets)
+    return labels
 
 
 def op2_parity_join(docs: DataFrame) -> DataFrame:
@@ -272,10 +318,24 @@ def op2_parity_join(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_stage(docs: DataFrame, threshold: Fraction | str = "0.8", k: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stand for their group (smallest doc_id); columns unchanged."""
-    found = near_duplicates(docs.select("doc_id", "text"), threshold, k)
-    gone = found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that stand for their group; columns unchanged.
+
+    A group's row is that of the smallest (doc_id, hash of the text), a null id
+    after all others; of repeated rows with that id and text one stays.  Texts
+    without a word stay.
+    """
+    rows, named = _grouped(docs.select("doc_id", "text"), Fraction(threshold), k)
+    worded = rows.filter("n > 0")
+    out = worded.join(named, ["g1", "g2"]).filter("not (doc_id <=> head.doc_id and t = head.t)").select("doc_id", "t")
+    key = lambda found: found.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).count()
+    text = F.xxhash64(docs["text"])
+    on = lambda found: docs["doc_id"].eqNullSafe(found["_id"]) & (text == found["_t"])
+    gone, several = key(out), written(key(worded).filter("count > 1"), "repeated")
+    kept = docs.join(gone, on(gone), "left_anti")
+    if not several.limit(1).count():
+        return kept
+    one = kept.join(several, on(several)).dropDuplicates(["_id", "_t"]).select(*[docs[c] for c in docs.columns])
+    return kept.join(several, on(several), "left_anti").union(one)
 
 
 ORACLE = r"""

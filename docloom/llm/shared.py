@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
-RELEASE_S = 8.0
-_released = 0.0
+#: Shuffle files go when the query that wrote them ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one below the warehouse."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one below the warehouse, on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
@@ -28,37 +27,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The result has no lineage, so a lost executor costs a re-read and never a
-    recomputation.  The folder stays until :func:`dropped` or the end of the job's shared folder.
+    recomputation.  The query's shuffle files go with its end.  The folder stays
+    until :func:`dropped` or the end of the job's shared folder.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    released(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of tables that nothing refers to any more.
-
-    The cleaner acts on the driver's garbage; without this the files of every
-    earlier step would stay beside those of the next.  Not more often than
-    every RELEASE_S seconds: short steps leave little behind.
-    """
-    global _released
-    if time.monotonic() - _released < RELEASE_S:
-        return
-    _released = time.monotonic()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete the files behind tables made by :func:`written`."""
+    """Delete the files behind tables made by :func:`written`; nothing may read them any more."""
     for table in tables:
         spark = table.sparkSession
-        for file in table.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def record(schema: str, **columns: object) -> pa.RecordBatch:

@@ -1,10 +1,14 @@
+import random
+from fractions import Fraction
+
+import numpy as np
 import pytest
 
 from docloom.llm import parityjoin
 from docloom.llm.components import components
 from docloom.llm.linededup import dedup_lines, op9_line_dedup
 from docloom.llm.parityjoin import near_duplicates, near_duplicate_stage
-from tests.llm.helpers import SCHEMA, corpus, groups, shingles, words
+from tests.llm.helpers import SCHEMA, corpus, groups, sentence, shingles, words
 
 
 def near_brute(rows, num, den, k):
@@ -25,18 +29,54 @@ def test_near_duplicates(spark, num, den, k, seed):
     assert len({r[2] for r in got}) < len(rows)
 
 
-def test_near_copies_without_a_common_centre(spark, monkeypatch):
-    """A chain: neighbours link, ends don't; and a group around several centres."""
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_near_copies_without_a_common_centre(spark, monkeypatch, rounds):
+    """A chain: neighbours link, ends don't; and a group around several centres.  Star rounds or none: the same result."""
     base = [f"w{i}" for i in range(100)]
     chain = [(j, " ".join(base[: 100 - 2 * j] + [f"z{i}" for i in range(2 * j)]), "en", "s", 0) for j in range(12)]
     noisy = [(100 + j, " ".join(f"q{i}" if i != j * 3 else f"y{j}" for i in range(120)), "en", "s", 0) for j in range(30)]
     rows = chain + noisy
-    monkeypatch.setattr(parityjoin, "SMALL", 0)
-    monkeypatch.setattr(parityjoin, "ROUNDS", 2)
+    monkeypatch.setattr(parityjoin, "ROUNDS", rounds)
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA), "9/10", 3).collect()
     assert sorted(map(tuple, got)) == near_brute(rows, 9, 10, 3)
 
 
+@pytest.mark.parametrize("num,den", [(4, 5), (9, 10), (1, 1)])
+def test_pieces_of_pairs_within_the_threshold(num, den):
+    """Pigeonhole: sets within the threshold pass on a piece in common, at any sizes."""
+    rng, scheme, tried = np.random.default_rng(num), parityjoin.Scheme(Fraction(num, den)), 0
+    for _ in range(1500):
+        base = rng.integers(0, 1 << 63, int(np.exp(rng.uniform(0, 7)))).astype(np.uint64)
+        left = rng.integers(0, len(base) // 8 + 1)
+        x, y = np.unique(base), np.unique(np.append(base[left:], rng.integers(0, 1 << 63, rng.integers(0, len(base) // 5 + 1)).astype(np.uint64)))
+        both = len(np.intersect1d(x, y))
+        if len(y) and den * both >= num * (len(x) + len(y) - both):
+            row, sig = scheme.signatures(np.array([0, len(x), len(x) + len(y)]), np.append(x, y))
+            assert len(np.intersect1d(sig[row == 0], sig[row == 1]))
+            tried += 1
+    assert tried > 100
+
+
+def test_few_pieces_hold_a_shingle():
+    """A set whose shingles fall into few pieces passes on its empty ones too."""
+    scheme = parityjoin.Scheme(Fraction(4, 5))
+    x = np.arange(40, dtype=np.uint64)  # all in the first piece
+    row, sig = scheme.signatures(np.array([0, 40, 79]), np.append(x, x[1:]))
+    assert len(np.intersect1d(sig[row == 0], sig[row == 1]))
+
+
+def test_stage_cases(spark):
+    """Null ids, ids that several rows share, repeated rows, a very long text; columns with clashing names."""
+    a, b, c = sentence(random.Random(1), 30), sentence(random.Random(2), 30), sentence(random.Random(3), 30)
+    long = sentence(random.Random(4), 200_000)
+    rows = [(None, a), (None, b), (None, b), (5, a), (5, c), (5, c), (6, c + " more"), (7, long), (8, long + " end"), (9, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as g1", "3 as _id", "4 as t", "5 as k")
+    kept = near_duplicate_stage(docs)
+    assert kept.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[1] is None)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted([(None, b), (5, a), (5, c), (7, long), (9, None), (9, ""), (9, "")], key=key)
+
+
 def test_stage_keeps_one_of_each_group(spark):
     rows = corpus(80, 5)[:-1]
     kept = near_duplicate_stage(spark.createDataFrame(rows, SCHEMA))
