@@ -1,22 +1,25 @@
 """Line dedup: exact set-similarity join over the lines of all documents.
 
 A line's set is its distinct words (A-Z lower-cased); lines without a word are
-never removed.  A line is removed if an earlier line, in order of (doc_id, line
-number), has Jaccard similarity of at least ``threshold`` with it.
+never removed.  A line is removed if an earlier line, in order of (doc_id, hash
+of the text, line number), has Jaccard similarity of at least ``threshold`` with it.
 
 1. Word frequencies over all texts go to a table of fixed size; (frequency
    slot, hash) is the one order of rarity that all lines share.
-2. Equal sets are grouped by a 128-bit hash; only each set's first line goes on.
-3. Star step: first lines that share one of a few min-hashes are held against
-   the earliest of them.  What matches is settled, so a large group of near
-   copies costs one comparison each.
+2. Equal sets are grouped by a 128-bit hash; only each set's first line goes on,
+   and gets a number in that order.
+3. Star step: lines that share one of a few min-hashes with at least
+   STAR_LEAST - 1 others are held against the earliest of them.  What matches is
+   settled, so a large group of near copies costs one comparison each.
 4. The rest is the exact join: the prefixes (rarest words) of unsettled lines
    against those of all lines, under length, positional and bitmap filters.
-5. Both steps verify candidates on the full word sets; in the join, each
-   line's likeliest candidate is tried before all the others.
+   Both sides are one shuffle of narrow rows.
+5. Candidates are verified on the full word sets; in the join, each line's
+   likeliest candidate is tried before all the others.
 
 Cases: null and empty texts have no lines with a word; rows with the same
-doc_id, null included, get the same decisions; null ids come first; extra
+doc_id, null included, are judged each by its own text; rows equal in doc_id and
+text are one document and get the same decisions; null ids come first; extra
 columns are ignored or passed on; an empty table gives no rows.
 """
 
@@ -35,10 +38,11 @@ from docloom.llm.shared import dropped, record, written
 #: Size of the table of word frequencies, and of the filter of wanted lines (both as powers of two).
 FREQ_BITS, WANT_BITS = 20, 24
 #: Bits by which words of lines are told apart.
-HASH_BITS = 44
-STAR_SEEDS = 3
+HASH_BITS = 50
+#: Min-hashes of a line, and lines that share one from which on they are first held against the earliest of them.
+STAR_SEEDS, STAR_LEAST = 2, 4
 #: Odd factors of the min-hashes.
-ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _slot(h: np.ndarray, bits: int) -> np.ndarray:
@@ -76,15 +80,17 @@ def _by_line(line: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return line, out & T.U64((1 << HASH_BITS) - 1)
 
 
-def _sets(c: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sets(c: T.Chunk, on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each line with a word: (text number, line number, bounds into words, words by line).
 
-    A word is the upper HASH_BITS bits of its hash.
+    A word is the upper HASH_BITS bits of its hash.  ``on`` selects lines.
     """
     w = T.words(c, True)
     doc, start, _ = T.lines(c)
-    line = np.searchsorted(start, w.start, "right") - 1
-    line, key = _by_line(line, w.hash >> T.U64(64 - HASH_BITS))
+    line, h = np.searchsorted(start, w.start, "right") - 1, w.hash
+    if on is not None:
+        line, h = line[on[line]], h[on[line]]
+    line, key = _by_line(line, h >> T.U64(64 - HASH_BITS))
     first = np.append(True, (line[1:] != line[:-1]) | (key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     line, key = line[first], key[first]
     begin = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
@@ -97,15 +103,30 @@ def _list(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
-def _line_hash(doc_hash: np.ndarray, line: np.ndarray, set_hash: np.ndarray) -> np.ndarray:
-    """Hash of a line's place and words, from the hash of its doc_id, its number and the sum of its words' hashes."""
-    return T.mix(doc_hash.view(T.U64) + (line.astype(T.U64) + T.U64(1)) * T.U64(T._ODD) + set_hash).view(np.int64)
+def _line_hash(row_hash: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Hash of a line's place, from the hash of its row and its number."""
+    return T.mix(row_hash.view(T.U64) + (line.astype(T.U64) + T.U64(1)) * T.U64(T._ODD)).view(np.int64)
+
+
+def _set_hashes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128-bit hash of each line's set, and its bitmap."""
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    mixed = T.mix(h)
+    h1, h2 = np.add.reduceat(mixed, at), np.bitwise_xor.reduceat(T.mix(mixed + T.U64(T._ODD)), at)
+    return h1.view(np.int64), h2.view(np.int64), np.bitwise_xor.reduceat(T.U64(1) << (mixed >> T.U64(58)), at).view(np.int64)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, hash t of the text, and hash k of both."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t"), F.xxhash64("doc_id", F.xxhash64("text")).alias("k"))
 
 
 def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
-    """For each line with a word: place and its hash h, size n, 128-bit hash of the set, bitmap, min-hashes, and prefix in order of rarity.
+    """For each line with a word: place (doc_id, t, line) and its hash h, size n, 128-bit hash of the set, bitmap, min-hashes, and prefix in order of rarity.
 
-    Min-hashes and prefix words have 32 bits: they find candidates, which are then verified on the words.
+    Min-hashes and prefix words have 32 bits: they find candidates, which are
+    then verified on the words.  A prefix word that occurs once in all texts is 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(freq)
 
@@ -119,138 +140,131 @@ def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
                 n, at = np.diff(bounds), bounds[:-1]
                 line = np.repeat(np.arange(len(n)), n)
                 rank = freq[(h >> T.U64(HASH_BITS - FREQ_BITS)).astype(np.int64)].astype(T.U64)
-                _, rare = _by_line(line, rank << T.U64(24) | h & T.U64(0xFFFFFF))
-                take = np.arange(len(h)) - at[line] < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[line]
-                prefix = (T.mix(rare[take]) >> T.U64(32)).astype(np.uint32).view(np.int32)
+                _, rare = _by_line(line, rank << T.U64(HASH_BITS - FREQ_BITS) | h & T.U64((1 << (HASH_BITS - FREQ_BITS)) - 1))
+                pos = np.arange(len(h)) - at[line]
+                take = pos < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[line]
+                word = np.maximum(T.mix(rare[take]) >> T.U64(32), 1).astype(np.uint32)
+                prefix = np.where(rare[take] < T.U64(2 << (HASH_BITS - FREQ_BITS)), np.uint32(0), word).view(np.int32)
                 ends = np.append(0, np.cumsum(np.bincount(line[take], minlength=len(n))))
-                mixed = T.mix(h)
                 lows = [np.minimum.reduceat(h * T.U64(ODD[k]), at) for k in range(STAR_SEEDS)]
                 stars = (T.mix(np.stack(lows, 1) + np.arange(STAR_SEEDS, dtype=T.U64)) >> T.U64(32)).astype(np.uint32).view(np.int32).ravel()
-                h1 = np.add.reduceat(mixed, at)
-                bitmap = np.bitwise_xor.reduceat(T.U64(1) << (mixed >> T.U64(58)), at).view(np.int64)
+                rows = pa.array(doc + c.lo)
+                h1, h2, bitmap = _set_hashes(h, at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).take(pa.array(doc + c.lo)), pa.array(_line_hash(b.column(2).to_numpy()[doc + c.lo], number, h1)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)),
-                        pa.array(h1.view(np.int64)), pa.array(np.bitwise_xor.reduceat(T.mix(mixed + T.U64(T._ODD)), at).view(np.int64)),
-                        pa.array(bitmap), _list(stars, np.arange(len(n) + 1) * STAR_SEEDS), _list(prefix, ends),
+                        b.column(0).take(rows), b.column(2).take(rows), pa.array(_line_hash(b.column(3).to_numpy()[doc + c.lo], number)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)),
+                        pa.array(h1), pa.array(h2), pa.array(bitmap), _list(stars, np.arange(len(n) + 1) * STAR_SEEDS), _list(prefix, ends),
                     ],
-                    ["doc_id", "h", "line", "n", "h1", "h2", "bitmap", "stars", "prefix"],
+                    ["doc_id", "t", "h", "line", "n", "h1", "h2", "bitmap", "stars", "prefix"],
                 )
 
-    slim = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k"))
-    return slim.mapInArrow(build, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, line int, n int, h1 long, h2 long, bitmap long, stars array<int>, prefix array<int>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _rows(docs).mapInArrow(build, f"doc_id {kind}, t long, h long, line int, n int, h1 long, h2 long, bitmap long, stars array<int>, prefix array<int>")
 
 
-def words_of_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(h, words) of the lines ``places`` (h, k: hashes of the place and of its doc_id).
+def words_of_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, words) of the ``lines`` (id, place hash h, set hashes h1 and h2).
 
-    A scan passes documents and lines by filters of fixed size; a join then takes the wanted lines exactly.
+    A scan passes lines by a filter of fixed size; a join then takes the wanted sets exactly.
     """
-    spark = docs.sparkSession
-
-    def wanted(column: str):  # noqa: ANN202
-        slots = places.select(F.shiftrightunsigned(column, 64 - WANT_BITS).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
-        want = np.zeros(1 << WANT_BITS, bool)
-        want[slots] = True
-        return spark.sparkContext.broadcast(np.packbits(want))
-
-    shared = wanted("h"), wanted("k")
+    slots = lines.select(F.shiftrightunsigned("h", 64 - WANT_BITS).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    want = np.zeros(1 << WANT_BITS, bool)
+    want[slots] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(want))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, documents = (np.unpackbits(x.value).view(bool) for x in shared)
+        want = np.unpackbits(shared.value).view(bool)
         for b in batches:
-            b = b.filter(pa.array(documents[_slot(b.column(1).to_numpy().view(T.U64), WANT_BITS)]))
-            for c in T.chunks(b.column(0)):
-                doc, number, bounds, h = _sets(c)
-                if not len(doc):
+            for c in T.chunks(b.column(1)):
+                doc, start, _ = T.lines(c)
+                key = _line_hash(b.column(3).to_numpy()[doc + c.lo], np.arange(len(doc)) - np.searchsorted(doc, doc))
+                on = want[_slot(key.view(T.U64), WANT_BITS)]
+                if not on.any():
                     continue
-                key = _line_hash(b.column(1).to_numpy()[doc + c.lo], number, np.add.reduceat(T.mix(h), bounds[:-1]))
-                hit = np.flatnonzero(lines[_slot(key.view(T.U64), WANT_BITS)])
-                if len(hit):
-                    n = np.diff(bounds)[hit]
-                    ends = np.append(0, np.cumsum(n))
-                    take = np.repeat(bounds[hit] - ends[:-1], n) + np.arange(ends[-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(key[hit]), _list(h[take].view(np.int64), ends)], ["h", "words"])
+                _, _, bounds, h = _sets(c, on)
+                n = np.diff(bounds)
+                h1, h2, _ = _set_hashes(h, bounds[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), _list(h.view(np.int64), np.append(0, np.cumsum(n)))], ["h1", "h2", "words"])
 
-    found = docs.select("text", F.xxhash64("doc_id").alias("k")).mapInArrow(scan, "h long, words array<long>")
-    return found.join(places.select("h"), "h")
+    found = _rows(docs).mapInArrow(scan, "h1 long, h2 long, words array<long>")
+    return found.join(lines.select("id", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["id"]).select("id", "words")
 
 
 def matched(words: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The lines b of the candidate ``pairs`` (a, b) whose Jaccard similarity reaches the threshold, by the full word sets."""
     both = F.size(F.array_intersect("x", "y"))
     joined = pairs.select("a", "b").join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
-    return joined.filter(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - 1e-9).select(F.col("b").alias("h")).distinct()
+    return joined.filter(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - 1e-9).select(F.col("b").alias("id")).distinct()
 
 
 def _words_for(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    places = written(ends.join(sets.select("h", "doc_id"), "h").select("h", F.xxhash64("doc_id").alias("k")), "places")
-    words = written(words_of_lines(docs, places), "line-words")
-    dropped(places)
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    lines = written(ends.join(sets.select("id", "h", "h1", "h2"), "id"), "candidates")
+    words = written(words_of_lines(docs, lines), "line-words")
+    dropped(lines)
     return words
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id and number of every line that an earlier line matches."""
-    freq = word_frequencies(docs)
-    full = written(line_sets(docs, freq, threshold), "line-sets")
-    order = F.struct("doc_id", "line")
-    first = full.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "line", "h", "n", "bitmap", "stars", "prefix"), order).alias("s"))
-    sets = written(first.select("h1", "h2", "s.*"), "first-lines")
-    mapped = written(full.select("doc_id", "line", "h1", "h2"), "lines")
+    """doc_id, hash t of the text, and number of every line that an earlier line matches."""
+    full = written(line_sets(docs, word_frequencies(docs), threshold), "line-sets")
+    place = F.struct("doc_id", "t", "line")
+    first = full.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "t", "line", "h", "n", "bitmap", "stars", "prefix"), place).alias("s"))
+    # numbered in order: of two lines the smaller id is the earlier one
+    sets = written(first.select("h1", "h2", "s.*").orderBy("doc_id", "t", "line").withColumn("id", F.monotonically_increasing_id()), "first-lines")
+    mapped = written(full.select("doc_id", "t", "line", "h1", "h2"), "lines")
     dropped(full)
-    del first, full
 
-    star = sets.select("h", "doc_id", "line", "n", "bitmap", F.explode("stars").alias("key"))
-    earlier = Window.partitionBy("key").orderBy("doc_id", "line")
-    centre = F.first(F.struct("h", "n", "bitmap")).over(earlier)
-    near = star.withColumn("c", centre).filter(F.col("c.h") != F.col("h")).filter(_may_match("c.n", "n", "c.bitmap", "bitmap", threshold))
-    pairs = written(near.select(F.col("c.h").alias("a"), F.col("h").alias("b")).distinct(), "star-pairs")
+    star = sets.select("id", "n", "bitmap", F.explode("stars").alias("key"))
+    centre = sets.select(F.struct("id", "n", "bitmap").alias("c"), F.explode("stars").alias("key")).groupBy("key").agg(F.count("c").alias("lines"), F.min("c").alias("c"))
+    near = star.join(centre.filter(F.col("lines") >= STAR_LEAST), "key").filter((F.col("c.id") < F.col("id")) & _may_match("c.n", "n", "c.bitmap", "bitmap", threshold))
+    pairs = written(near.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
     words = _words_for(docs, pairs, sets)
     settled = written(matched(words, pairs, threshold), "settled")
     dropped(words, pairs)
-    del near, star, words, pairs
 
-    # size, place in the prefix and whether the line is settled go in one number: both sides of the join are the same shuffle
-    flag = sets.select("h", "doc_id", "line", "n", "bitmap", "prefix").join(settled.withColumn("gone", F.lit(1)), "h", "left")
+    # size, place in the prefix and whether the line is settled go in one number
+    open_ = sets.select("id", "n", "bitmap", "prefix").join(settled.withColumn("gone", F.lit(1)), "id", "left")
     meta = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + F.coalesce("gone", F.lit(0))
-    post = flag.select("h", "doc_id", "line", "n", "bitmap", "gone", F.posexplode("prefix").alias("pos", "key")).select("key", "h", "doc_id", "line", "bitmap", meta.alias("meta"))
+    post = open_.select("id", "n", "bitmap", "gone", F.posexplode("prefix").alias("pos", "key")).select("key", "id", meta.alias("meta"), "bitmap").filter("key <> 0")
+    post = post.filter(" and ".join(f"{c} is not null" for c in post.columns))  # what the join would ask of one side only
     x, y = post.alias("x"), post.alias("y")
     size = lambda t: F.shiftright(f"{t}.meta", 32)
     after = lambda t: size(t) - F.shiftright(F.col(f"{t}.meta").bitwiseAND(0xFFFFFFFF), 1)  # noqa: E731  words from the shared one on
-    common = F.ceil(F.lit(threshold / (1 + threshold)) * (size("x") + size("y")) - 1e-9)
-    unsettled = F.col("y.meta").bitwiseAND(1) == 0
-    on = (F.col("x.key") == F.col("y.key")) & unsettled & (F.struct("x.doc_id", "x.line") < F.struct("y.doc_id", "y.line")) & (F.least(after("x"), after("y")) >= common)
-    on = on & _may_match(size("x"), size("y"), "x.bitmap", "y.bitmap", threshold)
+    common = F.lit(threshold / (1 + threshold)) * (size("x") + size("y")) - 1e-9
+    # a settled line is later than none; a condition on both sides, so that they stay the same shuffle
+    upto = F.when(F.col("y.meta").bitwiseAND(1) == 0, F.col("y.id")).otherwise(-1)
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < upto) & _may_match(size("x"), size("y"), "x.bitmap", "y.bitmap", threshold)
+    on = on & (after("x") >= common) & (after("y") >= common)
     distance = F.bit_count(F.col("x.bitmap").bitwiseXOR(F.col("y.bitmap")))
-    pairs = written(x.join(y, on).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), distance.alias("d")), "line-pairs")
-    del x, y, post, flag
+    pairs = written(x.join(y, on).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.min(distance).alias("d")), "line-pairs")
+    words = _words_for(docs, pairs, sets)
     # the likeliest candidate of each line first; all others only for the lines that it doesn't settle
-    best = written(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")), "best")
-    words = _words_for(docs, best, sets)
+    best = written(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"), "best")
     likely = written(matched(words, best, threshold), "settled")
-    dropped(words)
-    others = pairs.select("a", "b").join(likely.withColumnRenamed("h", "b"), "b", "left_anti").join(best, ["a", "b"], "left_anti").distinct()
-    others = written(others, "other-pairs")
-    words = _words_for(docs, others, sets)
+    others = pairs.select("a", "b").join(likely.withColumnRenamed("id", "b"), "b", "left_anti").join(best, ["a", "b"], "left_anti")
     more = written(matched(words, others, threshold), "settled")
-    dropped(words, others, best, pairs)
+    dropped(words, best, pairs)
 
     gone = settled.union(likely).union(more).withColumn("gone", F.lit(True))
-    heads = sets.select("h", "h1", "h2", "doc_id", "line").join(gone, "h", "left")
-    heads = heads.select("h1", "h2", F.struct("doc_id", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = mapped.join(heads, ["h1", "h2"]).filter(F.col("gone") | (F.struct("doc_id", "line") > F.col("first")))
-    out = written(out.select("doc_id", "line").distinct(), "removed")
-    dropped(sets, mapped)
+    heads = sets.select("id", "h1", "h2", place.alias("first")).join(gone, "id", "left").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    out = mapped.join(heads, ["h1", "h2"]).filter(F.col("gone") | (place > F.col("first")))
+    out = written(out.select("doc_id", "t", "line").distinct(), "removed")
+    dropped(sets, mapped, settled, likely, more)
     return out
 
 
 def _may_match(n: str | F.Column, m: str | F.Column, b: str, c: str, threshold: float) -> F.Column:
     """Length filter, and the bitmaps' Hamming distance against the largest symmetric difference of a match."""
     n, m = (F.col(v) if isinstance(v, str) else v for v in (n, m))
-    most = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (n + m) + 1e-9)
-    return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - 1e-9) & (F.bit_count(F.col(b).bitwiseXOR(F.col(c))) <= most)
+    most = F.lit((1 - threshold) / (1 + threshold)) * (n + m) + 1e-9
+    return (F.bit_count(F.col(b).bitwiseXOR(F.col(c))) <= most) & (n >= F.lit(threshold) * m - 1e-9) & (m >= F.lit(threshold) * n - 1e-9)
+
+
+def _gone(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``docs`` joined with a table whose ``gone`` has the sorted numbers of the matched lines (null: none), and that table."""
+    gone = removed_lines(docs.select("doc_id", "text"), threshold).groupBy("doc_id", "t").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["t"]), "left"), gone
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -258,21 +272,19 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     A text that loses all its lines becomes empty; a null text stays null.
     """
-    gone = removed_lines(docs, threshold).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list("line").alias("_gone"))
-    lines = F.split("text", "\n", -1)
-    cut = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_gone", s["i"])), lambda s: s["x"]), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out, table = _gone(docs, threshold)
+    gone = table["gone"]
+    # the lines are bound once for each text, and the numbers that stay are a difference of sets: linear time at any number of lines
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    cut = F.transform(F.array(F.split(docs["text"], "\n", -1)), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))[0]
+    out = out.select(F.when(gone.isNull(), docs["text"]).otherwise(cut).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return out.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per document: its number of lines (0 for null), of lines removed, and their numbers in order."""
     slim = docs.select("doc_id", "text")
-    gone = removed_lines(slim, threshold).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    counted = slim.select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
-    out = counted.join(gone, counted["doc_id"].eqNullSafe(gone["_gone_id"]), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    out, table = _gone(slim, threshold)
+    removed = F.coalesce(table["gone"], F.array().cast("array<int>"))
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    return out.select(slim["doc_id"], n_lines.alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

@@ -327,14 +327,14 @@ def near_duplicate_stage(docs: DataFrame, threshold: Fraction | str = "0.8", k:
     rows, named = _grouped(docs.select("doc_id", "text"), Fraction(threshold), k)
     worded = rows.filter("n > 0")
     out = worded.join(named, ["g1", "g2"]).filter("not (doc_id <=> head.doc_id and t = head.t)").select("doc_id", "t")
-    key = lambda found: found.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).count()
+    key = lambda found: found.groupBy(F.col("doc_id").alias("_docloom_id"), F.col("t").alias("_docloom_t")).count()
     text = F.xxhash64(docs["text"])
-    on = lambda found: docs["doc_id"].eqNullSafe(found["_id"]) & (text == found["_t"])
+    on = lambda found: docs["doc_id"].eqNullSafe(found["_docloom_id"]) & (text == found["_docloom_t"])
     gone, several = key(out), written(key(worded).filter("count > 1"), "repeated")
     kept = docs.join(gone, on(gone), "left_anti")
     if not several.limit(1).count():
         return kept
-    one = kept.join(several, on(several)).dropDuplicates(["_id", "_t"]).select(*[docs[c] for c in docs.columns])
+    one = kept.join(several, on(several)).dropDuplicates(["_docloom_id", "_docloom_t"]).select(*[docs[c] for c in docs.columns])
     return kept.join(several, on(several), "left_anti").union(one)
 
 

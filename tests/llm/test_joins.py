@@ -123,6 +123,27 @@ def test_null_ids_and_extra_columns(spark):
     assert {r.doc_id: r.removed for r in op9_line_dedup(docs).collect()} == {None: [], 3: [0], 4: [1]}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Rows with one doc_id or none are judged each by its own text."""
+    shared = "one line that two of the rows have in common"
+    rows = [(None, "unique one two three four\n" + shared), (None, shared + "\nalpha beta gamma"), (2, "x y\nx y"), (2, "q r s\nt u v"), (2, "t u v w\nx y"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as t", "2 as id", "3 as _gone", "4 as prefix")
+    out = dedup_lines(docs)
+    assert out.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    lines = [x for _, t in kept if t for x in t.split("\n")]
+    assert sorted(lines) == sorted(["unique one two three four", shared, "alpha beta gamma", "x y", "q r s", "t u v", "t u v w"])
+    assert (3, None) in kept and (3, "") in kept and len(kept) == len(rows)
+
+
+def test_a_text_of_very_many_lines_and_a_very_long_word(spark):
+    n = 1_200_000
+    text = "\n".join(f"w{i}" for i in range(n)) + "\nw5\n\nw7"
+    rows = [(1, text), (2, "y" * 5_000_000), (3, "y" * 5_000_000 + "\nw9"), (4, "z")]
+    out = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == "\n".join(f"w{i}" for i in range(n)) + "\n" and out[2] == rows[1][1] and out[3] == "" and out[4] == "z"
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 130)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
