@@ -5,10 +5,12 @@ Spark counts the n-grams of every whole text (each task adds up its own, then a
 grouped sum) and smooths the counts order by order with grouped sums and joins,
 so the model is a table that grows with the corpus and that no process holds.
 
-Texts lie in blocks of about BLOCK bytes.  Each block's distinct n-grams are
-joined with the model, and the block is scored by its own part of it, as arrays
-sorted by hash.  A document is scored by its mean log-probability; documents
-outside their language's band are rejected.
+A model of at most MOST n-grams goes to every task as arrays sorted by hash (64
+MiB).  Beyond that texts are put into blocks of about BLOCK bytes, each block's
+distinct n-grams are joined with the model, and the block meets its own part of
+it, as such arrays; scores are the same.  A document is scored by its mean
+log-probability; documents outside their language's band are rejected.  Bands
+are those of the documents that pass the base rules.
 
 A text must not vouch for itself: beside this its held-out score takes each
 n-gram that one text only has (with its exact copies) as one that the model has
@@ -42,6 +44,10 @@ CLASS = np.arange(1, V, dtype=np.int32)
 KEY = np.dtype([("context", np.int64), ("symbol", np.int32)])
 #: Bytes of a block of texts, about, and distinct n-grams that a task adds up before it passes them on.
 BLOCK, PENDING = 32 << 20, 1 << 22
+#: N-grams of a model that is sent whole to every task, at most (16 bytes each).
+MOST = 1 << 22
+#: Languages whose bands are sent to every task, at most; more are joined.
+MOST_BANDS = 1 << 16
 #: Bands reach this many interquartile ranges beyond the quartiles of a language's log-perplexity.
 BAND_WIDTH = 2.0
 #: Half-width of a band at least, in log-perplexity.
@@ -113,15 +119,71 @@ def _added(parts: list[tuple]) -> tuple:
     return h[by[first]], context[by[first]], symbol[by[first]], np.add.reduceat(n[by], first), np.where(least == most, least, 0)
 
 
+def _dense(c: T.Chunk) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """N-gram that ends at each code point as a number of ORDER * bits bits, bits, the symbol of each number below 2**bits, and texts' bounds.
+
+    Symbols are numbered within the chunk, so that n-grams of any alphabet are short and sort fast.
+    """
+    points, offs = code_points(c)
+    used = np.flatnonzero(np.bincount(points)) if len(points) else np.zeros(0, np.int64)
+    bits = max(len(used).bit_length(), 1)
+    number = np.zeros(int(used[-1]) + 1 if len(used) else 1, T.U64)
+    number[used] = np.arange(1, len(used) + 1)
+    cur = number[points]
+    starts = offs[:-1][offs[:-1] < len(cur)]
+    key, back = cur.copy(), cur
+    for k in range(1, ORDER):
+        prev = np.zeros_like(back)
+        prev[1:] = back[:-1]
+        prev[starts] = 0
+        key |= prev << T.U64(bits * k)
+        back = prev
+    symbols = np.zeros(1 << bits, np.int64)
+    symbols[1 : len(used) + 1] = CLASS[used]
+    return key, bits, symbols, offs
+
+
+def _spelled(key: np.ndarray, bits: int, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, symbol) of n-grams numbered within a chunk."""
+    at = [symbols[((key >> T.U64(bits * k)) & T.U64((1 << bits) - 1)).astype(np.int64)] for k in range(ORDER)]
+    return sum((at[k] << BITS * (k - 1) for k in range(2, ORDER)), at[1]), at[0].astype(np.int32)
+
+
+def _sorted_with(key: np.ndarray, width: int, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``key`` (of ``width`` bits) and ``other`` (below ``most``), sorted by both."""
+    more = max((most - 1).bit_length(), 1)
+    if width + more > 64:
+        by = np.lexsort((other, key))
+        return key[by], other[by]
+    both = np.sort(key << T.U64(more) | other.astype(T.U64))
+    return both >> T.U64(more), (both & T.U64((1 << more) - 1)).astype(np.int64)
+
+
+def _counted(c: T.Chunk) -> tuple | None:
+    """The chunk's distinct n-grams as :func:`_added` gives them."""
+    key, bits, symbols, offs = _dense(c)
+    if not len(key):
+        return None
+    key, doc = _sorted_with(key, ORDER * bits, np.repeat(np.arange(len(offs) - 1), np.diff(offs)), len(offs) - 1)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    last = np.append(first[1:], len(key)) - 1
+    text = _text_hash(c)
+    owner = np.where(text[doc[first]] == text[doc[last]], text[doc[first]], 0)
+    for i in np.flatnonzero((owner != 0) & (doc[first] != doc[last])).tolist():  # a copy at either end: what lies between
+        owner[i] = owner[i] if (text[doc[first[i] : last[i] + 1]] == owner[i]).all() else 0
+    context, symbol = _spelled(key[first], bits, symbols)
+    return _added([(_hash(context, symbol), context, symbol, last - first + 1, owner)])
+
+
 def _distinct(chunks: Iterator[T.Chunk]) -> Iterator[tuple]:
     """Tables of distinct n-grams; an n-gram is in several if there are more than PENDING."""
     parts, size = [], 0
     for c in chunks:
-        context, symbol, offs = ngrams(c)
-        if not len(symbol):
+        found = _counted(c)
+        if found is None:
             continue
-        parts.append(_added([(_hash(context, symbol), context, symbol, np.ones(len(symbol), np.int64), np.repeat(_text_hash(c), np.diff(offs)))]))
-        size += len(parts[-1][0])
+        parts.append(found)
+        size += len(found[0])
         if size > PENDING:
             parts = [_added(parts)]
             size = len(parts[0][0])
@@ -281,10 +343,15 @@ def _dup_lines(c: T.Chunk, w: T.Words, n: int) -> np.ndarray:
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """``block``, ``text``, ``lang`` and ``rest`` (struct of the other columns) of every row, kept so that blocks are the same each time."""
-    rest = F.struct(F.lit(0).alias("_"), *[docs[f"`{c}`"].alias(c) for c in docs.columns if c != "text"])
-    slim = docs.select(docs["text"].alias("text"), docs["lang"].cast("string").alias("lang"), rest.alias("rest"), F.spark_partition_id().cast("long").alias("block"))
+def _slim(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``text``, ``lang`` and ``rest`` (struct of ``columns``) of every row."""
+    rest = F.struct(F.lit(None).cast("int").alias("_"), *[docs[f"`{c}`"].alias(c) for c in columns])
+    return docs.select(docs["text"].alias("text"), docs["lang"].cast("string").alias("lang"), rest.alias("rest"))
+
+
+def _blocks(slim: DataFrame) -> DataFrame:
+    """The rows with their ``block``, kept so that blocks are the same each time."""
+    slim = slim.withColumn("block", F.spark_partition_id().cast("long"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
@@ -300,8 +367,45 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return written(slim.mapInArrow(numbered, slim.schema), "blocks")
 
 
-def _scored(blocks: DataFrame, model: DataFrame) -> DataFrame:
-    """The rows of ``blocks`` with base statistics, ``log_ppl`` and ``log_held``."""
+def _scores(column: pa.Array, h: np.ndarray, logp: np.ndarray) -> Iterator[tuple[T.Chunk, list[pa.Array]]]:
+    """Chunks of texts with base statistics, log_ppl and log_held; ``logp`` of the sorted n-gram hashes ``h`` (every n-gram of the texts is there)."""
+    for c in T.chunks(column):
+        key, bits, symbols, offs = _dense(c)
+        size, found = np.diff(offs), np.zeros((2, len(key)))
+        if len(key):
+            key, place = _sorted_with(key, ORDER * bits, np.arange(len(key)), len(key))
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            value = logp[np.searchsorted(h, _hash(*_spelled(key[first], bits, symbols)))].astype(np.float64)
+            for k in (0, 1):
+                found[k, place] = np.repeat(value[:, k], np.diff(np.append(first, len(key))))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            means = [pa.array(np.where(size > 0, -T.sums(x, offs) / size, np.nan), from_pandas=True) for x in found]
+        stats = base_statistics(c)
+        yield c, [*(pa.array(stats[k], pa.int64()) for k in NAMES), *means]
+
+
+def _scored(docs: DataFrame, columns: list[str], carried: bool) -> DataFrame:
+    """The rows of ``docs`` (lang, struct ``rest`` of ``columns``, and text if ``carried``) with base statistics, ``log_ppl`` and ``log_held``."""
+    slim = _slim(docs, columns)
+    model = smoothed(docs)
+    have = ["text"] * carried + ["lang", "rest"]
+    names = [*have, *NAMES, "log_ppl", "log_held"]
+    schema = StructType([*(slim.schema[k] for k in have), *(StructField(k, LongType()) for k in NAMES), StructField("log_ppl", DoubleType()), StructField("log_held", DoubleType())])
+    logs = model.select("context", "symbol", F.log("p").cast("float").alias("p"), F.log("held").cast("float").alias("held"))
+    if model.count() <= MOST:
+        found = logs.toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(_arrays(found))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for c, out in _scores(b.column(0), *shared.value):
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).slice(c.lo, c.hi - c.lo) for k in have), *out], names)
+
+        out = written(slim.mapInArrow(score, schema), "scored")
+        shared.destroy()
+        dropped(model)
+        return out
+    blocks = _blocks(slim)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct n-grams of each block (a task's neighbouring rows)."""
@@ -323,27 +427,25 @@ def _scored(blocks: DataFrame, model: DataFrame) -> DataFrame:
             yield from given(block, (c for _, c in run))
 
     needs = blocks.select("block", "text").mapInArrow(wanted, "block long, context long, symbol int")
-    have = needs.join(model, ["context", "symbol"]).select("block", "context", "symbol", F.log("p").cast("float").alias("p"), F.log("held").cast("float").alias("held"))
+    parts = needs.join(logs, ["context", "symbol"]).select("block", "context", "symbol", "p", "held")
 
-    def score(texts: pa.Table, part: pa.Table) -> pa.Table:
-        h, logp = _sorted(_hash(part["context"].to_numpy(), part["symbol"].to_numpy()), np.stack([part["p"].to_numpy(), part["held"].to_numpy()], 1))
-        out = []
+    def meet(texts: pa.Table, part: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
-        column = texts["text"]
-        for c in T.chunks(column):
+        out = []
+        for c, got in _scores(texts["text"], *_arrays(part)):
             rows = texts.slice(c.lo, c.hi - c.lo)
-            context, symbol, offs = ngrams(c)
-            distinct, place = np.unique(_hash(context, symbol), return_inverse=True)
-            found, size = logp[np.searchsorted(h, distinct)].astype(np.float64) if len(h) else np.zeros((0, 2)), np.diff(offs)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                means = [pa.array(np.where(size > 0, -T.sums(found[:, k][place], offs) / size, np.nan), from_pandas=True) for k in (0, 1)]
-            stats = base_statistics(c)
-            out.append(pa.table([rows["text"], rows["lang"], rows["rest"], *(pa.array(stats[k], pa.int64()) for k in NAMES), *means], names))
+            out.append(pa.table([*(rows[k] for k in have), *got], names))
         return pa.concat_tables(out)
 
-    names = ["text", "lang", "rest", *NAMES, "log_ppl", "log_held"]
-    schema = StructType([*(blocks.schema[k] for k in ("text", "lang", "rest")), *(StructField(k, LongType()) for k in NAMES), StructField("log_ppl", DoubleType()), StructField("log_held", DoubleType())])
-    return blocks.groupBy("block").cogroup(have.groupBy("block")).applyInArrow(score, schema)
+    schema = StructType([*(blocks.schema[k] for k in have), *schema.fields[len(have) :]])
+    out = written(blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(meet, schema), "scored")
+    dropped(model, blocks)
+    return out
+
+
+def _arrays(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of n-grams, and their two log-probabilities."""
+    return _sorted(_hash(found["context"].to_numpy(), found["symbol"].to_numpy()), np.stack([found["p"].to_numpy(), found["held"].to_numpy()], 1))
 
 
 def bands(found: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
@@ -358,25 +460,24 @@ def bands(found: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST
     return found.select(*out)
 
 
-def judged(docs: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
-    """Every row of ``docs`` (``text``, and its other columns as struct ``rest``) with base statistics, log_ppl, base_failed and kept."""
-    blocks = _blocks(docs)
-    model = smoothed(blocks)
-    found = written(_scored(blocks, model), "scored")
-    dropped(blocks, model)
-    limits = bands(found, width, least)
+def judged(docs: DataFrame, columns: list[str], carried: bool, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
+    """Every row of ``docs`` (struct ``rest`` of ``columns``, and ``text`` if ``carried``) with base statistics, log_ppl, base_failed and kept."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    found = _scored(docs, columns, carried).withColumn("base_failed", failed)
+    limits = written(bands(found.filter("not base_failed"), width, least), "bands")
+    limits = F.broadcast(limits) if limits.count() <= MOST_BANDS else limits
     drawn = lambda c: F.col(f"middle_{c}") + (F.col(c) - F.col(f"middle_{c}")) * F.col("word_chars") / (F.col("word_chars") + PRIOR_CHARS)
     inside = drawn("log_ppl").between(F.col("lower_log_ppl"), F.col("upper_log_ppl")) & (drawn("log_held") <= F.col("upper_log_held"))
-    return found.join(F.broadcast(limits), found["lang"].eqNullSafe(limits["band_lang"]), "left").withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(False)))
+    return found.join(limits, found["lang"].eqNullSafe(limits["band_lang"]), "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def op1_perplexity(docs: DataFrame) -> DataFrame:
     """Statistics, base rule and verdict of every document."""
-    out = judged(docs.select("doc_id", "text", "lang"))
+    out = judged(docs, ["doc_id"], False)
     return out.select(F.col("rest.doc_id").alias("doc_id"), *NAMES, "base_failed", "kept", "log_ppl")
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns unchanged."""
-    return judged(docs).filter("kept").select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    out = judged(docs, [c for c in docs.columns if c != "text"], True).filter("kept")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

@@ -120,3 +120,28 @@ def test_scrambled_text_of_any_script_is_worse_than_prose(spark):
         docs = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in enumerate([*texts, garbage])], SCHEMA)
         got = {r.doc_id: r for r in P.op1_perplexity(docs).collect()}
         assert not got[80].kept and sum(r.kept for r in got.values()) > 70
+
+
+def test_a_model_too_large_to_send(spark, monkeypatch):
+    """Blocks of texts that meet their part of the model give the same rows."""
+    docs = spark.createDataFrame(corpus(60, 9), SCHEMA).repartition(3)
+    key = lambda r: (r.doc_id, r.n_words)
+    sent = sorted(P.op1_perplexity(docs).collect(), key=key)
+    monkeypatch.setattr(P, "MOST", 0)
+    monkeypatch.setattr(P, "BLOCK", 1 << 12)
+    met = sorted(P.op1_perplexity(docs).collect(), key=key)
+    assert [tuple(r)[:-1] for r in sent] == [tuple(r)[:-1] for r in met]
+    assert all(a.log_ppl is b.log_ppl is None or abs(a.log_ppl - b.log_ppl) < 1e-5 for a, b in zip(sent, met, strict=True))
+
+
+def test_owners_of_ngrams_in_one_chunk():
+    """An n-gram belongs to a text (and its copies) only if no other text has it."""
+    texts = ["abcdef", "abcxyz", "abcdef", "qqqq", "abcdef", None, ""]
+    [c] = T.chunks(pa.array(texts))
+    h, context, symbol, n, owner = P._counted(c)
+    context_, symbol_, _ = P.ngrams(c)
+    every = P._hash(context_, symbol_)
+    text = np.repeat(P._text_hash(c), [len(t or "") for t in texts])
+    for i, g in enumerate(h):
+        who = set(text[every == g].tolist())
+        assert n[i] == (every == g).sum() and owner[i] == (who.pop() if len(who) == 1 else 0)
