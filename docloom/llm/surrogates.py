@@ -10,7 +10,12 @@ same gender (by the title before them) and script.
 Equal canonical forms get equal surrogates anywhere in the corpus (coreference):
 a surname is the same entity with or without a first name.  All distinct
 entities form a table; surrogates that two of them share, or that are an entity
-themselves, are drawn anew until none is left (distinctness).
+themselves, are drawn anew until none is left (distinctness).  From the
+LENGTHEN-th attempt on they get a digit more (names: always a syllable) with
+every attempt, so that the rounds end even where a form has too few values.
+
+The key is the caller's secret: who has it can tell by trial what a surrogate
+stands for.
 
 Cases: a null text stays null with 0 entities; repeated rows are replaced alike;
 null ids are passed on; extra columns are ignored or passed on; an empty table
@@ -19,12 +24,17 @@ gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import written
+from docloom.llm.shared import dropped, written
 
-KEY = "docloom"
+#: Setting that holds the key of the registered query; where it is unset, the session draws a key.
+KEY = "spark.docloom.surrogate.key"
+#: Attempts after which surrogates are lengthened.
+LENGTHEN = 4
 #: Alternatives in order of preference; each begins where a word begins, so that long words cost linear time.
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 #: What stands before a secret: its name, and a separator with optional blanks and quotes around it.
@@ -126,24 +136,45 @@ def _picker(of: Column, hexes: Column):  # noqa: ANN202
 
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Letters of other scripts, by the class of the characters that they stand for; letters of any other script give Latin ones.
+LETTERS = [
+    (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
+    (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя"),
+    (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"\p{IsHan}", "天地人山水火木金土日月星雨風花鳥春夏秋冬"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてと"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテト"),
+    (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보"),
+    (r"\p{Lu}", UPPER),
+    (r"\p{L}", LOWER),
+]
+SYMBOLS = "!#$%&*+-?@^_~"
 
 
 def drawn(rows: DataFrame, key: str) -> DataFrame:
     """Rows (type, canon, attempt) with ``made``, the surrogate of the canonical form: digits alone for phone, card and ssn; lower case for names and mail."""
     text = F.when(F.col("type") == "email", F.substring_index("canon", "@", 1)).otherwise(F.col("canon"))
-    hexes = _bytes(F.col("type"), F.col("canon"), F.col("attempt"), key, F.length(text))
+    hexes = _bytes(F.col("type"), F.col("canon"), F.col("attempt"), key, F.length(text) + F.col("attempt") + 20)
     # the hash is a column of its own, so that it is computed once for each row
-    return rows.drop("made").withColumn("_hex", hexes).withColumn("made", _surrogate(text, F.col("_hex"), F.col("type"), F.col("attempt"))).drop("_hex")
+    made = _surrogate(text, F.col("_hex"), F.col("type"), F.col("attempt"))
+    domain = F.when(F.col("type") == "email", F.concat(F.lit("@"), F.substring_index("canon", "@", -1))).otherwise("")
+    return rows.withColumn("_hex", hexes).withColumn("made", F.concat(made, domain)).drop("_hex")
 
 
 def _surrogate(text: Column, hexes: Column, kind: Column, attempt: Column) -> Column:
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    pick = lambda letters, v: F.substr(F.lit(letters), v + 1, F.lit(1))
+    pick = lambda letters, v: F.substr(F.lit(letters), v(len(letters)) + 1, F.lit(1))
+    wordless = ~text.rlike(r"[\p{L}\p{N}]")
 
     def plain(c: Column, i: Column) -> Column:
         v = lambda below: _draw(hexes, i + 1, below)
-        letter = F.when(kind == "hex", pick("abcdef", v(6))).otherwise(pick(LOWER, v(26)))
-        return F.when(c.rlike("^[0-9]$"), pick("0123456789", v(10))).when(c.rlike("^[a-z]$"), letter).when(c.rlike("^[A-Z]$"), pick(UPPER, v(26))).otherwise(c)
+        out = F.when(c.rlike(r"^\p{N}$"), pick("0123456789", v)).when(c.rlike("^[a-z]$"), F.when(kind == "hex", pick("abcdef", v)).otherwise(pick(LOWER, v))).when(c.rlike("^[A-Z]$"), pick(UPPER, v))
+        for letter, others in LETTERS:
+            out = out.when(c.rlike(f"^{letter}$"), pick(others, v))
+        return out.when(wordless & ~c.rlike(r"^\s$"), F.when(kind == "secret", pick(SYMBOLS, v)).otherwise(pick(LOWER, v))).otherwise(c)
 
     same = F.array_join(F.transform(chars, plain), "")
     aws = F.concat(F.lit("AKIA"), F.array_join(F.transform(F.slice(chars, 5, 16), plain), ""))
@@ -158,59 +189,77 @@ def _surrogate(text: Column, hexes: Column, kind: Column, attempt: Column) -> Co
         lists = [F.array(*map(F.lit, x)) for x in (parts[:8], parts[8:12], parts[12:])]
         middle = F.array_join(F.transform(F.sequence(F.lit(2), attempt + 3), _picker(lists[1], hexes)), "")
         name = F.when(kind == k, F.concat(F.get(lists[0], _draw(hexes, F.lit(1), 8)), middle, F.get(lists[2], _draw(hexes, attempt + 4, 4)))).otherwise(name)
-    return F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "aws", aws).when(name.isNotNull(), F.lower(name)).otherwise(same)
+    more = F.array_join(F.transform(F.sequence(F.lit(LENGTHEN), attempt), lambda i: _draw(hexes, F.length(text) + 16 + i - LENGTHEN, 10).cast("string")), "")
+    form = F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "aws", aws).otherwise(same)
+    return F.when(name.isNotNull(), F.lower(name)).when(attempt >= LENGTHEN, F.concat(form, more)).otherwise(form)
 
 
 def _poured(kind: Column, text: Column, made: Column) -> Column:
-    """The surrogate in the form of the text it replaces: its punctuation, or its upper case."""
+    """The surrogate in the form of the text it replaces: its punctuation, or its upper case; what is longer comes last."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    digit = lambda i: F.length(F.regexp_replace(F.substr(text, F.lit(1), i + 1), "[^0-9]", ""))
-    start = F.length(made) - F.length(F.regexp_replace(text, "[^0-9]", ""))
-    numbers = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substr(made, start + digit(i), F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(F.substr(made, i + 1, F.lit(1)))).otherwise(F.substr(made, i + 1, F.lit(1)))), "")
+    local = F.when(kind == "email", F.substring_index(made, "@", 1)).otherwise(made)
+    digits = lambda t: F.length(F.regexp_replace(t, "[^0-9]", ""))
+    longer = lambda n: F.substr(local, n + 1)
+    numbers = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substr(made, digits(F.substr(text, F.lit(1), i + 1)), F.lit(1))).otherwise(c)), "")
+    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(F.substr(local, i + 1, F.lit(1)))).otherwise(F.substr(local, i + 1, F.lit(1)))), "")
+    numbers, cased = F.concat(numbers, longer(digits(text))), F.concat(cased, longer(F.length(text)))
     return F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind.isin("email", "hex"), cased).when(kind.rlike("^[fms]_"), F.initcap(made)).otherwise(made)
 
 
 def entity_table(parts: DataFrame, key: str) -> DataFrame:
-    """Distinct (type, canon) with surrogates of which no two are equal in a type and none is an entity of it."""
-    found = parts.select("type", "canon").distinct()
-    now = written(drawn(found.withColumn("attempt", F.lit(0)), key), "entities")
-    real = now.select("type", F.when(F.col("type") == "email", F.substring_index("canon", "@", 1)).otherwise(F.col("canon")).alias("made"), F.lit(True).alias("real")).distinct()
-    while True:
-        same = Window.partitionBy("type", "made").orderBy("attempt", "canon")
-        seen = now.withColumn("again", F.row_number().over(same) > 1).join(real, ["type", "made"], "left").withColumn("bad", F.col("again") | F.col("real").isNotNull())
-        seen = written(seen.select("type", "canon", "attempt", "made", "bad"), "entities")
-        if not seen.filter("bad").limit(1).count():
-            return seen.drop("bad", "attempt")
-        again = drawn(seen.filter("bad").drop("bad").withColumn("attempt", F.col("attempt") + 1), key)
-        now = again.unionByName(seen.filter("not bad").drop("bad"))
-
-
-def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """Distinct (type, canon) with surrogates of which no two are equal in a type and none is an entity of it.
+
+    Every round draws for the entities that have none yet, and holds the draws
+    against each other, all entities and what earlier rounds gave.
+    """
+    left = real = written(parts.select("type", "canon").distinct(), "entities")
+    taken = real.select("type", F.col("canon").alias("made"))
+    given, attempt = None, 0
+    while given is None or left.limit(1).count():
+        now = drawn(left.select("type", "canon", F.lit(attempt).alias("attempt")), key).drop("attempt")
+        now = written(now, "draws")
+        winners = now.groupBy("type", "made").agg(F.min("canon").alias("canon")).join(taken, ["type", "made"], "left_anti")
+        good = written(winners.select("type", "canon", "made"), "given")
+        left = written(left.join(good, ["type", "canon"], "left_anti"), "entities")
+        given = good if given is None else given.union(good)
+        taken = taken.union(good.select("type", "made"))
+        dropped(now)
+        attempt += 1
+    return given
+
+
+def replaced(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs`` with the entities of ``text`` replaced, and ``_entities``, their number."""
-    signs = F.col("text").rlike(SIGNS)
-    held = docs.filter(F.when(signs, F.col("text").rlike(PATTERN))).withColumn("_surfaces", F.regexp_extract_all("text", F.lit(PATTERN), 0))
-    rest = docs.filter(F.col("text").isNull() | ~F.when(signs, F.col("text").rlike(PATTERN)).otherwise(False))
-    identity = [F.xxhash64("text").alias("_k1"), F.crc32(F.encode("text", "UTF-8")).alias("_k2"), F.length("text").alias("_k3")]
+    text = docs["text"]
+    identity = [F.xxhash64(text).alias("_k1"), F.crc32(F.encode(text, "UTF-8")).alias("_k2"), F.length(text).alias("_k3")]
     ks = ["_k1", "_k2", "_k3"]
-    each = held.select(*identity, "_surfaces").dropDuplicates(ks).select(*ks, F.posexplode("_surfaces").alias("at", "surface"))
+    found = docs.filter(text.rlike(SIGNS)).select(*identity, F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("surfaces")).filter(F.size("surfaces") > 0)
+    each = found.dropDuplicates(ks).select(*ks, F.posexplode("surfaces").alias("at", "surface"))
     typed = each.withColumn("kind", kind_of(F.col("surface")))
-    parts = typed.select(*ks, "at", F.posexplode(_parts(F.col("surface"), F.col("kind"))).alias("sub", "part")).select(*ks, "at", "sub", "part.*")
+    parts = typed.select(*ks, "at", (F.col("kind") != "other").alias("counts"), F.posexplode(_parts(F.col("surface"), F.col("kind"))).alias("sub", "part")).select(*ks, "at", "counts", "sub", "part.*")
     parts = written(parts, "parts")
     table = entity_table(parts.filter("type is not null"), key)
-    joined = parts.join(table, ["type", "canon"], "left")
-    text = F.when(F.col("type").isNull(), F.col("text")).otherwise(_poured(F.col("type"), F.col("text"), F.col("made")))
-    whole = joined.groupBy(*ks).agg(F.sort_array(F.collect_list(F.struct("at", "sub", text.alias("new")))).alias("_new"))
-    pieces = F.split("text", PATTERN, -1)
-    made = lambda i: F.array_join(F.transform(F.filter("_new", lambda s: s["at"] == i), lambda s: s["new"]), "")
-    after = F.array_join(F.transform(F.col("_pieces"), lambda p, i: F.concat(p, F.when(i < F.size("_surfaces"), made(i)).otherwise(F.lit("")))), "")
-    out = held.select("*", *identity).join(whole, ks).withColumn("_pieces", pieces).withColumn("text", after)
-    names = docs.columns
-    number = F.size(F.filter("_surfaces", lambda s: kind_of(s) != "other"))
-    return out.select(*names, number.cast("long").alias("_entities")).union(rest.select(*names, F.lit(0).cast("long").alias("_entities")))
+    new = F.when(F.col("type").isNull(), F.col("text")).otherwise(_poured(F.col("type"), F.col("text"), F.col("made"))).alias("new")
+    surfaces = parts.join(table, ["type", "canon"], "left").groupBy(*ks, "at").agg(F.first("counts").alias("counts"), F.sort_array(F.collect_list(F.struct("sub", new))).alias("news"))
+    surfaces = surfaces.select(*ks, "counts", F.struct("at", F.array_join("news.new", "").alias("new")).alias("new"))
+    whole = surfaces.groupBy(*ks).agg(F.sort_array(F.collect_list("new")).alias("_new"), F.count_if("counts").alias("_entities"))
+    whole = written(whole.select(*ks, F.col("_new.new").alias("_new"), "_entities"), "surrogates")
+    on = (F.xxhash64(text) == whole["_k1"]) & (F.crc32(F.encode(text, "UTF-8")) == whole["_k2"]) & (F.length(text) == whole["_k3"])
+    after = F.array_join(F.zip_with(F.split(text, PATTERN, -1), whole["_new"], lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    out = F.when(whole["_new"].isNull(), text).otherwise(after)
+    columns = [out.alias(c) if c == "text" else docs[c] for c in docs.columns]
+    return docs.join(whole, on, "left").select(*columns, F.coalesce(whole["_entities"], F.lit(0)).cast("long").alias("_entities"))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's settings; where none is set, a random one that holds for the session."""
+    found = spark.conf.get(KEY, None)
+    if not found:
+        spark.conf.set(KEY, found := secrets.token_hex(32))
+    return found
 
 
 def op8_surrogates(docs: DataFrame) -> DataFrame:
     """Every document with its surrogate text and the number of entities replaced."""
-    out = replaced(docs.select("doc_id", "text"))
+    out = replaced(docs.select("doc_id", "text"), session_key(docs.sparkSession))
     return out.select("doc_id", F.col("_entities").alias("n_entities"), "text")

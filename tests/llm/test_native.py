@@ -29,7 +29,7 @@ TEXTS = [
 def test_surrogates_keep_format_and_coreference(spark):
     rows = list(enumerate(TEXTS)) + [(9, "plain words"), (None, TEXTS[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as at", "2 as made")
-    got = S.replaced(docs).collect()
+    got = S.replaced(docs, "a key").collect()
     assert len(got) == len(rows) and docs.columns + ["_entities"] == got[0].__fields__
     new = {r.doc_id: r.text for r in got}
     count = {r.doc_id: r._entities for r in got}
@@ -132,3 +132,37 @@ def test_secrets_and_phones_in_common_forms(spark):
             assert not any(x in got[i].text for x in ("Zq!7", "xKw", "pLm")) and re.match(r"\W*[A-Za-z_]+", got[i].text)[0] == re.match(r"\W*[A-Za-z_]+", t)[0]
         else:
             assert got[i].text.startswith("call ") and got[i].text != t
+
+
+def test_surrogates_end_and_are_distinct(spark):
+    """Forms with few values, values without ASCII letters or digits, and the same against plain Python."""
+    mails = [f"{a}@{d}.com" for d in ("x", "y", "z") for a in "abcdefghijklmnopqrstuvwxyz0123"]
+    secrets = [f"password={i}" for i in range(10)] + ["your password=**** ok", "token=пароль", "secret=密码山水", "token=!!", "token=?!"]
+    others = ["mail __@x.com", "Anna@X.com and anna@x.com", "call 5551234567", "10.0.0.1 and 10.0.0.1", "nothing here", "", None, "Mr Nil"]
+    rows = list(enumerate(mails + secrets + others))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _entities_", "2 as made", "3 as type", "4 as _k1")
+    out = S.replaced(docs, "a key")
+    assert out.columns == [*docs.columns, "_entities"]
+    got = {r.doc_id: r.text for r in out.collect()}
+    old = dict(rows)
+    made = [got[i] for i in range(len(mails))]
+    assert len(set(made)) == len(mails) and not set(made) & set(mails)
+    assert all(re.fullmatch(rf"[a-z0-9]\d*@{o.partition('@')[2]}", m) for m, o in zip(made, mails, strict=True))
+    of = {t: got[i] for i, t in rows if t in secrets}
+    values = [v.partition("=")[2].split(" ")[0] for v in of.values()]
+    assert len(set(values)) == len(values) and not set(values) & {t.partition("=")[2].split(" ")[0] for t in secrets}
+    assert all(t.split("=")[0] == v.split("=")[0] for t, v in of.items()) and of["your password=**** ok"].endswith(" ok")
+    assert re.fullmatch("token=[а-я]{6}", of["token=пароль"]) and re.fullmatch(r"secret=[\u3040-\u9fff]{4}", of["secret=密码山水"])
+    a, b = re.fullmatch(r"(\w+)@X\.com and (\w+)@x\.com", next(got[i] for i, t in rows if t == others[1])).groups()
+    assert a.lower() == b and a[0].isupper()
+    x, y = next(got[i] for i, t in rows if t == others[3]).split(" and ")
+    assert x == y != "10.0.0.1" and all(0 < int(k) < 255 for k in x.split("."))
+    assert next(got[i] for i, t in rows if t == "nothing here") == "nothing here" and got[len(rows) - 3] == "" and got[len(rows) - 2] is None
+    assert {r.doc_id: r.text for r in S.replaced(docs, "another key").collect()} != got and old[len(rows) - 2] is None
+
+
+def test_a_long_text_of_many_entities(spark):
+    text = " ".join(f"user{i}@mail{i % 7}.org 10.{i % 250}.{i // 250}.7" for i in range(20_000)) + " " + "a" * 3_000_000
+    [r] = S.replaced(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").collect()
+    assert r._entities == 40_000 and len(r.text.split(" ")) == 40_001 and r.text.endswith("a" * 3_000_000)
+    assert len(set(r.text.split(" "))) == 40_001 and not set(r.text.split(" ")[:-1]) & set(text.split(" ")[:-1])
