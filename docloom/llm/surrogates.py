@@ -248,7 +248,8 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     after = F.array_join(F.zip_with(F.split(text, PATTERN, -1), whole["_new"], lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     out = F.when(whole["_new"].isNull(), text).otherwise(after)
     columns = [out.alias(c) if c == "text" else docs[c] for c in docs.columns]
-    return docs.join(whole, on, "left").select(*columns, F.coalesce(whole["_entities"], F.lit(0)).cast("long").alias("_entities"))
+    # one plan at every size: both sides are dealt by the text's identity
+    return docs.join(whole.hint("merge"), on, "left").select(*columns, F.coalesce(whole["_entities"], F.lit(0)).cast("long").alias("_entities"))
 
 
 def session_key(spark: SparkSession) -> str:
