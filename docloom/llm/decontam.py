@@ -7,10 +7,11 @@ Shared q-grams are counted in overlapping bands of 2 * (k + 1) diagonals, bands
 that reach the bound are kept, and banded alignment of the item with the kept
 region gives the edit distance and the passage.
 
-Items are the query set: they go to the executors in blocks of bounded size and
-every block meets every whole text.  Upper case A-Z equals lower case, and any
-of the six ASCII spaces equals a blank.  For short items k is lowered until the
-bound is 1 at least; items of fewer than q characters match nothing.
+Items are the query set: they go to the executors in blocks of bounded size, one
+block at a time, and every block meets every whole text.  Upper case A-Z equals
+lower case, and any of the six ASCII spaces equals a blank.  Short items have
+shorter q-grams, so that the bound is 1 at least with all their edits; items of
+fewer than Q characters are too short to be a passage and match nothing.
 
 Cases: null and empty texts and items match nothing; repeated rows and items
 match row by row; null ids are passed on; extra columns are ignored or passed
@@ -21,15 +22,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from docloom.llm import textops as T
+from docloom.llm.shared import written
 
 Q, ERROR = 8, 0.1
 #: Characters of items in a block at most (one item at least).
@@ -37,9 +39,14 @@ BLOCK = 1 << 22
 TABLE_BITS = 22
 
 
-def budget(m: int, q: int = Q, error: float = ERROR) -> int:
-    """Edits allowed for an item of m characters: the lemma's bound m - q + 1 - k * q stays 1 at least."""
-    return max(0, min(int(error * m + 1e-9), (m - q) // q))
+def budget(m: int, error: float = ERROR) -> int:
+    """Edits allowed for an item of m characters."""
+    return int(error * m + 1e-9)
+
+
+def gram_size(m: int, error: float = ERROR) -> int:
+    """Characters of the q-grams of an item of m characters: the lemma's bound m - q + 1 - k * q stays 1 at least."""
+    return max(1, min(Q, m // (budget(m, error) + 1)))
 
 
 def folded(buf: np.ndarray) -> np.ndarray:
@@ -65,6 +72,7 @@ def grams(c: np.ndarray, q: int) -> np.ndarray:
 class Block:
     """Items with the sorted hashes of their q-grams and, for each hash, the (item, position) list."""
 
+    q: int
     ids: list
     texts: list[np.ndarray]
     edits: np.ndarray
@@ -84,16 +92,16 @@ def index(ids: list, texts: list[str], q: int, error: float) -> Block:
     at = np.concatenate([*(np.arange(len(x)) for x in all_h), np.zeros(0, np.int64)])
     by = np.argsort(h, kind="stable")
     hashes, first = np.unique(h[by], return_index=True)
-    edits = np.array([budget(len(c), q, error) for c in codes], np.int64)
+    edits = np.array([budget(len(c), error) for c in codes], np.int64)
     need = np.array([len(c) for c in codes], np.int64) - q + 1 - edits * q
     table = np.zeros(1 << TABLE_BITS, bool)
     table[(hashes >> T.U64(64 - TABLE_BITS)).astype(np.int64)] = True
-    return Block(ids, codes, edits, need, hashes, np.append(first, len(h)), item[by], at[by].astype(np.int64), table)
+    return Block(q, ids, codes, edits, need, hashes, np.append(first, len(h)), item[by], at[by].astype(np.int64), table)
 
 
-def regions(c: np.ndarray, b: Block, q: int) -> tuple[np.ndarray, np.ndarray]:
+def regions(c: np.ndarray, b: Block) -> tuple[np.ndarray, np.ndarray]:
     """(item, lowest diagonal) of the bands in which the shared q-grams reach the lemma's bound."""
-    h = grams(c, q)
+    h = grams(c, b.q)
     pos = np.flatnonzero(b.table[(h >> T.U64(64 - TABLE_BITS)).astype(np.int64)])
     g = h[pos]
     k = np.minimum(np.searchsorted(b.hashes, g), max(len(b.hashes) - 1, 0))
@@ -162,11 +170,11 @@ def aligned(items: list[np.ndarray], texts: list[np.ndarray], width: np.ndarray,
     return out, end
 
 
-def _search(c: T.Chunk, b: Block, q: int) -> list[tuple[int, int, int, int, int]]:
+def _search(c: T.Chunk, b: Block) -> list[tuple[int, int, int, int, int]]:
     """Best (row of the chunk, item, edits, start, end) for each pair that matches."""
     code = folded(c.buf)
     offs = np.append(0, np.cumsum((c.buf & 0xC0) != 0x80))[c.offs]
-    item, low = regions(code, b, q)
+    item, low = regions(code, b)
     pairs = []
     for x, lo in zip(item.tolist(), low.tolist(), strict=True):
         k, m = int(b.edits[x]), len(b.texts[x])
@@ -195,55 +203,80 @@ def _search(c: T.Chunk, b: Block, q: int) -> list[tuple[int, int, int, int, int]
     return [(doc, x, *v) for (doc, x), v in best.items()]
 
 
-def _blocks(items: DataFrame, q: int, error: float, size: int) -> Iterator[Block]:
-    ids, texts, total = [], [], 0
+def _blocks(items: DataFrame, error: float, size: int) -> Iterator[list[Block]]:
+    """Indexes of the items, one for each q, of about ``size`` characters at a time.  The items pass through the driver, a block at a time."""
+    found: dict[int, tuple[list, list]] = {}
+    total = 0
     for r in items.select("item_id", "text").toLocalIterator():
-        if r[1]:
-            if texts and total + len(r[1]) > size:
-                yield index(ids, texts, q, error)
-                ids, texts, total = [], [], 0
-            ids.append(r[0])
-            texts.append(r[1])
-            total += len(r[1])
-    yield index(ids, texts, q, error)
+        m = len(r[1] or "")
+        if m < Q:
+            continue
+        if found and total + m > size:
+            yield [index(*x, q, error) for q, x in found.items()]
+            found, total = {}, 0
+        ids, texts = found.setdefault(gram_size(m, error), ([], []))
+        ids.append(r[0])
+        texts.append(r[1])
+        total += m
+    yield [index(*x, q, error) for q, x in found.items()]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, q: int = Q, error: float = ERROR, block: int = BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, error: float = ERROR, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, edits and passage (start, end in code points of the text) for every document and item that match; the best passage of each."""
     spark = docs.sparkSession
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    item_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
+    item_kind = to_arrow_type(items.schema["item_id"].dataType)
 
     def scan(shared):  # noqa: ANN001, ANN202
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b = shared.value
             for batch in batches:
                 for c in T.chunks(batch.column(1), 1 << 21):
-                    if found := _search(c, b, q):
-                        doc, item, *rest = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(doc) + c.lo)), pa.array([b.ids[x] for x in item], item_kind), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "item_id", "edits", "start", "end"])
+                    for b in shared.value:
+                        if found := _search(c, b):
+                            doc, item, *rest = zip(*found, strict=True)
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(doc) + c.lo)), pa.array([b.ids[x] for x in item], item_kind), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "item_id", "edits", "start", "end"])
 
         return docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, edits long, start long, end long")
 
-    return reduce(DataFrame.union, [scan(spark.sparkContext.broadcast(b)) for b in _blocks(items, q, error, block)])
+    out, blocks = None, _blocks(items, error, block)
+    now, after = next(blocks), next(blocks, None)
+    while after is not None:  # each block's matches are kept before the next block is sent
+        shared = spark.sparkContext.broadcast(now)
+        found = written(scan(shared), "matches")
+        shared.destroy()
+        out = found if out is None else out.union(found)
+        now, after = after, next(blocks, None)
+    last = scan(spark.sparkContext.broadcast(now))
+    return last if out is None else out.union(last)
 
 
 def decontamination_stage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that match no item; columns unchanged.  Rows with a null doc_id are judged by their text alone too."""
+    """The rows of ``docs`` that match no item; columns unchanged.  Rows are judged by their text alone, whatever their doc_id."""
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in _blocks(items, Q, ERROR, BLOCK)]
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in T.chunks(batch.column(1), 1 << 21):
-                keep = np.ones(c.hi - c.lo, bool)
-                for b in shared:
-                    for doc, *_ in _search(c, b.value, Q):
-                        keep[doc] = False
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo).filter(pa.array(keep))], ["row"])
-
-    return packed.mapInArrow(clean, StructType([packed.schema["row"]])).select("row.*")
+    out = docs
+
+    def clean_of(shared, packed: DataFrame) -> DataFrame:  # noqa: ANN001
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for c in T.chunks(batch.column(1), 1 << 21):
+                    keep = np.ones(c.hi - c.lo, bool)
+                    for b in shared.value:
+                        for doc, *_ in _search(c, b):
+                            keep[doc] = False
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo).filter(pa.array(keep))], ["row"])
+
+        return packed.mapInArrow(clean, StructType([packed.schema["row"]])).select("row.*")
+
+    blocks = _blocks(items, ERROR, BLOCK)
+    now = next(blocks)
+    while now is not None:
+        shared, after = spark.sparkContext.broadcast(now), next(blocks, None)
+        out = clean_of(shared, out.select(F.struct(*[out[c] for c in out.columns]).alias("row"), out["text"].alias("text")))
+        if after is not None:
+            out = written(out, "clean")
+            shared.destroy()
+        now = after
+    return out
 
 
 def op7_qgram_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

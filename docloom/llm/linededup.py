@@ -264,7 +264,7 @@ def _may_match(n: str | F.Column, m: str | F.Column, b: str, c: str, threshold:
 def _gone(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``docs`` joined with a table whose ``gone`` has the sorted numbers of the matched lines (null: none), and that table."""
     gone = removed_lines(docs.select("doc_id", "text"), threshold).groupBy("doc_id", "t").agg(F.sort_array(F.collect_list("line")).alias("gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["t"]), "left"), gone
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["t"]), "left"), gone
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

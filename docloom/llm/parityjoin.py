@@ -331,7 +331,7 @@ def near_duplicate_stage(docs: DataFrame, threshold: Fraction | str = "0.8", k:
     text = F.xxhash64(docs["text"])
     on = lambda found: docs["doc_id"].eqNullSafe(found["_docloom_id"]) & (text == found["_docloom_t"])
     gone, several = key(out), written(key(worded).filter("count > 1"), "repeated")
-    kept = docs.join(gone, on(gone), "left_anti")
+    kept = docs.join(gone.hint("merge"), on(gone), "left_anti")
     if not several.limit(1).count():
         return kept
     one = kept.join(several, on(several)).dropDuplicates(["_docloom_id", "_docloom_t"]).select(*[docs[c] for c in docs.columns])

@@ -32,7 +32,7 @@ def edited(rng, t, n):
 
 def case(seed=1):
     rng = random.Random(seed)
-    items = [(i, sentence(rng, rng.choice([2, 6, 12, 25]))) for i in range(12)] + [(90, "é" * 9 + "abcdefghij"), (91, None), (92, ""), (93, "short")]
+    items = [(i, sentence(rng, rng.choice([2, 3, 6, 12, 25]))) for i in range(12)] + [(90, "é" * 9 + "abcdefghij"), (91, None), (92, ""), (93, "short"), (94, "tenletters"), (None, "twenty-four letters here")]
     docs = []
     for i in range(60):
         body = [sentence(rng, rng.choice([0, 5, 40])) for _ in range(3)]
@@ -41,7 +41,7 @@ def case(seed=1):
             n = rng.choice([0, 0, D.budget(len(it)), D.budget(len(it)) + 1, len(it) // 4])
             body.insert(1, edited(rng, it, n).upper() if i % 3 == 0 else edited(rng, it, n))
         docs.append((i, rng.choice(["\n", " ", ""]).join(body)))
-    docs += [(100, None), (101, ""), (102, items[3][1]), (103, items[3][1]), (103, items[3][1]), (104, "word " * 9000 + items[5][1] + "."), (105, items[4][1][:-1])]
+    docs += [(100, None), (101, ""), (102, items[3][1]), (103, items[3][1]), (103, items[3][1]), (104, "word " * 9000 + items[5][1] + "."), (105, items[4][1][:-1]), (None, "x tenlitters y"), (None, "here: twenty four lettrs here")]
     return docs, items
 
 
@@ -67,8 +67,24 @@ def test_against_brute_force(spark):
         for r in got:
             if r.edits == 0:
                 assert fold(texts[r.doc_id])[r.start : r.end] == fold(said[r.item_id])
-    kept = {r.doc_id for r in D.decontamination_stage(*frame).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+    kept = [(r.doc_id, r.text) for r in D.decontamination_stage(*frame).collect()]
+    clean = [(d, t) for d, t in docs if (d, t) not in {(d, texts[d]) for d, _ in want} and d is not None]
+    assert sorted(kept, key=str) == sorted(clean, key=str)
+
+
+def test_short_items_and_ids_of_other_types(spark):
+    rng = random.Random(7)
+    items = [(f"{m}.5", sentence(rng, 12)[:m].replace(" ", "q")) for m in range(8, 44)]
+    docs = [(str(i), word(rng) + " " + edited(rng, x, D.budget(len(x)) + i % 2) + " " + word(rng)) for i, (_, x) in enumerate(items * 3)]
+    frame = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string").selectExpr("cast(item_id as decimal(6,2)) item_id", "text")
+    got = {(r.doc_id, float(r.item_id)): r.edits for r in D.contaminated(*frame).collect()}
+    assert got == {(d, float(i)): e for (d, i), e in brute(docs, items).items()} and len(got) >= 50
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 400_000 + "the quick brown fox jumps over the lazy dog again" + " tail" * 400_000
+    frame = spark.createDataFrame([(1, text), (2, text[:10])], "doc_id long, text string"), spark.createDataFrame([(1, "The quick brown fix jumps over the lazy dog again")], "item_id long, text string")
+    assert [(r.doc_id, r.edits, r.start) for r in D.contaminated(*frame).collect()] == [(1, 1, 2_000_000)]
 
 
 def test_alignment():
