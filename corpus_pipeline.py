@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), reads what the stage before it wrote,
 and works on all of it.  All but the last return the columns of ``documents``;
 the last returns the bins' contents.
+
+Cases: a null or empty text fails the quality rules and goes; a null doc_id is
+an id like others; rows that share a doc_id are judged each by its own text,
+and of rows equal in doc_id and text one stays; very long texts are judged
+whole; extra columns are passed on by all stages but the last, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
