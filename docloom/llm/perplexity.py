@@ -195,7 +195,7 @@ def _distinct(chunks: Iterator[T.Chunk]) -> Iterator[tuple]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, context, symbol, n, owner in _distinct(c for b in batches for c in T.chunks(b.column(0), 1 << 22)):
+    for _, context, symbol, n, owner in _distinct(c for b in batches for c in T.chunks(b.column(0))):
         for i in range(0, len(n), 1 << 16):
             at = slice(i, i + (1 << 16))
             yield record("context:long symbol:int n:long owner:long", context=context[at], symbol=symbol[at], n=n[at], owner=owner[at])
@@ -421,7 +421,7 @@ def _scored(docs: DataFrame, columns: list[str], carried: bool) -> DataFrame:
                 block = b.column(0).to_numpy()
                 edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
                 for i, j in zip(edges, [*edges[1:], len(block)], strict=True):
-                    yield from ((int(block[i]), c) for c in T.chunks(b.column(1).slice(i, j - i), 1 << 22))
+                    yield from ((int(block[i]), c) for c in T.chunks(b.column(1).slice(i, j - i)))
 
         for block, run in groupby(runs(), lambda x: x[0]):
             yield from given(block, (c for _, c in run))

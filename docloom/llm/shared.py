@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Shuffle files go when the query that wrote them ends, not when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch that goes to a Python worker, at most (and one row at least).
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,12 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     until :func:`dropped` or the end of the job's shared folder.
     """
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    path, settings = new_path(spark, name), {CLEANUP: "true", BATCH[0]: BATCH[1]}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
