@@ -145,6 +145,9 @@ def extension(name: str | None) -> str:
 HEADERS = ("from:", "mime-version:", "received:", "content-type:", "subject:", "to:")
 
 
+CONTROL = bytes(b for b in range(32) if not 9 <= b <= 13)
+
+
 def sniff(data: bytes, name: str | None) -> tuple[str, str]:
     """(kind, mime) by content first, by name only if the content says nothing; the first rule that holds wins."""
     if len(data) >= 5 and data.startswith(b"%PDF"):
@@ -166,7 +169,7 @@ def sniff(data: bytes, name: str | None) -> tuple[str, str]:
     ext, head = extension(name), data[:4096]
     wide = len(data) >= 8 and data[1:200:2].count(0) > min(len(data), 200) // 8
     marked = data.startswith((b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff"))
-    control = sum(b < 9 or 13 < b < 32 for b in head)
+    control = len(head) - len(head.translate(None, CONTROL))
     if wide or marked or (data and 0 not in head and control * 20 < len(head)):
         text = decode(data[:8192])
         if re.match(r"<(?:!DOCTYPE html|html|head|body)", text.lstrip("\ufeff \t\r\n"), re.I):

@@ -208,11 +208,10 @@ def sniff_text(t: Column, name: Column) -> Column:
     """(kind, mime) of content that is UTF-8 text, with the name that it has."""
     head, ext = F.substring(t, 1, 8192), extension(name)
     start = F.regexp_replace(head, "^[\\uFEFF \\t\\r\\n]+", "")
-    has = lambda h: F.exists(F.slice(F.split(head, "\n", -1), 1, 40), lambda line: F.lower(line).startswith(h.lower()))
     out = lambda kind, mime: F.struct(F.lit(kind).alias("kind"), F.lit(mime).alias("mime"))
-    score = email_score(head)
-    mail = ((ext == ".eml") & (has("From:") | has("MIME-Version:") | has("Received:") | has("Subject:"))) | ((score >= 2) & (has("From:") | has("MIME-Version:") | has("Received:")))
-    control = F.length(head) - F.length(F.regexp_replace(F.substring(t, 1, 4096), "[\\x01-\\x08\\x0E-\\x1F]", "")) - F.length(head) + F.length(F.substring(t, 1, 4096))
+    # the header names are found once for each text
+    mail = F.transform(F.array(_mail_headers(head)), lambda h: (F.size(h) >= 2) & F.arrays_overlap(h, F.array(*map(F.lit, MAIL_SIGNS))) | (ext == ".eml") & F.arrays_overlap(h, F.array(*map(F.lit, (*MAIL_SIGNS, "subject")))))[0]
+    control = F.length(F.substring(t, 1, 4096)) - F.length(F.regexp_replace(F.substring(t, 1, 4096), "[\\x01-\\x08\\x0E-\\x1F]", ""))
     texty = (F.length(t) > 0) & ~F.contains(F.substring(t, 1, 4096), F.lit("\x00")) & (control * 20 < F.least(F.length(t), F.lit(4096)))
     by_name = F.when(ext.isin(".txt", ".csv", ".log", ".json", ".xml", ".md"), out("text", "text/plain")).when(ext.isin(".htm", ".html"), out("text", "text/html")).when(ext == ".eml", out("eml", "message/rfc822"))
     found = (
@@ -227,9 +226,16 @@ def sniff_text(t: Column, name: Column) -> Column:
     return F.coalesce(found, by_name, out("unsupported", "application/octet-stream"))
 
 
+#: Headers of which one tells a mail from other texts.
+MAIL_SIGNS = ("from", "mime-version", "received")
+
+
+def _mail_headers(head: Column) -> Column:
+    """The distinct mail headers, of six, that begin one of the first 40 lines."""
+    names = F.regexp_extract_all(F.substring_index(head, "\n", 40), F.lit("(?imd)^(from|mime-version|received|content-type|subject|to):"), 1)
+    return F.array_distinct(F.transform(names, F.lower))
+
+
 def email_score(head: Column) -> Column:
     """How many of the six mail headers begin one of the first 40 lines."""
-    lines = F.slice(F.split(head, "\n", -1), 1, 40)
-    names = ("from:", "mime-version:", "received:", "content-type:", "subject:", "to:")
-    begins = lambda name: F.exists(lines, lambda line: F.lower(line).startswith(name)).cast("int")
-    return sum(map(begins, names), F.lit(0))
+    return F.size(_mail_headers(head))

@@ -10,6 +10,7 @@ import zipfile
 import zlib
 from datetime import UTC
 from email.utils import parsedate_to_datetime
+from functools import lru_cache
 from xml.etree import ElementTree
 
 from docloom.contract import DocumentError, error_for
@@ -120,8 +121,12 @@ def read_zip(tree: Tree, src: Source, part: Part) -> None:
 # --- mail ---------------------------------------------------------------------------------------------------------
 
 
+#: The usual policy, but a header that many mails share is parsed once.
+MAIL = email.policy.default.clone(header_factory=lru_cache(4096)(email.policy.default.header_factory))
+
+
 def read_eml(tree: Tree, src: Source, part: Part) -> None:
-    message = email.message_from_bytes(src.data, policy=email.policy.default)
+    message = email.message_from_bytes(src.data, policy=MAIL)
     out, files = [raw.heading(src.path)], []
     for name in ("From", "To", "Cc", "Subject"):
         if name != "Cc" or message[name]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom.contract import CorruptFile, Limits, error_for
 from docloom.functions import raw
 from docloom.functions.text import logical_name, unsafe_path
+from docloom.operators.extract import result_columns
 
 
 def read_files(spark: SparkSession, path: str, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
@@ -31,16 +33,16 @@ def camel(name: str) -> str:
     return first + "".join(x.capitalize() for x in rest)
 
 
-def manifest(results: DataFrame) -> DataFrame:
-    """doc_id and its manifest as JSON: camel-case names, nulls written."""
+def manifest(results: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``carried`` columns and the document's manifest as JSON: camel-case names, nulls written."""
 
     def renamed(kind, c: Column) -> Column:  # noqa: ANN001
         if kind.typeName() == "struct":
             return F.struct(*[renamed(f.dataType, c[f.name]).alias(camel(f.name)) for f in kind.fields if f.name != "parent_index"])
         return F.transform(c, lambda x: renamed(kind.elementType, x)) if kind.typeName() == "array" else c
 
-    body = F.struct(*[renamed(f.dataType, F.col(f.name)).alias(camel(f.name)) for f in results.schema if f.name != "doc_id"])
-    return results.select("doc_id", F.to_json(body, {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
+    body = F.struct(*[renamed(f.dataType, F.col(f.name)).alias(camel(f.name)) for f in results.schema if f.name not in ("doc_id", *carried)])
+    return results.select("doc_id", *carried, F.to_json(body, {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
 
 
 MANIFEST = (
@@ -60,16 +62,25 @@ def parse_manifest(rows: DataFrame, column: str = "json") -> DataFrame:
     return out.select("doc_id", *[F.coalesce(f"m.{k}", F.lit(v)).alias(k) for k, v in fields.items()], F.coalesce("m.parts", F.from_json(F.lit("[]"), MANIFEST.split("parts ")[1].split(", images")[0])).alias("parts"), "m.images", error.alias("error"))
 
 
+def document_folder(folder: str, doc_id: str) -> str:
+    """A document's folder: its name, and a hash of the whole doc_id, as files of one name lie in many places."""
+    return os.path.join(folder, f"{raw.safe_name(doc_id, 'document')}-{hashlib.sha256(doc_id.encode()).hexdigest()[:32]}")
+
+
 def write_documents(extraction, folder: str) -> None:  # noqa: ANN001
-    """A folder for each document: parts/<n>.md, images/<id>, and result.json last.
+    """A folder for each document (:func:`document_folder`): parts/<n>.md, images/<id>, and result.json last.
 
-    ``folder`` must be a file system that all executors share.
+    ``folder`` must be a mounted file system that all executors share.  Every
+    file is read once: the manifest is an expression over the document's row.
     """
-    whole = extraction.documents.filter("exit_code = 0").join(manifest(extraction.results), "doc_id").select("doc_id", "parts", "images", "json")
+    if "://" in folder:
+        raise ValueError("write_documents takes a mounted path; write parts and manifest(results) with Spark's writers elsewhere")
+    rows = extraction.documents.filter("exit_code = 0").select("doc_id", F.col("parts").alias("_parts"), F.col("images").alias("_images"), *result_columns())
+    whole = manifest(rows, ("_parts", "_images")).select("doc_id", F.col("_parts").alias("parts"), F.col("_images").alias("images"), "json")
 
     def write(rows: Iterator[Row]) -> None:
         for r in rows:
-            top = os.path.join(folder, raw.safe_name(r.doc_id, "document"))
+            top = document_folder(folder, r.doc_id)
             files = [(p.markdown_file, p.markdown.encode()) for p in r.parts] + [(i.file, bytes(i.bytes)) for i in r.images] + [("result.json", r.json.encode())]
             for name, data in files:
                 if raw.unsafe(name):
