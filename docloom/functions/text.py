@@ -206,21 +206,21 @@ def _shape(rows: Column, n: int) -> Column:
 
 def sniff_text(t: Column, name: Column) -> Column:
     """(kind, mime) of content that is UTF-8 text, with the name that it has."""
-    head, ext = F.substring(t, 1, 8192), extension(name)
-    start = F.regexp_replace(head, "^[\\uFEFF \\t\\r\\n]+", "")
+    head, first, ext = F.substring(t, 1, 8192), F.substring(t, 1, 4096), extension(name)
     out = lambda kind, mime: F.struct(F.lit(kind).alias("kind"), F.lit(mime).alias("mime"))
     # the header names are found once for each text
     mail = F.transform(F.array(_mail_headers(head)), lambda h: (F.size(h) >= 2) & F.arrays_overlap(h, F.array(*map(F.lit, MAIL_SIGNS))) | (ext == ".eml") & F.arrays_overlap(h, F.array(*map(F.lit, (*MAIL_SIGNS, "subject")))))[0]
-    control = F.length(F.substring(t, 1, 4096)) - F.length(F.regexp_replace(F.substring(t, 1, 4096), "[\\x01-\\x08\\x0E-\\x1F]", ""))
-    texty = (F.length(t) > 0) & ~F.contains(F.substring(t, 1, 4096), F.lit("\x00")) & (control * 20 < F.least(F.length(t), F.lit(4096)))
+    codes = "[\\x01-\\x08\\x0E-\\x1F]"
+    few = ~first.rlike(codes) | (F.regexp_count(first, F.lit(codes)) * 20 < F.length(first))
+    texty = (t != "") & ~F.contains(first, F.lit("\x00")) & few
     by_name = F.when(ext.isin(".txt", ".csv", ".log", ".json", ".xml", ".md"), out("text", "text/plain")).when(ext.isin(".htm", ".html"), out("text", "text/html")).when(ext == ".eml", out("eml", "message/rfc822"))
     found = (
         F.when(t.startswith("%PDF") & (F.length(t) >= 5), out("pdf", "application/pdf"))
         .when(t.startswith("GIF") & (F.length(t) >= 6), out("image", "image/gif"))
         .when(t.startswith("BM"), out("image", "image/bmp"))
-        .when(texty & start.rlike("(?i)^<(!DOCTYPE html|html|head|body)"), out("text", "text/html"))
+        .when(texty & head.rlike(r"(?i)^[\uFEFF \t\r\n]*<(!DOCTYPE html|html|head|body)"), out("text", "text/html"))
         .when(texty & mail, out("eml", "message/rfc822"))
-        .when(texty & trim(head).startswith("{\\rtf"), out("text", "application/rtf"))
+        .when(texty & head.rlike(r"(?U)^\s*\{\\rtf"), out("text", "application/rtf"))
         .when(texty, out("text", "text/plain"))
     )
     return F.coalesce(found, by_name, out("unsupported", "application/octet-stream"))

@@ -73,6 +73,7 @@ def packed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * len(files)), pa.array(files, pa.binary())], ["doc_id", "file_name", "content"])
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string"), "text")
+    docs = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")  # as files would be: a table may be one row group
     return docs.mapInArrow(build, "doc_id string, file_name string, content binary")
 
 
