@@ -1,6 +1,6 @@
 """Tool-call linking for chat data, with built-in expressions only.
 
-* Calls and results are joined by (conv_id, call_id); of several results the
+* Calls and results are hash-joined by (conv_id, call_id); of several results the
   earliest is taken and all are counted; results without a call are rows too.
 * Calls are ordered topologically by the calls they depend on: ``level`` is the
   longest chain of dependencies below a call, ``ord`` the place in the
@@ -24,7 +24,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import written
+from docloom.llm.shared import dropped, written
 
 #: Positions that one task ranks together.
 BUCKET = 1024
@@ -33,8 +33,12 @@ BUCKET = 1024
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv, id, level) of every node; edges (conv, id, dep) between them; level is null in and behind cycles."""
     edges = written(edges.distinct(), "dependencies")
-    several = edges.groupBy("conv", "id").count().filter("count > 1").limit(1).count()
-    return _peeled(nodes, edges) if several else _jumped(nodes, edges)
+    several = written(edges.groupBy("conv", "id").count().filter("count > 1").select("conv").distinct(), "several")
+    if not several.limit(1).count():
+        return _jumped(nodes, edges)
+    # only conversations with a call that has several dependencies go level by level
+    few = _jumped(nodes.join(several, "conv", "left_anti"), edges.join(several, "conv", "left_anti"))
+    return few.unionByName(_peeled(nodes.join(several, "conv", "left_semi"), edges.join(several, "conv", "left_semi")))
 
 
 def _jumped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -45,13 +49,14 @@ def _jumped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         up = now.select("conv", F.col("id").alias("dep"), F.col("dep").alias("next"), F.col("far").alias("more"))
         far = F.col("far") + F.coalesce("more", F.lit(0))
-        now = written(now.join(up, ["conv", "dep"], "left").select("conv", "id", F.col("next").alias("dep"), far.alias("far")), "levels")
+        before, now = now, written(now.join(up, ["conv", "dep"], "left").select("conv", "id", F.col("next").alias("dep"), far.alias("far")), "levels")
+        dropped(before)
     return now.select("conv", "id", F.when(F.col("dep").isNull(), F.col("far")).alias("level"))
 
 
 def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Any number of dependencies: the nodes whose dependencies all have a level get the next one, round by round."""
-    left, rest, out, level = written(nodes, "nodes"), edges, None, 0
+    left, rest, out, level = written(nodes, "nodes"), written(edges, "dependencies"), None, 0
     while True:
         ready = written(left.join(rest.select("conv", "id").distinct(), ["conv", "id"], "left_anti"), "ready")
         if not ready.limit(1).count():
@@ -59,8 +64,10 @@ def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return missing if out is None else out.union(missing)
         done = ready.withColumn("level", F.lit(level).cast("long"))
         out = done if out is None else out.union(done)
+        before = left, rest
         left = written(left.join(ready, ["conv", "id"], "left_anti"), "nodes")
         rest = written(rest.join(ready.withColumnRenamed("id", "dep"), ["conv", "dep"], "left_anti"), "dependencies")
+        dropped(*before)
         level += 1
 
 
@@ -112,7 +119,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
 
     answer = results.select(conv, "conv_id", "call_id", "position", "content").groupBy("conv", "conv_id", "call_id").agg(F.count(F.lit(1)).alias("n_results"), F.min_by(F.struct("content"), F.struct("position", "content")).alias("result"))
     tools = schemas.filter("name is not null").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("param", "type", "required", F.col("minimum").cast("double").alias("minimum")))).alias("params"))
-    out = calls.drop("after").join(answer.drop("conv_id"), ["conv", "call_id"], "left").join(graph, ["conv", "call_id"], "left").join(tools, "name", "left")
+    out = calls.drop("after").join(answer.drop("conv_id").hint("shuffle_hash"), ["conv", "call_id"], "left").join(graph, ["conv", "call_id"], "left").join(tools, "name", "left")
 
     none = F.array().cast("array<string>")
     own = F.when(F.col("call_id").isNull(), F.array(F.lit("no_id"))).when(F.col("calls") > 1, F.array(F.lit("duplicate_id"))).otherwise(none)
@@ -132,13 +139,23 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """``ord`` from 0 in each conversation by (level, position, call_id), ranked in buckets of positions so that no task ranks a whole long conversation."""
-    keyed = rows.withColumn("_late", F.coalesce("level", F.lit(2**62))).withColumn("_part", F.floor(F.coalesce("position", F.lit(-1)) / BUCKET))
-    bucket = ["conv", "_late", "_part"]
+    """``ord`` from 0 in each conversation by (level, position, call_id).
+
+    Calls are ranked within buckets of a level and BUCKET positions, buckets
+    within bands of BUCKET levels, and bands within the conversation, so that no
+    task ranks a whole long conversation, be it wide or deep.
+    """
+    late, part = F.coalesce("level", F.lit(2**62)), F.floor(F.coalesce("position", F.lit(-1)) / BUCKET)
+    keyed = rows.withColumn("_late", late).withColumn("_band", F.floor(late / BUCKET)).withColumn("_part", part)
+    bucket = ["conv", "_band", "_late", "_part"]
     counts = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("conv").orderBy("_late", "_part")) - F.col("_n")).drop("_n")
+    bands = counts.groupBy("conv", "_band").agg(F.sum("_n").alias("_all"))
+    bands = bands.withColumn("_first", F.sum("_all").over(Window.partitionBy("conv").orderBy("_band")) - F.col("_all")).drop("_all")
+    within = F.sum("_n").over(Window.partitionBy("conv", "_band").orderBy("_late", "_part")) - F.col("_n")
+    before = counts.withColumn("_before", within).drop("_n").join(bands, ["conv", "_band"])
     inside = F.row_number().over(Window.partitionBy(*bucket).orderBy("position", "call_id", "json"))
-    return keyed.withColumn("_row", inside).join(before, bucket).withColumn("ord", F.col("_before") + F.col("_row") - 1).drop("_late", "_part", "_row", "_before")
+    out = keyed.withColumn("_row", inside).join(before, bucket).withColumn("ord", F.col("_first") + F.col("_before") + F.col("_row") - 1)
+    return out.drop("_late", "_band", "_part", "_row", "_before", "_first")
 
 
 #: Tools of the query: conversations have no tool calls, so their turns stand for them.
