@@ -38,8 +38,8 @@ from docloom.llm import textops as T
 from docloom.llm.shared import new_path, record, written
 
 LIMIT, STEP, BLOCK_IDS = 18, 128, 1 << 17
-#: Pieces that a Python worker remembers at most; it forgets them all and starts anew beyond that.
-REMEMBERED = 1 << 20
+#: Pieces that a Python worker remembers at most (about 30 bytes each); it forgets them all and starts anew beyond that.
+REMEMBERED = 1 << 21
 
 
 _BLANK, _BREAK, _WIDE, _OTHER, _LETTER, _MARK = 1, 2, 3, 4, 5, 6
@@ -66,7 +66,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hash, self.first, self.size = np.zeros(0, T.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hash, self.first, self.size = np.zeros(0, T.U64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.dtype)
 
     def pieces(self, c: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ class Encoder:
                 known[:] = False
             self._learn(c, unique[~known], start[first[~known]], end[first[~known]])
             at = np.searchsorted(self.hash, unique)
-        lo, size = self.first[at][place], self.size[at][place]
+        lo, size = self.first[at][place].astype(np.int64), self.size[at][place]
         ends = np.append(0, np.cumsum(size))
         ids = self.ids[np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])]
         bounds = ends[np.searchsorted(start, c.offs)]
@@ -148,10 +148,10 @@ class Encoder:
             texts = [raw[a:b].decode() for a, b in zip(start[i : i + (1 << 14)].tolist(), end[i : i + (1 << 14)].tolist(), strict=True)]
             new += [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.array([len(x) for x in new])
-        first = len(self.ids) + np.cumsum(size) - size
+        first = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
         self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(new), self.dtype, int(size.sum())))
         at = np.searchsorted(self.hash, h)  # h is sorted
-        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, size)
+        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, size.astype(np.int32))
         self.hash = np.insert(self.hash, at, h)
 
 

@@ -261,10 +261,9 @@ def _may_match(n: str | F.Column, m: str | F.Column, b: str, c: str, threshold:
     return (F.bit_count(F.col(b).bitwiseXOR(F.col(c))) <= most) & (n >= F.lit(threshold) * m - 1e-9) & (m >= F.lit(threshold) * n - 1e-9)
 
 
-def _gone(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``docs`` joined with a table whose ``gone`` has the sorted numbers of the matched lines (null: none), and that table."""
-    gone = removed_lines(docs.select("doc_id", "text"), threshold).groupBy("doc_id", "t").agg(F.sort_array(F.collect_list("line")).alias("gone"))
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["t"]), "left"), gone
+def _gone(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, hash t of the text, and ``gone``, the sorted numbers of the matched lines, of every text that has some."""
+    return removed_lines(docs.select("doc_id", "text"), threshold).groupBy("doc_id", "t").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -272,8 +271,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     A text that loses all its lines becomes empty; a null text stays null.
     """
-    out, table = _gone(docs, threshold)
+    table = _gone(docs, threshold)
     gone = table["gone"]
+    out = docs.join(table.hint("merge"), docs["doc_id"].eqNullSafe(table["doc_id"]) & (F.xxhash64(docs["text"]) == table["t"]), "left")
     # the lines are bound once for each text, and the numbers that stay are a difference of sets: linear time at any number of lines
     stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     cut = F.transform(F.array(F.split(docs["text"], "\n", -1)), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))[0]
@@ -283,8 +283,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def op9_line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per document: its number of lines (0 for null), of lines removed, and their numbers in order."""
-    slim = docs.select("doc_id", "text")
-    out, table = _gone(slim, threshold)
-    removed = F.coalesce(table["gone"], F.array().cast("array<int>"))
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
-    return out.select(slim["doc_id"], n_lines.alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    counted, table = docs.select("doc_id", F.xxhash64("text").alias("t"), n_lines.alias("n_lines")), _gone(docs, threshold)
+    out = counted.join(table, counted["doc_id"].eqNullSafe(table["doc_id"]) & (counted["t"] == table["t"]), "left")
+    removed = F.coalesce(table["gone"], F.array().cast("array<int>"))
+    return out.select(counted["doc_id"], "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

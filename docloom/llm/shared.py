@@ -38,7 +38,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        # hashes and ids hardly repeat: dictionaries would be built in vain
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
