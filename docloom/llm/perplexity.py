@@ -450,8 +450,11 @@ def _arrays(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def bands(found: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
     """``band_lang``, and for log_ppl and log_held ``middle``, ``lower`` and ``upper``, from the quartiles of each language's documents."""
-    q = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{c}") for c in ("log_ppl", "log_held")]
-    found = found.filter(F.col("log_ppl").isNotNull()).groupBy("lang").agg(*q)
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.round(c, 3).alias("v")) for c in ("log_ppl", "log_held")])).alias("x")
+    # exact quartiles of values in thousandths, whatever the order in which tasks end
+    counted = found.filter(F.col("log_ppl").isNotNull()).select("lang", values).groupBy("lang", "x.c", "x.v").count()
+    found = counted.groupBy("lang", "c").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("count")).alias("q"))
+    found = found.groupBy("lang").agg(*[F.any_value(F.when(F.col("c") == c, F.col("q")), True).alias(f"q_{c}") for c in ("log_ppl", "log_held")])
     out = [F.col("lang").alias("band_lang")]
     for c in ("log_ppl", "log_held"):
         low, middle, high = (F.col(f"q_{c}")[k] for k in range(3))
