@@ -162,9 +162,9 @@ def declared_ratio_exceeded(size: Column, packed: Column, most: float = 100.0, f
 
 
 def safe_dpi(width: Column, height: Column, pixels: int = 40_000_000) -> Column:
-    """Dots per inch at which a page of so many points stays under the pixel cap: 300 at most, 0 (refused) under 36."""
-    area = (width / 72.0) * (height / 72.0)
-    dpi = F.when(area > 0, F.floor(F.least(F.lit(300.0), F.sqrt(F.lit(float(pixels)) / area)))).otherwise(F.lit(0))
+    """Dots per inch at which a page of so many points (1 at least) stays under the pixel cap: 300 at most, 0 (refused) under 36."""
+    area = (F.greatest(width, F.lit(1.0)) / 72.0) * (F.greatest(height, F.lit(1.0)) / 72.0)
+    dpi = F.floor(F.least(F.lit(300.0), F.sqrt(F.lit(float(pixels)) / area)))
     return F.when(dpi < 36, F.lit(0)).otherwise(dpi).cast("int")
 
 

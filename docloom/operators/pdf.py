@@ -315,8 +315,8 @@ def stream_tables(found: list[tuple[float, float, float, str]]) -> list[list[lis
 
 
 def safe_dpi(w: float, h: float, pixels: int) -> int:
-    area = (w / 72) * (h / 72)
-    dpi = int(min(300.0, (pixels / area) ** 0.5)) if area > 0 else 0
+    area = (max(w, 1) / 72) * (max(h, 1) / 72)
+    dpi = int(min(300.0, (pixels / area) ** 0.5))
     return dpi if dpi >= 36 else 0
 
 
@@ -347,17 +347,20 @@ def read_pdf(tree: Tree, src: Source, part: Part) -> None:
                 elif not tree.ocr_page():  # the page's own slot; its image takes another
                     part.warn("W_TRUNCATED", "ocr page cap")
                 elif not safe_dpi(*pdf.size(page), tree.limits.pixels):
-                    if src.depth == 0:
-                        raise error_for("E_LIMIT_PIXELS")
-                    part.warn("W_IMAGE_SKIPPED", "pixel cap")
+                    raise error_for("E_LIMIT_PIXELS")
                 else:
                     part.warn("W_IMAGE_SKIPPED", "no page renderer")
             continue
         some = True
         if tree.options.tables == "auto":
-            for rows in stream_tables(found):
+            try:
+                tables = stream_tables(found)
+            except (ValueError, IndexError):
+                tables = []
+                part.warn("W_TABLE_LOW_CONFIDENCE", f"page {number} extraction failed")
+            if tables:
                 part.warn("W_TABLE_LOW_CONFIDENCE", f"page {number}")
-                out.append(raw.md_table(rows) + "\n")
+                out.append(f"### Tables (page {number})\n\n" + "".join(raw.md_table(rows) + "\n" for rows in tables))
                 part.engine = "pdf+tables"
     if pdf.encrypted and not some:
         part.warn("W_ENCRYPTED", "no text")

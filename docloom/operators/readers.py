@@ -293,7 +293,7 @@ def read_docx(tree: Tree, src: Source, part: Part) -> None:
     out = [raw.heading(src.path)]
     root = package.xml(main)
     _blocks(_kid(root, "body"), out)
-    links = sorted(package.links(main).values())
+    links = list(package.links(main).values())  # in the order of the relationships
     for kind in ("header", "footer"):
         for what, target in links:
             if what == kind and (extra := package.xml(target)) is not None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.contract import ERRORS, PARTIAL, WARNINGS
+from docloom.contract import ENGINES, ERRORS, PARTIAL, WARNINGS
 from docloom.functions import text as X
 from docloom.operators import ordered
 from docloom.plans import containers
@@ -386,6 +386,12 @@ def version(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(SCHEMA_VERSION).alias("schema_version"))
 
 
+@query("engines", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in ENGINES.items()) + ") t(content, engine)")
+def engines(spark: SparkSession, sf: str) -> DataFrame:
+    """What reads each kind of content."""
+    return spark.createDataFrame(list(ENGINES.items()), "content string, engine string")
+
+
 @query("flag_rules", "SELECT 'partial' AS severity, 11::BIGINT AS n UNION ALL SELECT 'info', 6 UNION ALL SELECT 'exit 2', 1 UNION ALL SELECT 'exit 3', 6 UNION ALL SELECT 'exit 4', 2 UNION ALL SELECT 'exit 5', 1")
 def flag_rules(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.rule_table(spark).groupBy("severity").agg(F.count("code").alias("n"))

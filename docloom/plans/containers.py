@@ -163,11 +163,31 @@ def extract_status(spark: SparkSession, sf: str) -> DataFrame:
     return extract(packed(spark, sf, "zip"), {"max_output_chars": 500}).results.select("doc_id", "status", "total_chars", "truncated")
 
 
+TOKEN = "SELF-TEST-TOKEN"
+#: Name, file name, content and the kind of the part that must hold the token; without a kind the file must be refused.
+FIXTURES: list[tuple[str, str, Callable[[], bytes], str | None]] = [
+    *((k, name, lambda make=make: make(TOKEN), {"zip": "text", "eml": "text"}.get(k, k)) for k, (name, make) in MAKERS.items()),
+    ("html", "d.html", lambda: f"<html><body><p>{TOKEN}</p></body></html>".encode(), "text"),
+    ("rtf", "d.rtf", lambda: f"{{\\rtf1 {TOKEN}}}".encode(), "text"),
+    ("unsupported", "d.bin", lambda: bytes(range(256)), None),
+]
+
+
+def self_test(spark: SparkSession, sf: str = "") -> DataFrame:
+    """A row for each fixture: whether it is read as it should be, and the error code of one that is refused."""
+    made = spark.createDataFrame([(name, file, bytearray(make())) for name, file, make, _ in FIXTURES], "doc_id string, file_name string, content binary")
+    kinds = spark.createDataFrame([(name, kind) for name, _, _, kind in FIXTURES], "doc_id string, expected string")
+    found = extract(made).documents
+    held = F.exists("parts", lambda p: (p["kind"] == F.col("expected")) & F.contains(p["markdown"], F.lit(TOKEN)))
+    passed = F.when(F.col("expected").isNull(), F.col("exit_code") != 0).otherwise(held)
+    return found.join(kinds, "doc_id").select(F.col("doc_id").alias("name"), passed.alias("passed"), "error_code")
+
+
 LISTING = "length('## d.zip' || 'Entries:' || '- `inner.txt` (' || octet_length(encode(text)) || ' bytes)' || '- `deep/x.md` (1 bytes)') + 7"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_extract": _extracted("text", 0), "zip_tree": _extracted("zip", 1), "eml_tree": _extracted("eml", 1),
     "docx_extract": _extracted("docx", 0), "xlsx_extract": _extracted("xlsx", 0), "pptx_extract": _extracted("pptx", 0), "manifest_json": extract_manifest, "extract_status": extract_status,
-    "parse_manifest": read_manifest, "decode_bytes": decode_bytes, "image_header": image_header,
+    "parse_manifest": read_manifest, "decode_bytes": decode_bytes, "image_header": image_header, "self_test": self_test,
 }
 TOTAL = f"(({LISTING}) + length('## d.zip/inner.txt') + 2 + length({TRIMMED}) + 1 + length('## d.zip/deep/x.md') + 2 + 2)"
 SQL: dict[str, str] = {
@@ -175,6 +195,7 @@ SQL: dict[str, str] = {
     "docx_extract": _office("d.docx", "docx", PARAGRAPHS), "xlsx_extract": _office("d.xlsx", "xlsx", SHEET), "pptx_extract": _office("d.pptx", "pptx", f"'### Slide 1' || chr(10) || chr(10) || {PARAGRAPHS}"),
     "parse_manifest": f"""WITH t AS (SELECT doc_id, text, ({MAIL})::INT AS s, (({MAIL}) + length('## d.eml/note.txt') + 3 + length({TRIMMED}))::INT AS e FROM documents)
 SELECT doc_id::VARCHAR AS doc_id, 1::INT AS "schemaVersion", '1.0.0' AS "extractorVersion", 'ok' AS status, e AS "totalChars", false AS truncated, 2::INT AS n_parts, 'd.eml/note.txt' AS path, 'text' AS kind, 1::INT AS depth, octet_length(encode(text))::BIGINT AS "sizeBytes", s AS "charStart", e AS "charEnd", 'parts/1.md' AS "markdownFile", NULL::VARCHAR AS error FROM t""",
+    "self_test": "SELECT * FROM (VALUES " + ", ".join(f"('{name}', true, {'NULL' if kind else chr(39) + 'E_UNSUPPORTED' + chr(39)})" for name, _, _, kind in FIXTURES) + ") t(name, passed, error_code)",
     "decode_bytes": "SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'ét €' ELSE coalesce(text, '') END AS text FROM documents",
     "image_header": "SELECT p_partkey::BIGINT AS p_partkey, 'image' AS kind, ['image/png', 'image/gif', 'image/bmp', 'image/jpeg'][(p_partkey % 4 + 1)::INT] AS mime, (p_partkey % 60000 + 1)::INT AS width, p_size::INT AS height FROM part",
     "extract_status": f"SELECT doc_id::VARCHAR AS doc_id, CASE WHEN {TOTAL} > 500 THEN 'partial' ELSE 'ok' END AS status, least(500, {TOTAL})::INT AS total_chars, {TOTAL} > 500 AS truncated FROM documents",
