@@ -41,6 +41,8 @@ LIMIT, STEP, BLOCK_IDS = 18, 128, 1 << 17
 #: Pieces that a Python worker remembers at most (about 30 bytes each); it forgets them all and starts anew beyond that.
 REMEMBERED = 1 << 21
 
+#: Words that are encoded as one text, and texts at a time.
+JOINED, TEXTS = 256, 64
 
 _BLANK, _BREAK, _WIDE, _OTHER, _LETTER, _MARK = 1, 2, 3, 4, 5, 6
 #: Kind of each byte: 0 control, then blank, line break, part of a wider character, and visible ASCII: digits and apostrophe, letters, punctuation.
@@ -142,16 +144,40 @@ class Encoder:
         return np.unique(np.array(found, np.int64))
 
     def _learn(self, c: T.Chunk, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        raw = c.buf.tobytes()
-        new = []
-        for i in range(0, len(h), 1 << 14):
-            texts = [raw[a:b].decode() for a, b in zip(start[i : i + (1 << 14)].tolist(), end[i : i + (1 << 14)].tolist(), strict=True)]
-            new += [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in new])
-        first = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
-        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(new), self.dtype, int(size.sum())))
-        at = np.searchsorted(self.hash, h)  # h is sorted
-        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, size.astype(np.int32))
+        """Remember the ids of pieces with the sorted hashes ``h``.
+
+        Pieces of a blank and ASCII letters are encoded many in a row, as the
+        pre-tokenizer cuts between them; the tokenizer says which word an id is of.
+        """
+        raw, letters = c.buf.tobytes(), np.append(0, np.cumsum(_KIND[c.buf] == _LETTER))
+        plain = (c.buf[start] == 32) & (end - start > 1) & (letters[end] - letters[start] == end - start - 1)
+        spans = lambda at: zip(start[at].tolist(), end[at].tolist(), strict=True)
+        size, order, ids = np.zeros(len(h), np.int64), [], [self.ids]
+        word = np.flatnonzero(plain)
+        for i in range(0, len(word), JOINED * TEXTS):
+            rows = [word[j : j + JOINED] for j in range(i, min(i + JOINED * TEXTS, len(word)), JOINED)]
+            texts = [b"".join(raw[a:b] for a, b in spans(at)).decode() for at in rows]
+            for at, x in zip(rows, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+                of = x.word_ids
+                if not of or of[-1] != len(at) - 1:  # this tokenizer cuts elsewhere
+                    plain[at] = False
+                    continue
+                size[at] = np.diff(np.searchsorted(np.array(of), np.arange(len(at) + 1)))
+                order.append(at)
+                ids.append(np.array(x.ids, self.dtype))
+        other = np.flatnonzero(~plain)
+        for i in range(0, len(other), 1 << 14):
+            at = other[i : i + (1 << 14)]
+            new = [x.ids for x in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans(at)], add_special_tokens=False)]
+            size[at] = [len(x) for x in new]
+            order.append(at)
+            ids.append(np.fromiter(chain.from_iterable(new), self.dtype, int(size[at].sum())))
+        by = np.concatenate([*order, np.zeros(0, np.int64)])
+        first = np.zeros(len(h), np.int64)
+        first[by] = len(self.ids) + np.cumsum(size[by]) - size[by]
+        self.ids = np.concatenate(ids)
+        at = np.searchsorted(self.hash, h)
+        self.first, self.size = np.insert(self.first, at, first.astype(np.int32)), np.insert(self.size, at, size.astype(np.int32))
         self.hash = np.insert(self.hash, at, h)
 
 

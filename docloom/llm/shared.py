@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(k, v)
     try:
         # hashes and ids hardly repeat: dictionaries would be built in vain
-        df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.compression.codec.zstd.level", "1").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
