@@ -224,7 +224,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     dropped(words, pairs)
 
     # size, place in the prefix and whether the line is settled go in one number
-    open_ = sets.select("id", "n", "bitmap", "prefix").join(settled.withColumn("gone", F.lit(1)), "id", "left")
+    open_ = sets.select("id", "n", "bitmap", "prefix").join(settled.withColumn("gone", F.lit(1)).hint("merge"), "id", "left")
     meta = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + F.coalesce("gone", F.lit(0))
     post = open_.select("id", "n", "bitmap", "gone", F.posexplode("prefix").alias("pos", "key")).select("key", "id", meta.alias("meta"), "bitmap").filter("key <> 0")
     post = post.filter(" and ".join(f"{c} is not null" for c in post.columns))  # what the join would ask of one side only
@@ -247,7 +247,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     dropped(words, best, pairs)
 
     gone = settled.union(likely).union(more).withColumn("gone", F.lit(True))
-    heads = sets.select("id", "h1", "h2", place.alias("first")).join(gone, "id", "left").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    heads = sets.select("id", "h1", "h2", place.alias("first")).join(gone.hint("merge"), "id", "left").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = mapped.join(heads, ["h1", "h2"]).filter(F.col("gone") | (place > F.col("first")))
     out = written(out.select("doc_id", "t", "line").distinct(), "removed")
     dropped(sets, mapped, settled, likely, more)
@@ -285,6 +285,6 @@ def op9_line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per document: its number of lines (0 for null), of lines removed, and their numbers in order."""
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
     counted, table = docs.select("doc_id", F.xxhash64("text").alias("t"), n_lines.alias("n_lines")), _gone(docs, threshold)
-    out = counted.join(table, counted["doc_id"].eqNullSafe(table["doc_id"]) & (counted["t"] == table["t"]), "left")
+    out = counted.join(table.hint("merge"), counted["doc_id"].eqNullSafe(table["doc_id"]) & (counted["t"] == table["t"]), "left")
     removed = F.coalesce(table["gone"], F.array().cast("array<int>"))
     return out.select(counted["doc_id"], "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
