@@ -77,6 +77,8 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
 
 #: Bits of a character's number in a transition's key.
 BITS = 21
+#: Code points, or transitions, that are worked on at a time where the tables are built.
+BLOCK = 1 << 16
 
 
 def _slot(key: np.ndarray, bits: int) -> np.ndarray:
@@ -87,15 +89,17 @@ def transitions(key: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Hash table with linear probing: keys (-1 is free) and values."""
     bits = max(int(2 * len(key)).bit_length(), 1)
     keys, values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
-    at = _slot(key, bits)
-    left = np.arange(len(key))
-    while len(left):
-        free = keys[at[left]] < 0
-        slots, which = np.unique(at[left[free]], return_index=True)
-        put = left[free][which]
-        keys[slots], values[slots] = key[put], to[put]
-        left = left[keys[at[left]] != key[left]]
-        at[left] = (at[left] + 1) & ((1 << bits) - 1)
+    for lo in range(0, len(key), BLOCK):  # the working arrays are those of a block
+        some, goal = key[lo : lo + BLOCK], to[lo : lo + BLOCK]
+        at = _slot(some, bits)
+        left = np.arange(len(some))
+        while len(left):
+            free = keys[at[left]] < 0
+            slots, which = np.unique(at[left[free]], return_index=True)
+            put = left[free][which]
+            keys[slots], values[slots] = some[put], goal[put]
+            left = left[keys[at[left]] != some[left]]
+            at[left] = (at[left] + 1) & ((1 << bits) - 1)
     return keys, values
 
 
@@ -187,10 +191,11 @@ def build(references: dict[str, str]) -> Parser:
     names = sorted(references)
     texts = [references[n] for n in names]
     at = {x: i for i, x in enumerate(sorted(set().union(*texts)), 1)}
-    every = [chr(i) for i in range(0x10FFFF + 1)]
-    folded = [" " if x.isspace() else y if len(y := x.lower()) == 1 else x for x in every]
-    code = np.array([*(at.get(x, 0) for x in folded), 0], np.int32)
-    letter = np.array([x.isalpha() for x in every] + [False])
+    code, letter = np.zeros(0x10FFFF + 2, np.int32), np.zeros(0x10FFFF + 2, bool)
+    for lo in range(0, 0x10FFFF + 1, BLOCK):  # a million characters are never held as strings
+        every = [chr(i) for i in range(lo, lo + BLOCK)]
+        code[lo : lo + BLOCK] = [at.get(" " if x.isspace() else y if len(y := x.lower()) == 1 else x, 0) for x in every]
+        letter[lo : lo + BLOCK] = [x.isalpha() for x in every]
     key, to, roots, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], 0
     first = np.full((len(texts), len(at) + 2), -1, np.int64)
     for i, t in enumerate(texts):
@@ -204,6 +209,7 @@ def build(references: dict[str, str]) -> Parser:
         to.append(goal.astype(np.int32))
         roots.append(total)
         total += len(nxt)
+        del nxt  # before the next language's is built
     keys, values = transitions(np.concatenate(key), np.concatenate(to))
     return Parser(names, code, letter, keys, values, np.array(roots, np.int64), first, np.log2([max(len(t), 2) for t in texts]) if texts else np.zeros(0))
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -115,3 +116,18 @@ def test_whole_sampled_texts_teach_whatever_the_number_of_languages(spark):
     [c] = T.chunks(pa.array([f"end{r[0]}" for r in kept]))
     count, _, _ = p.phrases(c)
     assert all(count[i][p.names.index(r[2])] == 1 for i, r in enumerate(kept))
+
+
+def test_the_parser_is_built_in_little_memory():
+    """The driver builds it: what is held meanwhile is one automaton and a few arrays, not a million strings."""
+    rng = random.Random(7)
+    refs = {x: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzéü ", k=160_000)) for x in ("aa", "bb", "cc", "dd")}
+    tracemalloc.start()
+    try:
+        p = L.build(refs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 200e6
+    assert p.letter[[ord("a"), ord("É"), 0x4E00, 0x20000]].all() and not p.letter[[ord("1"), ord(" "), 0x10FFFF, -1]].any()
+    assert p.code[ord("É")] == p.code[ord("é")] > 0 and p.code[ord("\n")] == p.code[ord(" ")] > 0 == p.code[0x4E00]
