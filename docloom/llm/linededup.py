@@ -8,11 +8,14 @@ of the text, line number), has Jaccard similarity of at least ``threshold`` with
    slot, hash) is the one order of rarity that all lines share.
 2. Equal sets are grouped by a 128-bit hash; only each set's first line goes on,
    and gets a number in that order.
-3. Star step: lines that share one of a few min-hashes with at least
-   STAR_LEAST - 1 others are held against the earliest of them.  What matches is
-   settled, so a large group of near copies costs one comparison each.
+3. Star step: lines that share one of a few pairs of min-hashes are often much
+   alike.  They are held against the earliest of each of a few parts of them, and
+   those that may match and don't against the earliest of more parts.  What matches
+   is settled, so a large group of near copies costs a few comparisons each,
+   whatever line comes first in it.
 4. The rest is the exact join: the prefixes (rarest words) of unsettled lines
-   against those of all lines, under length, positional and bitmap filters.
+   against those of all lines, under length, positional and bitmap filters; the
+   bitmap has 64 bits, and 128 for lines of WIDE words, which would fill 64.
    Both sides are one shuffle of narrow rows.
 5. Candidates are verified on the full word sets; in the join, each line's
    likeliest candidate is tried before all the others.
@@ -39,10 +42,16 @@ from docloom.llm.shared import dropped, record, written
 FREQ_BITS, WANT_BITS = 20, 24
 #: Bits by which words of lines are told apart.
 HASH_BITS = 50
-#: Min-hashes of a line, and lines that share one from which on they are first held against the earliest of them.
-STAR_SEEDS, STAR_LEAST = 2, 4
-#: Odd factors of the min-hashes.
-ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Pairs of min-hashes of a line, and parts of the lines that share one in the first and second round.
+STAR_KEYS, PARTS = 2, (4, 32)
+#: Words of a line from which on its bitmap has a second half.
+WIDE = 96
+#: Slots of word frequencies that are counted in one row.
+FREQ_ROW = 1 << 12
+#: Frequencies are told apart up to here.
+MOST_FREQ = (1 << 20) - 1
+#: Odd factors of the min-hashes, two for each pair.
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def _slot(h: np.ndarray, bits: int) -> np.ndarray:
@@ -57,14 +66,25 @@ def word_frequencies(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for c in T.chunks(b.column(0)):
                 total += np.bincount(_slot(T.words(c, True).hash, FREQ_BITS), minlength=len(total))
-        key = np.flatnonzero(total)
-        for i in range(0, len(key), 1 << 16):
-            yield record("slot:int n:long", slot=key[i : i + (1 << 16)], n=total[key[i : i + (1 << 16)]])
+        yield from rows({i: total[i * FREQ_ROW : (i + 1) * FREQ_ROW] for i in range(len(total) // FREQ_ROW)})
 
-    found = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << FREQ_BITS, np.int64)
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(out, (1 << 20) - 1).astype(np.int32)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(n, np.int32).astype(np.int64)
+        yield from rows(total)
+
+    def rows(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, n in total.items():
+            if n.any():
+                yield record("row:int n:bin", row=[i], n=[np.minimum(n, MOST_FREQ).astype(np.int32).tobytes()])
+
+    found = docs.select("text").mapInArrow(count, "row int, n binary").repartition("row").mapInArrow(add, "row int, n binary").toArrow()
+    out = np.zeros(1 << FREQ_BITS, np.int32)
+    for i, n in zip(found["row"].to_pylist(), found["n"].to_pylist(), strict=True):
+        out[i * FREQ_ROW : (i + 1) * FREQ_ROW] = np.frombuffer(n, np.int32)
+    return out
 
 
 def _by_line(line: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +129,19 @@ def _line_hash(row_hash: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _set_hashes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128-bit hash of each line's set, and its bitmap."""
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 3
+    """128-bit hash of each line's set, and the mixed hashes of its words."""
     mixed = T.mix(h)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), mixed
     h1, h2 = np.add.reduceat(mixed, at), np.bitwise_xor.reduceat(T.mix(mixed + T.U64(T._ODD)), at)
-    return h1.view(np.int64), h2.view(np.int64), np.bitwise_xor.reduceat(T.U64(1) << (mixed >> T.U64(58)), at).view(np.int64)
+    return h1.view(np.int64), h2.view(np.int64), mixed
+
+
+def _bitmaps(mixed: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of each line's words in 64 cells, and in one half of 128 cells, the other half being the difference; 0 for lines of fewer than WIDE words."""
+    cell = T.U64(1) << (mixed >> T.U64(58))
+    half = np.bitwise_xor.reduceat(cell * (mixed >> T.U64(57) & T.U64(1)), at)
+    return np.bitwise_xor.reduceat(cell, at).view(np.int64), np.where(n >= WIDE, half, T.U64(0)).view(np.int64)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -123,7 +150,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
-    """For each line with a word: place (doc_id, t, line) and its hash h, size n, 128-bit hash of the set, bitmap, min-hashes, and prefix in order of rarity.
+    """For each line with a word: place (doc_id, t, line) and its hash h, size n, 128-bit hash of the set, bitmaps, min-hashes, and prefix in order of rarity.
 
     Min-hashes and prefix words have 32 bits: they find candidates, which are
     then verified on the words.  A prefix word that occurs once in all texts is 0.
@@ -138,6 +165,8 @@ def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
                 if not len(doc):
                     continue
                 n, at = np.diff(bounds), bounds[:-1]
+                h1, h2, mixed = _set_hashes(h, at)
+                bitmap, wide = _bitmaps(mixed, at, n)
                 line = np.repeat(np.arange(len(n)), n)
                 rank = freq[(h >> T.U64(HASH_BITS - FREQ_BITS)).astype(np.int64)].astype(T.U64)
                 _, rare = _by_line(line, rank << T.U64(HASH_BITS - FREQ_BITS) | h & T.U64((1 << (HASH_BITS - FREQ_BITS)) - 1))
@@ -146,20 +175,20 @@ def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
                 word = np.maximum(T.mix(rare[take]) >> T.U64(32), 1).astype(np.uint32)
                 prefix = np.where(rare[take] < T.U64(2 << (HASH_BITS - FREQ_BITS)), np.uint32(0), word).view(np.int32)
                 ends = np.append(0, np.cumsum(np.bincount(line[take], minlength=len(n))))
-                lows = [np.minimum.reduceat(h * T.U64(ODD[k]), at) for k in range(STAR_SEEDS)]
-                stars = (T.mix(np.stack(lows, 1) + np.arange(STAR_SEEDS, dtype=T.U64)) >> T.U64(32)).astype(np.uint32).view(np.int32).ravel()
+                lows = [np.minimum.reduceat(mixed * T.U64(x), at) for x in ODD]
+                both = np.stack([T.mix(x) + y for x, y in zip(lows[::2], lows[1::2], strict=True)], 1)
+                stars = (T.mix(both + np.arange(STAR_KEYS, dtype=T.U64)) >> T.U64(32)).astype(np.uint32).view(np.int32).ravel()
                 rows = pa.array(doc + c.lo)
-                h1, h2, bitmap = _set_hashes(h, at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(rows), b.column(2).take(rows), pa.array(_line_hash(b.column(3).to_numpy()[doc + c.lo], number)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)),
-                        pa.array(h1), pa.array(h2), pa.array(bitmap), _list(stars, np.arange(len(n) + 1) * STAR_SEEDS), _list(prefix, ends),
+                        pa.array(h1), pa.array(h2), pa.array(bitmap), pa.array(wide), _list(stars, np.arange(len(n) + 1) * STAR_KEYS), _list(prefix, ends),
                     ],
-                    ["doc_id", "t", "h", "line", "n", "h1", "h2", "bitmap", "stars", "prefix"],
+                    ["doc_id", "t", "h", "line", "n", "h1", "h2", "bitmap", "wide", "stars", "prefix"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _rows(docs).mapInArrow(build, f"doc_id {kind}, t long, h long, line int, n int, h1 long, h2 long, bitmap long, stars array<int>, prefix array<int>")
+    return _rows(docs).mapInArrow(build, f"doc_id {kind}, t long, h long, line int, n int, h1 long, h2 long, bitmap long, wide long, stars array<int>, prefix array<int>")
 
 
 def words_of_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -205,28 +234,45 @@ def _words_for(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return words
 
 
+def _near(lines: DataFrame, group: DataFrame, parts: int, threshold: float) -> DataFrame:
+    """The ``lines`` (key, id, n and bitmaps) that may match an earlier line ``a``, the earliest of one of ``parts`` parts of their key's ``group``."""
+    part = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts)).alias("part")
+    centre = group.groupBy("key", part).agg(F.min(F.struct("id", "n", "bitmap", "wide")).alias("c")).select("key", "c")
+    found = lines.join(centre, "key").filter((F.col("c.id") < F.col("id")) & _may_match(F.col("c.n"), F.col("n"), "c.", "", threshold))
+    return written(found.select("key", "id", "n", "bitmap", "wide", F.col("c.id").alias("a")), "star-pairs")
+
+
+def _settled(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The ids of the lines that match a centre of those that share a pair of min-hashes with them."""
+    pairs = lambda near: near.select("a", F.col("id").alias("b")).distinct()
+    star = sets.select("id", "n", "bitmap", "wide", F.explode("stars").alias("key"))
+    first = _near(star, star, PARTS[0], threshold)
+    words = _words_for(docs, pairs(first), sets)
+    found = written(matched(words, pairs(first), threshold), "settled")
+    # the rest against more of the lines that have been compared, whose words are there
+    group = first.select("key", "id", "n", "bitmap", "wide").distinct()
+    second = _near(group.join(found, "id", "left_anti"), group, PARTS[1], threshold)
+    settled = written(found.union(matched(words, pairs(second), threshold)), "settled")
+    dropped(first, words, second, found)
+    return settled
+
+
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, hash t of the text, and number of every line that an earlier line matches."""
     full = written(line_sets(docs, word_frequencies(docs), threshold), "line-sets")
     place = F.struct("doc_id", "t", "line")
-    first = full.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "t", "line", "h", "n", "bitmap", "stars", "prefix"), place).alias("s"))
+    first = full.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "t", "line", "h", "n", "bitmap", "wide", "stars", "prefix"), place).alias("s"))
     # numbered in order: of two lines the smaller id is the earlier one
     sets = written(first.select("h1", "h2", "s.*").orderBy("doc_id", "t", "line").withColumn("id", F.monotonically_increasing_id()), "first-lines")
     mapped = written(full.select("doc_id", "t", "line", "h1", "h2"), "lines")
     dropped(full)
 
-    star = sets.select("id", "n", "bitmap", F.explode("stars").alias("key"))
-    centre = sets.select(F.struct("id", "n", "bitmap").alias("c"), F.explode("stars").alias("key")).groupBy("key").agg(F.count("c").alias("lines"), F.min("c").alias("c"))
-    near = star.join(centre.filter(F.col("lines") >= STAR_LEAST), "key").filter((F.col("c.id") < F.col("id")) & _may_match("c.n", "n", "c.bitmap", "bitmap", threshold))
-    pairs = written(near.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
-    words = _words_for(docs, pairs, sets)
-    settled = written(matched(words, pairs, threshold), "settled")
-    dropped(words, pairs)
+    settled = _settled(docs, sets, threshold)
 
     # size, place in the prefix and whether the line is settled go in one number
-    open_ = sets.select("id", "n", "bitmap", "prefix").join(settled.withColumn("gone", F.lit(1)).hint("merge"), "id", "left")
+    open_ = sets.select("id", "n", "bitmap", "wide", "prefix").join(settled.withColumn("gone", F.lit(1)).hint("merge"), "id", "left")
     meta = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + F.coalesce("gone", F.lit(0))
-    post = open_.select("id", "n", "bitmap", "gone", F.posexplode("prefix").alias("pos", "key")).select("key", "id", meta.alias("meta"), "bitmap").filter("key <> 0")
+    post = open_.select("id", "n", "bitmap", "wide", "gone", F.posexplode("prefix").alias("pos", "key")).select("key", "id", meta.alias("meta"), "bitmap", "wide").filter("key <> 0")
     post = post.filter(" and ".join(f"{c} is not null" for c in post.columns))  # what the join would ask of one side only
     x, y = post.alias("x"), post.alias("y")
     size = lambda t: F.shiftright(f"{t}.meta", 32)
@@ -234,7 +280,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     common = F.lit(threshold / (1 + threshold)) * (size("x") + size("y")) - 1e-9
     # a settled line is later than none; a condition on both sides, so that they stay the same shuffle
     upto = F.when(F.col("y.meta").bitwiseAND(1) == 0, F.col("y.id")).otherwise(-1)
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < upto) & _may_match(size("x"), size("y"), "x.bitmap", "y.bitmap", threshold)
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < upto) & _may_match(size("x"), size("y"), "x.", "y.", threshold)
     on = on & (after("x") >= common) & (after("y") >= common)
     distance = F.bit_count(F.col("x.bitmap").bitwiseXOR(F.col("y.bitmap")))
     pairs = written(x.join(y, on).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.min(distance).alias("d")), "line-pairs")
@@ -254,11 +300,12 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return out
 
 
-def _may_match(n: str | F.Column, m: str | F.Column, b: str, c: str, threshold: float) -> F.Column:
-    """Length filter, and the bitmaps' Hamming distance against the largest symmetric difference of a match."""
-    n, m = (F.col(v) if isinstance(v, str) else v for v in (n, m))
+def _may_match(n: F.Column, m: F.Column, x: str, y: str, threshold: float) -> F.Column:
+    """Length filter, and the Hamming distance of the bitmaps of ``x`` and ``y`` (prefixes of columns) against the largest symmetric difference of a match."""
     most = F.lit((1 - threshold) / (1 + threshold)) * (n + m) + 1e-9
-    return (F.bit_count(F.col(b).bitwiseXOR(F.col(c))) <= most) & (n >= F.lit(threshold) * m - 1e-9) & (m >= F.lit(threshold) * n - 1e-9)
+    narrow, wide = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("bitmap", "wide"))
+    sizes = (n >= F.lit(threshold) * m - 1e-9) & (m >= F.lit(threshold) * n - 1e-9)
+    return (F.bit_count(narrow) <= most) & sizes & ((n < WIDE) | (m < WIDE) | (F.bit_count(wide) + F.bit_count(narrow.bitwiseXOR(wide)) <= most))
 
 
 def _gone(docs: DataFrame, threshold: float) -> DataFrame:

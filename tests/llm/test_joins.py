@@ -168,3 +168,48 @@ def test_lines_of_one_text_beyond_the_bits_of_a_line_number(spark):
     assert sorted((r.line, r.n) for r in got) == [(0, 2), ((1 << 20) + 1, 2), ((1 << 20) + 2, 2)]
     alike = {r.line: (r.h1, r.h2, r.bitmap, r.stars, r.prefix) for r in got}
     assert alike[0] == alike[(1 << 20) + 2] != alike[(1 << 20) + 1]
+
+
+def test_pairs_of_a_large_group_grow_with_its_lines(spark, monkeypatch):
+    """Lines that are near copies of one text, after lines that share many of its words only: the pairs for the exact join are a few for each line."""
+    from docloom.llm import linededup
+
+    made, write = [], linededup.written
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "line-pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "written", written)
+    base = [f"w{i}" for i in range(90)]
+
+    def rows(n):
+        rng = random.Random(n)
+        half = [" ".join(w if rng.random() < 0.6 else f"h{i}q{j}" for j, w in enumerate(base)) for i in range(n // 10)]
+        near = [" ".join(w if rng.random() < 0.97 else f"n{rng.randrange(40)}" for w in base) for _ in range(n)]
+        return list(enumerate(half + near))
+
+    for n in (120, 600):
+        data = rows(n)
+        got = op9_line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.removed for r in got if r.removed} == lines_brute(data)
+    assert made[1] < 600 * 8
+
+
+def test_bitmaps_of_long_lines():
+    """The two halves bound the symmetric difference, and tell lines of 150 words apart."""
+    from docloom.llm import linededup
+    from docloom.llm import textops as T
+
+    rng = np.random.default_rng(3)
+    for n, left in ((150, 0), (150, 7), (200, 150), (100, 1)):
+        x = np.unique(rng.integers(0, 1 << 50, n).astype(np.uint64))
+        y = np.append(x[left:], rng.integers(0, 1 << 50, left).astype(np.uint64))
+        at, size = np.array([0, len(x)]), np.array([len(x), len(y)])
+        b, w = (v.view(np.uint64) for v in linededup._bitmaps(T.mix(np.append(x, y)), at, size))
+        narrow, wide = int(b[0] ^ b[1]), int(w[0] ^ w[1])
+        distance = wide.bit_count() + (narrow ^ wide).bit_count()
+        assert narrow.bit_count() <= distance <= 2 * left and (left < 150 or distance > 2 * 200 / 9)
+    assert linededup._bitmaps(T.mix(x[:95]), np.array([0]), np.array([95]))[1][0] == 0
