@@ -100,16 +100,14 @@ def _by_line(line: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return line, out & T.U64((1 << HASH_BITS) - 1)
 
 
-def _sets(c: T.Chunk, on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sets(c: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each line with a word: (text number, line number, bounds into words, words by line).
 
-    A word is the upper HASH_BITS bits of its hash.  ``on`` selects lines.
+    A word is the upper HASH_BITS bits of its hash.
     """
     w = T.words(c, True)
     doc, start, _ = T.lines(c)
     line, h = np.searchsorted(start, w.start, "right") - 1, w.hash
-    if on is not None:
-        line, h = line[on[line]], h[on[line]]
     line, key = _by_line(line, h >> T.U64(64 - HASH_BITS))
     first = np.append(True, (line[1:] != line[:-1]) | (key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     line, key = line[first], key[first]
@@ -119,6 +117,13 @@ def _sets(c: T.Chunk, on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndar
     return doc[lines], number, np.append(begin, len(key)), key
 
 
+def _cut_out(c: T.Chunk, start: np.ndarray, end: np.ndarray) -> T.Chunk:
+    """The byte spans as texts of their own, so that what isn't wanted is not cut into words."""
+    size = end - start
+    offs = np.append(0, np.cumsum(size))
+    return T.Chunk(0, len(size), c.buf[np.repeat(start - offs[:-1], size) + np.arange(offs[-1])], offs)
+
+
 def _list(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
@@ -205,12 +210,14 @@ def words_of_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         want = np.unpackbits(shared.value).view(bool)
         for b in batches:
             for c in T.chunks(b.column(1)):
-                doc, start, _ = T.lines(c)
+                doc, start, end = T.lines(c)
                 key = _line_hash(b.column(3).to_numpy()[doc + c.lo], np.arange(len(doc)) - np.searchsorted(doc, doc))
                 on = want[_slot(key.view(T.U64), WANT_BITS)]
                 if not on.any():
                     continue
-                _, _, bounds, h = _sets(c, on)
+                _, _, bounds, h = _sets(_cut_out(c, start[on], end[on]))
+                if not len(h):
+                    continue
                 n = np.diff(bounds)
                 h1, h2, _ = _set_hashes(h, bounds[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), _list(h.view(np.int64), np.append(0, np.cumsum(n)))], ["h1", "h2", "words"])

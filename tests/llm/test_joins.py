@@ -213,3 +213,22 @@ def test_bitmaps_of_long_lines():
         distance = wide.bit_count() + (narrow ^ wide).bit_count()
         assert narrow.bit_count() <= distance <= 2 * left and (left < 150 or distance > 2 * 200 / 9)
     assert linededup._bitmaps(T.mix(x[:95]), np.array([0]), np.array([95]))[1][0] == 0
+
+
+def test_wanted_lines_are_cut_out_whole():
+    """The word sets of lines cut out of a chunk are those that they have in it; empty lines have none."""
+    import pyarrow as pa
+
+    from docloom.llm import linededup
+    from docloom.llm import textops as T
+
+    [c] = T.chunks(pa.array(["a B c\n\n \nd é\td", "", None, "\n", "x", "y z\n"]))
+    doc, start, end = T.lines(c)
+    _, _, bounds, h = linededup._sets(c)
+    whole = [h[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    assert [len(x) for x in whole] == [3, 2, 1, 2]
+    _, _, bounds, h = linededup._sets(linededup._cut_out(c, start, end))
+    assert [h[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:], strict=False)] == whole
+    some = linededup._cut_out(c, start[[0, 1]], end[[0, 1]])
+    assert linededup._sets(some)[3].tolist() == whole[0] and some.buf.tobytes() == b"a B c"
+    assert not len(linededup._sets(linededup._cut_out(c, start[1:2], end[1:2]))[3])
