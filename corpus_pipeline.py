@@ -21,25 +21,29 @@ from docloom.llm.linededup import dedup_lines
 from docloom.llm.packing import op3_best_fit
 from docloom.llm.parityjoin import near_duplicate_stage
 from docloom.llm.perplexity import quality_stage
-from docloom.llm.shared import written
+from docloom.llm.shared import MERGED, settings, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
-    return quality_stage(docs)
+    with settings(spark, MERGED):
+        return quality_stage(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line matches; a document that has lost all its lines with a word goes."""
     word = r"[^\x20\x09-\x0D]"
     marked = docs.withColumn("_worded", F.col("text").rlike(word))
-    left = dedup_lines(marked).filter(F.col("text").isNull() | (F.col("text") != "") & (~F.col("_worded") | F.col("text").rlike(word)))
+    with settings(spark, MERGED):
+        found = dedup_lines(marked)
+    left = found.filter(F.col("text").isNull() | (F.col("text") != "") & (~F.col("_worded") | F.col("text").rlike(word)))
     return left.drop("_worded")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, Jaccard 0.8), that of the smallest doc_id."""
-    return near_duplicate_stage(docs)
+    with settings(spark, MERGED):
+        return near_duplicate_stage(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

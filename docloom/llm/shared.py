@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a batch that goes to a Python worker, at most (and one row at least).
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+#: Small sides are merged like large ones: each broadcast costs the driver a thread, and its relation in the heap until the next collection.
+MERGED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +29,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/docloom-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings are ``values`` inside, and as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -33,16 +50,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     until :func:`dropped` or the end of the job's shared folder.
     """
     spark = df.sparkSession
-    path, settings = new_path(spark, name), {CLEANUP: "true", BATCH[0]: BATCH[1]}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    path = new_path(spark, name)
+    with settings(spark, {CLEANUP: "true", BATCH[0]: BATCH[1]}):
         # hashes and ids hardly repeat: dictionaries would be built in vain
         df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from docloom.llm import components, linededup, parityjoin, perplexity
 from docloom.llm.decontam import contaminated
 from docloom.llm.packing import lengths_of
 from tests.llm.helpers import corpus, shingles
@@ -52,3 +53,18 @@ def test_copies_with_blank_lines_leave_nothing(spark):
     out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
     assert out.columns == ["doc_id", "text", "n_chars"]
     assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 3: " \n\n", 4: None, 5: "\nseven eight"}
+
+
+def test_small_sides_are_not_broadcast(spark, monkeypatch):
+    """No stage before decontamination collects a side of a join in the driver for its intermediate tables, however small it is."""
+    plans, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for module in (components, linededup, parityjoin, perplexity):
+        real = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, real=real: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    docs = spark.createDataFrame([r for r in corpus(40, 3)[:-1]], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        plans.clear()
+        stage(spark, docs, "")
+        assert any("SortMergeJoin" in x for x in plans) and not any("BroadcastHashJoin" in x for x in plans), name
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
