@@ -6,7 +6,7 @@
    pieces are encoded once and remembered.  Texts that hold an added token's
    string are encoded whole; ``literal`` takes special tokens' strings for
    ordinary text, the library's default doesn't.
-2. Ids are counted over all documents; package-merge gives code lengths of
+2. Ids are counted over all documents as they are made; package-merge gives code lengths of
    LIMIT bits at most, and canonical codes follow from the lengths alone.
 3. Documents are range-partitioned and sorted by doc_id.  Every partition
    writes independent blocks of whole documents: ids' codes, the bit offset of
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.llm import textops as T
 from docloom.llm.shared import new_path, record, written
@@ -106,7 +107,7 @@ class Encoder:
         power, _ = T.powers(n + 1)
         prefix = np.zeros(n + 1, T.U64)
         np.cumsum(T._BYTE[c.buf] * power[:n], out=prefix[1:])
-        unique, first, place = np.unique(T.span_hash(prefix, start, end), return_index=True, return_inverse=True)
+        unique, first, place = _distinct(T.span_hash(prefix, start, end))
         at = np.searchsorted(self.hash, unique)
         known = np.zeros(len(unique), bool)
         inside = at < len(self.hash)
@@ -176,31 +177,56 @@ class Encoder:
         first = np.zeros(len(h), np.int64)
         first[by] = len(self.ids) + np.cumsum(size[by]) - size[by]
         self.ids = np.concatenate(ids)
-        at = np.searchsorted(self.hash, h)
-        self.first, self.size = np.insert(self.first, at, first.astype(np.int32)), np.insert(self.size, at, size.astype(np.int32))
-        self.hash = np.insert(self.hash, at, h)
+        at = np.searchsorted(self.hash, h) + np.arange(len(h))
+        old = np.ones(len(self.hash) + len(h), bool)
+        old[at] = False
+
+        def merged(known: np.ndarray, new: np.ndarray) -> np.ndarray:
+            out = np.empty(len(old), known.dtype)
+            out[at], out[old] = new, known
+            return out
+
+        self.hash, self.first, self.size = merged(self.hash, h), merged(self.first, first), merged(self.size, size)
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and the number of each place's value (any of equal places will do, which spares np.unique's stable sort)."""
+    by = np.argsort(h)
+    ordered = h[by]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(h)]
+    place = np.empty(len(h), np.int64)
+    place[by] = np.cumsum(new) - 1
+    return ordered[new], by[new], place
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, literal: bool = True) -> DataFrame:
-    """doc_id and ids (little-endian, 2 or 4 bytes by the vocabulary's size) of each row."""
+    """doc_id and ids (little-endian, 2 or 4 bytes by the vocabulary's size) of each row.
+
+    Each task adds a row of its own without them, whose ``counts`` are the occurrences of every id of the vocabulary.
+    """
+    kind = docs.schema["doc_id"].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (tokenizer, literal) not in _encoders:
             _encoders[tokenizer, literal] = Encoder(tokenizer, literal)
         encoder = _encoders[tokenizer, literal]
+        total = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64)
         for b in batches:
             for c in T.chunks(b.column(1), 1 << 21):
                 ids, bounds = encoder(c)
                 if end_id is not None:
                     ids = np.insert(ids, bounds[1:], encoder.dtype(end_id))
                     bounds = bounds + np.arange(len(bounds))
+                total += np.bincount(ids, minlength=len(total))
                 data = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], data], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[c.lo : c.hi], data, pa.nulls(len(data), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, to_arrow_type(kind)), pa.nulls(1, pa.binary()), pa.array([total.tobytes()])], names)
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+    names = ["doc_id", "ids", "counts"]
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind.simpleString()}, ids binary, counts binary")
 
 
 def _flat(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -211,17 +237,17 @@ def _flat(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
-    """Occurrences of each of ``size`` ids over all documents."""
-    dtype = _dtype(size)
+    """Occurrences of each of ``size`` ids over all documents, from the tasks' own counts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(_flat(b.column(0), dtype)[0], minlength=size)
+            for counts in b.column(0):
+                total += np.frombuffer(counts.as_buffer(), np.int64)
         key = np.flatnonzero(total)
         yield record("id:long n:long", id=key, n=total[key])
 
-    found = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = tokens.select("counts").filter("counts is not null").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[found["id"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -341,7 +367,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2
                 number, before, lo = number + 1, before + len(some), hi
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.filter("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(encode, f"shard int, block long, start long, n long, doc_ids array<{kind}>, sizes array<long>, checkpoints binary, payload binary").write.parquet(f"{path}/blocks")
     spark.createDataFrame(pa.table({"id": pa.array(np.arange(size)), "bits": pa.array(lengths.astype(np.int32))})).write.parquet(f"{path}/codebook")
 

@@ -107,3 +107,15 @@ def test_registered_query_gives_the_plain_call(spark, tmp_path):
         ids = [*plain[r.doc_id], 2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_tasks_count_their_own_ids(spark):
+    """Counts come with the ids, so that no id is read again for them; the tasks' rows are no documents."""
+    texts = odd_texts(60, 9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tokens = H.tokenised(docs, PATH, 2)
+    size = Tokenizer.from_file(PATH).get_vocab_size()
+    want = np.bincount([i for x in whole(texts) for i in x], minlength=size)
+    assert tokens.filter("counts is not null and ids is null and doc_id is null").count() == tokens.filter("counts is not null").count() > 0
+    assert tokens.filter("ids is not null").count() == len(texts)
+    assert (H.id_counts(tokens.select("counts"), size) == want).all()
