@@ -38,4 +38,4 @@ def _stars(edges: DataFrame) -> bool:
     """Whether every u has one edge and is no v."""
     several = edges.groupBy("u").count().filter("count > 1").select("u")
     inner = edges.select(F.col("v").alias("x")).join(edges.select("u"), F.col("x") == F.col("u"), "left_semi")
-    return not several.union(inner).limit(1).count()
+    return several.union(inner).isEmpty()

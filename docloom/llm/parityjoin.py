@@ -299,9 +299,12 @@ def linked(docs: DataFrame, nodes: DataFrame, threshold: Fraction, k: int) -> Da
             pairs = held.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         pairs = pairs.distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():  # nothing to compare: the sets aren't joined for it
+            dropped(pairs)
+            continue
         tested = pairs if tested is None else tested.union(pairs)
         links = written(verified(pairs, sets, threshold), "links")
-        if links.limit(1).count():
+        if not links.isEmpty():
             named = labels.toDF("id", "c")
             ends = links.join(named.toDF("a", "ca"), "a").join(named.toDF("b", "cb"), "b")
             joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("old", "new")
@@ -332,7 +335,7 @@ def near_duplicate_stage(docs: DataFrame, threshold: Fraction | str = "0.8", k:
     on = lambda found: docs["doc_id"].eqNullSafe(found["_docloom_id"]) & (text == found["_docloom_t"])
     gone, several = key(out), written(key(worded).filter("count > 1"), "repeated")
     kept = docs.join(gone.hint("merge"), on(gone), "left_anti")
-    if not several.limit(1).count():
+    if several.isEmpty():
         return kept
     one = kept.join(several, on(several)).dropDuplicates(["_docloom_id", "_docloom_t"]).select(*[docs[c] for c in docs.columns])
     return kept.join(several, on(several), "left_anti").union(one)

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from docloom.llm import components, linededup, parityjoin, perplexity
+from docloom.llm import components, linededup, parityjoin, perplexity, shared
 from docloom.llm.decontam import contaminated
 from docloom.llm.packing import lengths_of
 from tests.llm.helpers import corpus, shingles
@@ -68,3 +68,25 @@ def test_small_sides_are_not_broadcast(spark, monkeypatch):
         assert any("SortMergeJoin" in x for x in plans) and not any("BroadcastHashJoin" in x for x in plans), name
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
     assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
+def test_driver_returns_what_it_has_freed(spark, monkeypatch):
+    """Every intermediate table gives the freed native memory of the driver's JVM back, and the JVM says so."""
+    said, real = [], shared.trimmed
+    monkeypatch.setattr(shared, "trimmed", lambda session: said.append(real(session)))
+    docs = spark.createDataFrame([(i, f"some words of a text {i}") for i in range(4)], "doc_id long, text string")
+    shared.dropped(shared.written(docs, "a"), shared.written(docs, "b"))
+    assert len(said) == 2 and all("Trim native heap" in x for x in said)
+
+
+def test_rounds_without_pairs_join_nothing(spark, monkeypatch):
+    """Texts that share no shingle make no candidates, so that no round joins their sets; links that are there are found as before."""
+    names, real = [], parityjoin.written
+    monkeypatch.setattr(parityjoin, "written", lambda df, name: names.append(name) or real(df, name))
+    apart = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(6)]
+    docs = spark.createDataFrame(apart, "doc_id long, text string")
+    assert sorted(r.doc_id for r in parityjoin.near_duplicate_stage(docs).collect()) == [0, 1, 2, 3, 4, 5] and "links" not in names
+    names.clear()
+    docs = spark.createDataFrame([*apart, (6, apart[2][1] + " more")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in parityjoin.near_duplicate_stage(docs).collect()) == [0, 1, 2, 3, 4, 5]
+    assert names.count("links") == 1
