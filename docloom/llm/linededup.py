@@ -16,7 +16,10 @@ of the text, line number), has Jaccard similarity of at least ``threshold`` with
 4. The rest is the exact join: the prefixes (rarest words) of unsettled lines
    against those of all lines, under length, positional and bitmap filters; the
    bitmap has 64 bits, and 128 for lines of WIDE words, which would fill 64.
-   Both sides are one shuffle of narrow rows.
+   Postings are dealt out by word in packed blocks, in one shuffle, and joined in
+   order of (word, size); the shorter line of a pair needs a shorter prefix.  A
+   word of more than HOT postings is cut into blocks, and all pairs of blocks that
+   may match are dealt out anew.
 5. Candidates are verified on the full word sets; in the join, each line's
    likeliest candidate is tried before all the others.
 
@@ -46,6 +49,10 @@ HASH_BITS = 50
 STAR_KEYS, PARTS = 2, (4, 32)
 #: Words of a line from which on its bitmap has a second half.
 WIDE = 96
+#: A word's postings beyond which pairs of their blocks are dealt out, postings that a task deals out at a time, and pairs that it looks at.
+HOT, HELD, PAIRS = 1 << 14, 1 << 20, 1 << 17
+#: A word of a line's prefix: the line's size, id and bitmaps; ``at`` is twice the word's place in the prefix, and 1 more if the line is settled.
+POSTING = np.dtype([("key", "<u4"), ("n", "<u4"), ("id", "<i8"), ("bitmap", "<u8"), ("wide", "<u8"), ("at", "<u4")])
 #: Slots of word frequencies that are counted in one row.
 FREQ_ROW = 1 << 12
 #: Frequencies are told apart up to here.
@@ -154,11 +161,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("t"), F.xxhash64("doc_id", F.xxhash64("text")).alias("k"))
 
 
-def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
+def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float, counted: bool = False) -> DataFrame:
     """For each line with a word: place (doc_id, t, line) and its hash h, size n, 128-bit hash of the set, bitmaps, min-hashes, and prefix in order of rarity.
 
     Min-hashes and prefix words have 32 bits: they find candidates, which are
     then verified on the words.  A prefix word that occurs once in all texts is 0.
+    With ``counted`` each row of ``docs`` has a row more, without hashes, whose
+    ``line`` is its number of lines (0 for null).
     """
     shared = docs.sparkSession.sparkContext.broadcast(freq)
 
@@ -166,6 +175,10 @@ def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
         freq = shared.value
         for b in batches:
             for c in T.chunks(b.column(1)):
+                if counted:
+                    text = b.column(1).slice(c.lo, c.hi - c.lo)
+                    n_lines = (T.sums(c.buf == 10, c.offs) + 1) * text.is_valid().to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(c.lo, len(text)), b.column(2).slice(c.lo, len(text)), pa.nulls(len(text), pa.int64()), pa.array(n_lines.astype(np.int32)), *[pa.nulls(len(text), k) for k in kinds]], names)
                 doc, number, bounds, h = _sets(c)
                 if not len(doc):
                     continue
@@ -189,9 +202,11 @@ def line_sets(docs: DataFrame, freq: np.ndarray, threshold: float) -> DataFrame:
                         b.column(0).take(rows), b.column(2).take(rows), pa.array(_line_hash(b.column(3).to_numpy()[doc + c.lo], number)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)),
                         pa.array(h1), pa.array(h2), pa.array(bitmap), pa.array(wide), _list(stars, np.arange(len(n) + 1) * STAR_KEYS), _list(prefix, ends),
                     ],
-                    ["doc_id", "t", "h", "line", "n", "h1", "h2", "bitmap", "wide", "stars", "prefix"],
+                    names,
                 )
 
+    names = ["doc_id", "t", "h", "line", "n", "h1", "h2", "bitmap", "wide", "stars", "prefix"]
+    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.list_(pa.int32())] * 2]
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _rows(docs).mapInArrow(build, f"doc_id {kind}, t long, h long, line int, n int, h1 long, h2 long, bitmap long, wide long, stars array<int>, prefix array<int>")
 
@@ -244,9 +259,10 @@ def _words_for(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _near(lines: DataFrame, group: DataFrame, parts: int, threshold: float) -> DataFrame:
     """The ``lines`` (key, id, n and bitmaps) that may match an earlier line ``a``, the earliest of one of ``parts`` parts of their key's ``group``."""
     part = F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts)).alias("part")
-    centre = group.groupBy("key", part).agg(F.min(F.struct("id", "n", "bitmap", "wide")).alias("c")).select("key", "c")
-    found = lines.join(centre, "key").filter((F.col("c.id") < F.col("id")) & _may_match(F.col("c.n"), F.col("n"), "c.", "", threshold))
-    return written(found.select("key", "id", "n", "bitmap", "wide", F.col("c.id").alias("a")), "star-pairs")
+    # one aggregate for each column: Spark hashes those of numbers, and sorts for a struct's
+    centre = group.groupBy("key", part).agg(F.min("id").alias("a"), *[F.min_by(c, "id").alias(f"c_{c}") for c in ("n", "bitmap", "wide")]).drop("part")
+    found = lines.join(centre, "key").filter((F.col("a") < F.col("id")) & _may_match(F.col("c_n"), F.col("n"), "c_", "", threshold))
+    return written(found.select("key", "id", "n", "bitmap", "wide", "a"), "star-pairs")
 
 
 def _settled(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -264,33 +280,155 @@ def _settled(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return settled
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, hash t of the text, and number of every line that an earlier line matches."""
-    full = written(line_sets(docs, word_frequencies(docs), threshold), "line-sets")
+def _postings(b: pa.RecordBatch) -> np.ndarray:
+    """The postings of lines (id, n, bitmap, wide, gone, prefix); words that occur once have none."""
+    keys = b.column(5).flatten().to_numpy().view(np.uint32)
+    size = np.diff(b.column(5).offsets.to_numpy())
+    line = np.repeat(np.arange(len(size)), size)
+    pos = np.arange(len(keys)) - (np.cumsum(size) - size)[line]
+    take = keys != 0
+    out, line = np.empty(int(take.sum()), POSTING), line[take]
+    out["key"], out["at"] = keys[take], 2 * pos[take] + b.column(4).to_numpy()[line]
+    for i, (name, kind) in enumerate((("id", np.int64), ("n", np.uint32), ("bitmap", np.uint64), ("wide", np.uint64))):
+        out[name] = b.column(i).to_numpy().view(kind)[line]
+    return out
+
+
+def _place(p: np.ndarray) -> np.ndarray:
+    """Word and size as one number, by which postings are sorted."""
+    return p["key"].astype(T.U64) << T.U64(32) | p["n"]
+
+
+def _crossed(x: np.ndarray, y: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of a posting of ``x`` and one of ``y`` from row ``first`` of it on, of the same word and not shorter; both are sorted."""
+    n, rest = x["n"].astype(np.int64), (x["n"] - (x["at"] >> 1)).astype(np.int64)
+    longest = np.minimum((n + 1e-9) / threshold + 1e-6, 2**32 - 1).astype(T.U64)
+    count = np.searchsorted(_place(y), x["key"].astype(T.U64) << T.U64(32) | longest, "right") - first
+    # the other line is as long at least
+    on = (count > 0) & (rest >= 2 * threshold / (1 + threshold) * n - 1e-6)
+    x, first, count = x[on], first[on], count[on]
+    # the most that the bitmaps of a match can differ by, whatever its size
+    most = np.minimum((1 - threshold) / threshold * n[on] + 1e-6, 64).astype(np.uint8)
+    left, right = np.ascontiguousarray(x["bitmap"]), np.ascontiguousarray(y["bitmap"])
+    ends, lo = np.cumsum(count), 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - count[lo] + PAIRS, "right")))
+        some, begun = count[lo:hi], ends[lo:hi] - count[lo:hi] - (ends[lo] - count[lo])
+        j = np.arange(some.sum()) + np.repeat(first[lo:hi] - begun, some)
+        narrow = np.repeat(left[lo:hi], some) ^ right[j]
+        d = np.bitwise_count(narrow)
+        ok = np.flatnonzero(d <= np.repeat(most[lo:hi], some))
+        p, q, narrow, d = x[lo + np.searchsorted(begun, ok, "right") - 1], y[j[ok]], narrow[ok], d[ok]
+        lo = hi
+        both, wide = p["n"].astype(np.int64) + q["n"], p["wide"] ^ q["wide"]
+        common, differ = threshold / (1 + threshold) * both - 1e-9, (1 - threshold) / (1 + threshold) * both + 1e-9
+        ok = (p["n"] - (p["at"] >> 1) >= common) & (q["n"] - (q["at"] >> 1) >= common) & (p["n"] >= threshold * q["n"] - 1e-9) & (d <= differ)
+        ok &= (p["n"] < WIDE) | (np.bitwise_count(wide).astype(np.int64) + np.bitwise_count(narrow ^ wide) <= differ)
+        # a settled line is later than none
+        ok &= np.where(p["id"] < q["id"], q["at"] & 1, p["at"] & 1) == 0
+        ok &= p["id"] != q["id"]
+        p, q = p["id"][ok], q["id"][ok]
+        if len(p):
+            yield record("a:long b:long d:int x:bin y:bin", a=np.minimum(p, q), b=np.maximum(p, q), d=d[ok].astype(np.int32), x=pa.nulls(len(p), pa.binary()), y=pa.nulls(len(p), pa.binary()))
+
+
+def _parted(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of open lines, and of settled ones."""
+    gone = (p["at"] & 1).astype(bool)
+    return p[~gone], p[gone]
+
+
+def _joined(p: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs among sorted postings; two settled lines are none."""
+    (u, s), find = _parted(p), np.searchsorted
+    yield from _crossed(u, u, np.arange(1, len(u) + 1), threshold)
+    yield from _crossed(u, s, find(_place(s), _place(u), "left"), threshold)
+    yield from _crossed(s, u, find(_place(u), _place(s), "right"), threshold)
+
+
+def _line_pairs(lines: DataFrame, threshold: float) -> DataFrame:
+    """Candidates a < b, b open, and the distance d of their bitmaps, of ``lines`` (id, n, bitmap, wide, gone, prefix): the exact prefix join."""
+    spark = lines.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket for each partition of the shuffle, with a number that Spark deals to it, so that a task makes no more rows than shuffle blocks
+    tried = spark.range(0, 16 * parts, 1, 1).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("to")).toArrow()["to"].to_numpy()
+    numbers = np.unique(tried, return_index=True)[1].astype(np.int32)
+    buckets = len(numbers)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(_postings(b))
+            size += len(held[-1])
+            if size >= HELD:
+                yield packed(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield packed(np.concatenate(held))
+
+    def packed(p: np.ndarray) -> pa.RecordBatch:
+        bucket = (p["key"] % np.uint32(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+        raw = p[np.argsort(bucket, kind="stable")].view(np.uint8)
+        n = np.bincount(bucket, minlength=buckets)
+        ends = np.append(0, np.cumsum(n)) * POSTING.itemsize
+        data = pa.Array.from_buffers(pa.binary(), buckets, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+        return record("bucket:int postings:bin", bucket=numbers[n > 0], postings=data.take(pa.array(np.flatnonzero(n))))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = np.concatenate([np.zeros(0, POSTING), *[np.frombuffer(x.as_buffer(), POSTING) for b in batches for x in b.column(1)]])
+        p = p[np.argsort(_place(p))]
+        begin = np.flatnonzero(np.append(True, p["key"][1:] != p["key"][:-1])[: len(p)])
+        size = np.diff(np.append(begin, len(p)))
+        hot = size > HOT
+        yield from _joined(p[~np.repeat(hot, size)], threshold)
+        for lo, n in zip(begin[hot].tolist(), size[hot].tolist(), strict=True):
+            blocks = [p[i : min(i + HOT // 2, lo + n)] for i in range(lo, lo + n, HOT // 2)]
+            for k, x in enumerate(blocks):
+                for y in blocks[k:]:
+                    if y["n"][0] > (x["n"][-1] + 1e-9) / threshold + 1e-6:
+                        break
+                    if not ((x["at"] & 1).all() and (y["at"] & 1).all()):
+                        yield record("a:long b:long d:int x:bin y:bin", a=[None], b=[None], d=[None], x=[x.tobytes()], y=[b"" if y is x else y.tobytes()])
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(3), b.column(4), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), POSTING) for v in (x, y))
+                if not len(y):
+                    yield from _joined(x, threshold)
+                    continue
+                (u, s), (v, t) = _parted(x), _parted(y)
+                for one, other in ((u, v), (u, t), (s, v)):
+                    yield from _crossed(one, other, np.zeros(len(one), np.int64), threshold)
+
+    kind = "a long, b long, d int, x binary, y binary"
+    dealt = lines.select("id", "n", "bitmap", "wide", "gone", "prefix").mapInArrow(deal, "bucket int, postings binary").repartition("bucket")
+    found = written(dealt.mapInArrow(join, kind), "postings")
+    pairs, blocks = found.filter("x is null"), found.filter("x is not null")
+    if not blocks.isEmpty():
+        pairs = pairs.union(blocks.repartition(parts).mapInArrow(crossed, kind))
+    out = written(pairs.groupBy("a", "b").agg(F.min("d").alias("d")), "line-pairs")
+    dropped(found)
+    return out
+
+
+def removed_lines(docs: DataFrame, threshold: float = 0.8, counted: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, hash t of the text, and ``gone``, the sorted numbers of the lines that an earlier line matches, of every text that has some.
+
+    With ``counted`` also doc_id, t and number of lines of each row.
+    """
+    full = written(line_sets(docs, word_frequencies(docs), threshold, counted), "line-sets")
     place = F.struct("doc_id", "t", "line")
-    first = full.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "t", "line", "h", "n", "bitmap", "wide", "stars", "prefix"), place).alias("s"))
+    first = full.filter("h1 is not null").groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "t", "line", "h", "n", "bitmap", "wide", "stars", "prefix"), place).alias("s"), F.count("*").alias("copies"))
     # numbered in order: of two lines the smaller id is the earlier one
-    sets = written(first.select("h1", "h2", "s.*").orderBy("doc_id", "t", "line").withColumn("id", F.monotonically_increasing_id()), "first-lines")
+    sets = written(first.select("h1", "h2", "s.*", "copies").orderBy("doc_id", "t", "line").withColumn("id", F.monotonically_increasing_id()), "first-lines")
     mapped = written(full.select("doc_id", "t", "line", "h1", "h2"), "lines")
     dropped(full)
 
     settled = _settled(docs, sets, threshold)
 
-    # size, place in the prefix and whether the line is settled go in one number
     open_ = sets.select("id", "n", "bitmap", "wide", "prefix").join(settled.withColumn("gone", F.lit(1)).hint("merge"), "id", "left")
-    meta = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + F.coalesce("gone", F.lit(0))
-    post = open_.select("id", "n", "bitmap", "wide", "gone", F.posexplode("prefix").alias("pos", "key")).select("key", "id", meta.alias("meta"), "bitmap", "wide").filter("key <> 0")
-    post = post.filter(" and ".join(f"{c} is not null" for c in post.columns))  # what the join would ask of one side only
-    x, y = post.alias("x"), post.alias("y")
-    size = lambda t: F.shiftright(f"{t}.meta", 32)
-    after = lambda t: size(t) - F.shiftright(F.col(f"{t}.meta").bitwiseAND(0xFFFFFFFF), 1)  # noqa: E731  words from the shared one on
-    common = F.lit(threshold / (1 + threshold)) * (size("x") + size("y")) - 1e-9
-    # a settled line is later than none; a condition on both sides, so that they stay the same shuffle
-    upto = F.when(F.col("y.meta").bitwiseAND(1) == 0, F.col("y.id")).otherwise(-1)
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < upto) & _may_match(size("x"), size("y"), "x.", "y.", threshold)
-    on = on & (after("x") >= common) & (after("y") >= common)
-    distance = F.bit_count(F.col("x.bitmap").bitwiseXOR(F.col("y.bitmap")))
-    pairs = written(x.join(y, on).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.min(distance).alias("d")), "line-pairs")
+    pairs = _line_pairs(open_.withColumn("gone", F.coalesce("gone", F.lit(0))), threshold)
     words = _words_for(docs, pairs, sets)
     # the likeliest candidate of each line first; all others only for the lines that it doesn't settle
     best = written(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"), "best")
@@ -299,12 +437,13 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     more = written(matched(words, others, threshold), "settled")
     dropped(words, best, pairs)
 
-    gone = settled.union(likely).union(more).withColumn("gone", F.lit(True))
-    heads = sets.select("id", "h1", "h2", place.alias("first")).join(gone.hint("merge"), "id", "left").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = mapped.join(heads, ["h1", "h2"]).filter(F.col("gone") | (place > F.col("first")))
-    out = written(out.select("doc_id", "t", "line").distinct(), "removed")
-    dropped(sets, mapped, settled, likely, more)
-    return out
+    # every copy of a line goes, and the first one if it has matched
+    matching = sets.select("id", "doc_id", "t", "line").join(settled.union(likely).union(more).distinct().hint("merge"), "id").select("doc_id", "t", "line")
+    heads = sets.filter("copies > 1").select("h1", "h2", place.alias("first"))
+    copies = mapped.filter("h1 is not null").join(heads.hint("merge"), ["h1", "h2"]).filter(place > F.col("first")).select("doc_id", "t", "line")
+    out = written(matching.union(copies).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line")).alias("gone")), "removed")
+    dropped(sets, settled, likely, more, *[] if counted else [mapped])
+    return out, mapped.filter("h1 is null").select("doc_id", "t", F.col("line").cast("long").alias("n_lines")) if counted else None
 
 
 def _may_match(n: F.Column, m: F.Column, x: str, y: str, threshold: float) -> F.Column:
@@ -315,17 +454,12 @@ def _may_match(n: F.Column, m: F.Column, x: str, y: str, threshold: float) -> F.
     return (F.bit_count(narrow) <= most) & sizes & ((n < WIDE) | (m < WIDE) | (F.bit_count(wide) + F.bit_count(narrow.bitwiseXOR(wide)) <= most))
 
 
-def _gone(docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, hash t of the text, and ``gone``, the sorted numbers of the matched lines, of every text that has some."""
-    return removed_lines(docs.select("doc_id", "text"), threshold).groupBy("doc_id", "t").agg(F.sort_array(F.collect_list("line")).alias("gone"))
-
-
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with the matched lines cut from ``text``; other columns unchanged, ``n_chars`` recounted if there.
 
     A text that loses all its lines becomes empty; a null text stays null.
     """
-    table = _gone(docs, threshold)
+    table, _ = removed_lines(docs.select("doc_id", "text"), threshold)
     gone = table["gone"]
     out = docs.join(table.hint("merge"), docs["doc_id"].eqNullSafe(table["doc_id"]) & (F.xxhash64(docs["text"]) == table["t"]), "left")
     # the lines are bound once for each text, and the numbers that stay are a difference of sets: linear time at any number of lines
@@ -337,8 +471,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def op9_line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per document: its number of lines (0 for null), of lines removed, and their numbers in order."""
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
-    counted, table = docs.select("doc_id", F.xxhash64("text").alias("t"), n_lines.alias("n_lines")), _gone(docs, threshold)
+    table, counted = removed_lines(docs.select("doc_id", "text"), threshold, counted=True)
     out = counted.join(table.hint("merge"), counted["doc_id"].eqNullSafe(table["doc_id"]) & (counted["t"] == table["t"]), "left")
     removed = F.coalesce(table["gone"], F.array().cast("array<int>"))
     return out.select(counted["doc_id"], "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

@@ -1,3 +1,4 @@
+import math
 import random
 from fractions import Fraction
 
@@ -232,3 +233,38 @@ def test_wanted_lines_are_cut_out_whole():
     some = linededup._cut_out(c, start[[0, 1]], end[[0, 1]])
     assert linededup._sets(some)[3].tolist() == whole[0] and some.buf.tobytes() == b"a B c"
     assert not len(linededup._sets(linededup._cut_out(c, start[1:2], end[1:2]))[3])
+
+
+@pytest.mark.parametrize("hot", [1 << 14, 8])
+def test_prefix_join_of_packed_postings(spark, monkeypatch, hot):
+    """Every candidate under the filters and no other, also when a word's postings are cut into blocks that are dealt out anew."""
+    from docloom.llm import linededup
+
+    monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "PAIRS", 50)
+    rng, made, write = random.Random(5), [], linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, name: made.append((name, write(df, name))) or made[-1][1])
+    monkeypatch.setattr(linededup, "dropped", lambda *tables: None)
+    rows = []
+    for i in range(150):
+        n = rng.choice([1, 2, 5, 9, 10, 11, 12, 30, 99, 110, 120])
+        k = n - math.ceil(0.8 * n - 1e-9) + 1
+        rows.append((i, n, rng.getrandbits(2), rng.getrandbits(2), int(rng.random() < 0.3), [rng.choice([0, -7, *range(1, 12)]) for _ in range(k)]))
+    want = {}
+    for a, n, p, v, _, xs in rows:
+        for b, m, q, w, gone, ys in rows:
+            most, common = (n + m) / 9 + 1e-9, 0.8 / 1.8 * (n + m) - 1e-9
+            if a < b and not gone and n >= 0.8 * m - 1e-9 and m >= 0.8 * n - 1e-9 and (p ^ q).bit_count() <= most and (min(n, m) < 96 or (v ^ w).bit_count() + (p ^ q ^ v ^ w).bit_count() <= most):
+                if any(x == y != 0 and n - i >= common and m - j >= common for i, x in enumerate(xs) for j, y in enumerate(ys)):
+                    want[a, b] = (p ^ q).bit_count()
+    lines = spark.createDataFrame(rows, "id long, n int, bitmap long, wide long, gone int, prefix array<int>")
+    assert {(r.a, r.b): r.d for r in linededup._line_pairs(lines, 0.8).collect()} == want and len(want) > 500
+    assert dict(made)["postings"].filter("x is not null").isEmpty() == (hot > 8)
+
+
+def test_numbers_of_lines_and_copies(spark):
+    """Line counts come with the line sets: a null text has no line, an empty one has one; every copy but the first goes, and all of a line that has matched."""
+    base = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join(base) + "\n"), (2, None), (3, ""), (4, "\n\n"), (5, " ".join(base[1:]) + "\nx"), (6, "x\n" + " ".join(base[1:])), (6, "x\n" + " ".join(base[1:]))]
+    got = op9_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 0, []), (2, 0, 0, []), (3, 1, 0, []), (4, 3, 0, []), (5, 2, 1, [0]), (6, 2, 2, [0, 1]), (6, 2, 2, [0, 1])]
