@@ -66,6 +66,10 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content.encode() for t in added if t.content and not (literal and t.special)]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        # characters of each token: in a byte-level vocabulary, the bytes of text that it stands for
+        vocab = self.tokenizer.get_vocab()
+        self.chars = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.chars[list(vocab.values())] = [len(x) for x in vocab]
         self.forget()
 
     def forget(self) -> None:
@@ -147,25 +151,33 @@ class Encoder:
     def _learn(self, c: T.Chunk, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Remember the ids of pieces with the sorted hashes ``h``.
 
-        Pieces of a blank and ASCII letters are encoded many in a row, as the
-        pre-tokenizer cuts between them; the tokenizer says which word an id is of.
+        Pieces from a blank and a visible ASCII character to one are encoded many in
+        a row, as the pre-tokenizer cuts before such a blank and looks no further back;
+        the tokens' lengths say which word an id is of.
         """
-        raw, letters = c.buf.tobytes(), np.append(0, np.cumsum(_KIND[c.buf] == _LETTER))
-        plain = (c.buf[start] == 32) & (end - start > 1) & (letters[end] - letters[start] == end - start - 1)
+        raw, visible = c.buf.tobytes(), _KIND >= _OTHER
+        plain = (c.buf[start] == 32) & visible[c.buf[np.minimum(start + 1, end - 1)]] & visible[c.buf[end - 1]]
         spans = lambda at: zip(start[at].tolist(), end[at].tolist(), strict=True)
         size, order, ids = np.zeros(len(h), np.int64), [], [self.ids]
         word = np.flatnonzero(plain)
         for i in range(0, len(word), JOINED * TEXTS):
             rows = [word[j : j + JOINED] for j in range(i, min(i + JOINED * TEXTS, len(word)), JOINED)]
-            texts = [b"".join(raw[a:b] for a, b in spans(at)).decode() for at in rows]
-            for at, x in zip(rows, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                of = x.word_ids
-                if not of or of[-1] != len(at) - 1:  # this tokenizer cuts elsewhere
+            some = word[i : i + JOINED * TEXTS]
+            long = end[some] - start[some]
+            offs = np.append(0, np.cumsum(long))
+            joined = c.buf[np.repeat(start[some] - offs[:-1], long) + np.arange(offs[-1])].tobytes()
+            edges = [*offs[:-1:JOINED].tolist(), len(joined)]
+            texts = [joined[a:b].decode() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            for at, x in zip(rows, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                new = np.array(x.ids, self.dtype)
+                till, ends = np.cumsum(end[at] - start[at]), np.cumsum(self.chars[new])
+                last = np.searchsorted(ends, till)
+                if not len(new) or ends[-1] != till[-1] or (ends[last] != till).any():  # this tokenizer cuts elsewhere
                     plain[at] = False
                     continue
-                size[at] = np.diff(np.searchsorted(np.array(of), np.arange(len(at) + 1)))
+                size[at] = np.diff(last, prepend=-1)
                 order.append(at)
-                ids.append(np.array(x.ids, self.dtype))
+                ids.append(new)
         other = np.flatnonzero(~plain)
         for i in range(0, len(other), 1 << 14):
             at = other[i : i + (1 << 14)]

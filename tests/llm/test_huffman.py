@@ -119,3 +119,29 @@ def test_tasks_count_their_own_ids(spark):
     assert tokens.filter("counts is not null and ids is null and doc_id is null").count() == tokens.filter("counts is not null").count() > 0
     assert tokens.filter("ids is not null").count() == len(texts)
     assert (H.id_counts(tokens.select("counts"), size) == want).all()
+
+
+def test_pieces_encoded_in_a_row_have_the_ids_of_whole_texts():
+    """Pieces from a blank and a visible character to one are encoded in rows; cut apart by the tokens' lengths they are what the library makes of whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["It's 12ab3 (x)  y, don't 'tis a-b ... naïve é1 x y 中 a中 9", " a  b \n c\n\nd \t e", "#1 $2,000.50 %s {k: 'v'} 'll 're", "́x ́ z", " ", "", None, "q" * 300 + " " + "7" * 300]
+    texts += [f" n{i}! v{i * 7}.{i} 'S{i}é Wörter{i}" for i in range(700)]
+    [c] = T.chunks(pa.array(texts))
+    encoder, plain = H.Encoder(path, literal=False), Tokenizer.from_file(path)
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, x, **how):
+            calls.append(len(x))
+            return plain.encode_batch_fast(x, **how)
+
+        def encode_batch(self, x, **how):
+            calls.append(len(x))
+            return plain.encode_batch(x, **how)
+
+    encoder.tokenizer = Counted()
+    ids, bounds = encoder(c)
+    for i, x in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(x or "", add_special_tokens=False).ids
+    # 700 texts of four pieces
+    assert sum(calls) < 1000
